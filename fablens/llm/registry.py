@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses
+from . import chat, decontaminate, encode, licenses
 
 QUERIES = {
+    "op1_chat_format": chat.op1,
     "op4_license_scan": licenses.op4,
     "op5_decontaminate": decontaminate.op5,
+    "op8_bpe_encode": encode.op8,
 }
 ORACLE_SQL = {
+    "op1_chat_format": chat.OP1_SQL,
     "op4_license_scan": licenses.OP4_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
 }
