@@ -29,13 +29,11 @@ def words_sql(text: str) -> str:
     return f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the checkpoint folder, its lineage cut.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """A folder that all executors share: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset and Spark runs in one
-    local process (tests) is a temporary folder taken.
+    Only where that is unset and Spark runs in one local process (tests) is a temporary folder taken.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,6 +42,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="fablens-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, its lineage cut."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, encode, licenses
+from . import chat, dac, decontaminate, encode, licenses
 
 QUERIES = {
     "op1_chat_format": chat.op1,
     "op4_license_scan": licenses.op4,
     "op5_decontaminate": decontaminate.op5,
     "op8_bpe_encode": encode.op8,
+    "op10_token_binary": dac.op10,
 }
 ORACLE_SQL = {
     "op1_chat_format": chat.OP1_SQL,
