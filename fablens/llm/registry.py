@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, dac, decontaminate, encode, licenses
+from . import chat, dac, decontaminate, encode, langid, licenses
 
 QUERIES = {
     "op1_chat_format": chat.op1,
     "op4_license_scan": licenses.op4,
     "op5_decontaminate": decontaminate.op5,
+    "op7_language_id": langid.op7,
     "op8_bpe_encode": encode.op8,
     "op10_token_binary": dac.op10,
 }
