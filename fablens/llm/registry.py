@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, dac, decontaminate, encode, langid, licenses
+from . import chat, dac, decontaminate, encode, langid, licenses, setjoin
 
 QUERIES = {
     "op1_chat_format": chat.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_decontaminate": decontaminate.op5,
     "op7_language_id": langid.op7,
     "op8_bpe_encode": encode.op8,
+    "op9_jaccard_join": setjoin.op9,
     "op10_token_binary": dac.op10,
 }
 ORACLE_SQL = {
