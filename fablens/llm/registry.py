@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, dac, decontaminate, encode, langid, licenses, setjoin
+from . import chat, dac, decontaminate, embeddings, encode, langid, licenses, setjoin
 
 QUERIES = {
     "op1_chat_format": chat.op1,
+    "op3_embedding_dedup": embeddings.op3,
     "op4_license_scan": licenses.op4,
     "op5_decontaminate": decontaminate.op5,
     "op7_language_id": langid.op7,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_chat_format": chat.OP1_SQL,
+    "op3_embedding_dedup": embeddings.OP3_SQL,
     "op4_license_scan": licenses.OP4_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
 }
