@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, dac, decontaminate, embeddings, encode, langid, licenses, setjoin
+from . import chat, dac, decontaminate, embeddings, encode, langid, licenses, setjoin, substrings
 
 QUERIES = {
     "op1_chat_format": chat.op1,
+    "op2_suffix_dedup": substrings.op2,
     "op3_embedding_dedup": embeddings.op3,
     "op4_license_scan": licenses.op4,
     "op5_decontaminate": decontaminate.op5,
