@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, dac, decontaminate, embeddings, encode, langid, licenses, setjoin, substrings
+from . import chat, dac, decontaminate, embeddings, encode, langid, licenses, pii, setjoin, substrings
 
 QUERIES = {
     "op1_chat_format": chat.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_embedding_dedup": embeddings.op3,
     "op4_license_scan": licenses.op4,
     "op5_decontaminate": decontaminate.op5,
+    "op6_pii": pii.op6,
     "op7_language_id": langid.op7,
     "op8_bpe_encode": encode.op8,
     "op9_jaccard_join": setjoin.op9,
