@@ -150,6 +150,26 @@ def identify(docs: DataFrame, langs: list[str], probs: np.ndarray, id_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, languages array<string>")
 
 
+def keep_known(docs: DataFrame, langs: list[str], probs: np.ndarray, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose language is ``und``, all columns as they are."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast(probs)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = shared.value
+        for batch in batches:
+            known = []
+            for text in batch.column(at):
+                text = text.as_py()
+                counts = trigrams(text) if text and langs else None
+                known.append(counts is not None and langs[infer(counts, p)[0]] != UNKNOWN)
+            yield batch.filter(pa.array(known, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
