@@ -90,7 +90,7 @@ def _(spark, d):
     return audit.missing_values(line(spark, d))
 
 
-@query("audit_duplicates", "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n_duplicates FROM (SELECT count(*) AS n FROM (SELECT l_orderkey, l_linenumber FROM lineitem) GROUP BY ALL)")
+@query("audit_duplicates", "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n_duplicates FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)")
 def _(spark, d):
     return audit.duplicate_rows(line(spark, d).select("l_orderkey", "l_linenumber"))
 
