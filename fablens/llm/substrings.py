@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_folder, checkpointed, ship, table
+from .common import checkpoint_folder, checkpointed, release, ship, table
 from .components import joinable
 from .shingles import mix
 from .suffixes import eight, shared_prefix, suffix_array
@@ -320,10 +320,13 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = rows.select("k", F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 32) - 1)).alias("h"), "text", "doc_id")
     name = f"fablens_texts_{uuid.uuid4().hex}"
     rows.repartition(n, "k").write.bucketBy(n, "k").option("path", f"{checkpoint_folder(spark)}/{name}").saveAsTable(name)
+    release(spark)
     texts = spark.table(name)
 
     found = checkpointed(_groups(_anchor_blocks(rows.select("k", "h", "text"), 4 * n)))
+    release(spark)
     compared = checkpointed(_compared(_segments(found.filter("share >= 0"), texts)))
+    release(spark)
     cuts = found.filter("share < 0").select("k", "h", "lo", "cnt").union(compared.filter("w1 IS NULL").select("k", "h", "lo", "cnt"))
     hot = compared.filter("w1 IS NOT NULL")
     first = hot.groupBy("w1", "w2").agg(F.min(F.struct("k", "h", "lo")).alias("first"), F.count("*").alias("n")).filter("n > 1")
