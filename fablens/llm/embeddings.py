@@ -6,6 +6,7 @@ that case together in a list, and are compared in that of their first shared piv
 double precision, so links below the threshold are never returned; the index may miss a link, and its recall is measured
 against brute force in the tests.
 
+There is a pivot for every ``PER_PIVOT`` vectors, from 256 up to ``PIVOTS``, so lists keep their lengths as long as that holds.
 Pivots come from a bounded sample of ``SAMPLE`` vectors, chosen so that no two are alike, hence a large group of near copies
 does not take them up. A list of more than ``BLOCK`` vectors is cut into blocks, and pairs of blocks are compared in
 separate tasks, so no list is ever in one task. Equal vectors are one class with a count and enter the index once.
@@ -28,7 +29,7 @@ from .common import checkpointed, ship, table
 from .components import components, joinable
 
 THRESHOLD = 0.9
-PIVOTS, SAMPLE, NEAREST, SHARED = 512, 4096, 10, 2
+PIVOTS, PER_PIVOT, SAMPLE, NEAREST, SHARED = 2048, 20, 4096, 8, 2
 #: Pivots are less alike than this.
 SPREAD = 0.7
 BLOCK = 2048
@@ -152,7 +153,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     members = good.select("id", h1.alias("h1"), h2.alias("h2"))
     classes = good.groupBy(h1.alias("h1"), h2.alias("h2")).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
     classes = checkpointed(classes)
-    points = choose_pivots(classes.select(F.col("rep").alias("id"), "vector"), pivots)
+    points = choose_pivots(classes.select(F.col("rep").alias("id"), "vector"), min(pivots, max(256, classes.count() // PER_PIVOT)))
     if not len(points):
         return rows.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     index = checkpointed(pivot_index(classes.select(F.col("rep").alias("id"), "vector"), points, nearest))
