@@ -176,8 +176,8 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 OP3_SQL = f"""
 WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
- g AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, x -> x * x))) AS n FROM e
-       WHERE v IS NOT NULL AND len(list_filter(v, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, x -> x <> 0)) > 0),
+ g AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM e
+       WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
  l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND list_dot_product(a.v, b.v) >= {THRESHOLD} * a.n * b.n),
  r(id, c) AS (SELECT a, a FROM l UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id),
  comp AS (SELECT id, min(c) AS c FROM r GROUP BY id)

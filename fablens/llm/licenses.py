@@ -78,7 +78,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.collect_set("t").alias("ts"),
         F.min("i").alias("lo"),
         F.max("i").alias("hi"),
-        F.count("t").alias("votes"),
+        F.size(F.collect_set("t")).alias("votes"),  # a repeated row votes once
     )
     order = Window.partitionBy("doc", "rid", "template").orderBy("diagonal")
     step = diagonals.withColumn("starts", (~F.coalesce(F.col("is_base"), F.lit(False)) & (F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order), F.lit(gap + 1)) <= gap)).cast("int"))
