@@ -23,9 +23,15 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def off_tie(digits: int) -> float:
+    """A little more than nothing: means of few values often lie just between two roundings, where the engines' last digits
+    would decide."""
+    return float(f"3.7e-{digits + 4}")
+
+
 def rounded(df: DataFrame, digits: int = 6, **own: int) -> DataFrame:
     """Doubles rounded, as sums in another order differ in their last digits; 0.0 for -0.0."""
-    return df.select(*[(F.round(F.col(c), own.get(c, digits)) + F.lit(0.0)).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(F.round(F.col(c) + off_tie(own.get(c, digits)), own.get(c, digits)) + F.lit(0.0)).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
 
 
 def query(name: str, sql: str | None = None):
@@ -39,7 +45,7 @@ def query(name: str, sql: str | None = None):
 
 
 def r(x: str, digits: int = 6) -> str:
-    return f"round(CAST({x} AS DOUBLE), {digits}) + 0.0"
+    return f"round(CAST({x} AS DOUBLE) + {off_tie(digits)}, {digits}) + 0.0"
 
 
 def long_sql(params: list[str] = PARAMS, by: str | None = None, source: str = "u", y: str = Y) -> str:
