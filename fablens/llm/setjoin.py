@@ -10,8 +10,8 @@ Signatures meet by hash, as packed binary blocks. A bucket of at most ``SMALL``
 every set is compared with the bucket's first, its leader, and the pairs among the others that are still open (at least one
 of them not similar to the leader) are found exactly, by their differences from the leader: if D(x) is what x and the leader
 r do not share, then x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| elements, so a similar pair must share so many
-elements of D that one of them lies in a short prefix of both (elements that r lacks come first, being rare). No bucket's
-pairs are all listed and none is capped.
+elements of D that one of them lies in a short prefix of both (elements that r lacks come first, being rare). Those that meet
+so are compared exactly. No bucket's pairs are all listed and none is capped.
 
 Exact copies are one class each, found by a digest of their set, and sign once for each task. Similarity is decided on
 64-bit shingle hashes: 19 |x ^ y| <= |x| + |y| is the same as 100 |x & y| >= 90 |x | y|.
@@ -33,16 +33,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, ship, table
+from .common import checkpointed, release, ship, table
 from .components import components, joinable
 from .shingles import mix, shingle_set
 
+_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 K = 3
 #: Similar is 19 * differences <= sum of sizes, which is a Jaccard similarity of at least 0.9.
 PER = 19
 N2, K2 = 2, 1
 #: A bucket of so many sets or fewer gives all its pairs.
 SMALL = 8
+#: Differences from a leader that are listed.
+LISTED = 64
 #: Signatures that a task holds before it sends them on.
 FLUSH = 1 << 20
 
@@ -161,6 +164,8 @@ def candidates(docs: DataFrame, k: int = K) -> DataFrame:
                         more = np.maximum(n - step, 0)
                         left = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + np.repeat(at, more)
                         found.append((d[left], d[left + step]))
+                if not found:
+                    continue
                 a, b = (np.concatenate(x) for x in zip(*found, strict=True))
                 if len(a):
                     both = np.unique(np.stack([a, b], 1), axis=0)
@@ -181,6 +186,17 @@ def candidates(docs: DataFrame, k: int = K) -> DataFrame:
     return signed.mapInArrow(meet, "a long, b long, large boolean").groupBy("a", "b").agg(F.max("large").alias("large"))
 
 
+def common_leaders(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with each leader of large buckets replaced by its own smallest leader, if it has one. Buckets of one group of
+    near copies then mostly have one leader, and any set may serve: differences from it are what counts."""
+    large = pairs.filter("large")
+    own = large.groupBy("b").agg(F.min("a").alias("least")).withColumnRenamed("b", "a")
+    moved = large.join(joinable(own, "a"), "a", "left").select(F.coalesce("least", "a").alias("a"), "b").filter("a <> b")
+    # a leader stays with the sets that it led
+    kept = moved.union(own.select(F.col("least").alias("a"), F.col("a").alias("b")))
+    return kept.withColumn("large", F.lit(True)).union(pairs.filter("NOT large").select("a", "b", "large")).groupBy("a", "b").agg(F.max("large").alias("large"))
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, k: int = K) -> DataFrame:
     """id, s: the shingle hashes of the documents whose id is in ``ids``."""
 
@@ -190,7 +206,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, k: int = K) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
 
     wanted = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "id long, s array<long>").dropDuplicates(["id"])
+    return wanted.mapInArrow(run, "id long, s array<long>")
 
 
 def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -203,26 +219,121 @@ def similar(differences, sizes):
     return PER * differences <= sizes
 
 
+def sketch(d: np.ndarray, n: int, width: int = 0) -> np.ndarray:
+    """Parities of the elements in ``width`` bytes, which follow from the leader's size n if not given."""
+    width = width or 32 + n // 4
+    odd = np.bincount((mix(d.view(np.uint64)) % np.uint64(8 * width)).astype(np.int64), minlength=8 * width) & 1
+    return np.packbits(odd.astype(bool))
+
+
 def open_pairs(led: DataFrame) -> DataFrame:
-    """a, b: pairs of sets that may be similar, found by their differences from a common leader.
+    """a, b, sure: sets that similar pairs connect, where one of a pair is far from a common leader; found by the differences.
+    Pairs that are not sure are still to be compared.
 
     led: r, id, n (size), nr (size of r), extra and missing (what the set has and r lacks, and the other way round), far
-    (not similar to r).
+    (not similar to r). Rows that share a leader and a prefix element meet, and pairs among them are compared exactly; a
+    meeting of any size gives at most a row for each set, its smallest in reach. Sets of more than ``LISTED`` differences
+    have little to do with the leader; they carry a parity sketch, whose differing bits are never more than the elements that
+    differ, and what it can't rule out is compared by the sets.
     """
-    n, size = F.col("n_diff"), F.col("n")
-    rows = led.withColumn("n_diff", F.size("extra") + F.size("missing"))
-    rows = rows.withColumn("d", F.concat(F.sort_array("extra"), F.sort_array("missing")))
-    # any similar partner that is far from r shares at least t elements of d; any partner at all shares at least u
-    t = F.greatest(F.lit(1), F.ceil((PER * n + F.col("nr") + 1 - size) / (2 * PER)))
-    u = F.greatest(F.lit(1), F.ceil((PER * n - F.col("nr") - size) / (2 * PER)))
-    prefix = F.explode(F.expr("slice(d, 1, greatest(0, cut))")).alias("e")
-    short = rows.withColumn("cut", (n - t + 1).cast("int")).select("r", "id", "far", prefix)
-    long = rows.filter("far").withColumn("cut", (n - u + 1).cast("int")).select("r", "id", prefix)
-    near = short.filter("NOT far").select("r", "e", F.col("id").alias("b"))
-    far = short.filter("far")
-    one = long.select("r", "e", F.col("id").alias("a")).join(near, ["r", "e"]).select("a", "b")
-    two = far.select("r", "e", F.col("id").alias("a")).join(far.select("r", "e", F.col("id").alias("b")), ["r", "e"]).filter("a < b").select("a", "b")
-    return one.union(two).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[str, list] = {c: [] for c in ("r", "e", "id", "n", "far", "d", "sketch")}
+            values = (batch.column(c).to_pylist() for c in ("r", "id", "n", "nr", "far"))
+            for r, i, n, nr, far, extra, missing in zip(*values, batch.column("extra"), batch.column("missing"), strict=True):
+                d = np.concatenate([np.sort(extra.values.to_numpy()), np.sort(missing.values.to_numpy())])
+                # any similar partner that is far from r shares at least t elements of d; any partner at all, at least u
+                t, u = max(1, -(-(PER * len(d) + nr + 1 - n) // (2 * PER))), max(1, -(-(PER * len(d) - nr - n) // (2 * PER)))
+                prefix = d[: max(0, len(d) - (u if far else t) + 1)]
+                small = len(d) <= LISTED
+                out["r"] += [r] * len(prefix)
+                out["e"] += prefix.tolist()
+                out["id"] += [i] * len(prefix)
+                out["n"] += [n] * len(prefix)
+                out["far"] += [far] * len(prefix)
+                out["d"] += [d if small else None] * len(prefix)
+                out["sketch"] += [None if small else sketch(d, nr).tobytes()] * len(prefix)
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), types, strict=True)], names=list(out))
+
+    def hopeful(held: list[tuple], some: np.ndarray, others: np.ndarray) -> pa.RecordBatch | None:
+        """Pairs that sketches don't rule out, to be compared by their sets."""
+        width = next(len(x[4]) for x in held if x[4] is not None)
+        bits = np.stack([np.frombuffer(x[4], np.uint8) if x[4] is not None else sketch(x[3], 0, width) for x in held])
+        ids, size = np.array([x[0] for x in held]), np.array([x[1] for x in held])
+        found = []
+        for i in some:
+            least = _ONES[bits[i] ^ bits[others]].sum(1, dtype=np.int64)
+            j = others[similar(least, size[i] + size[others]) & (ids[others] != ids[i])]
+            found.append(np.stack([np.full(len(j), ids[i]), ids[j]]))
+        x, y = np.concatenate(found, axis=1)
+        if not len(x):
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.zeros(len(x), bool))], names=["a", "b", "sure"])
+
+    def met(every: list[tuple]) -> Iterator[pa.RecordBatch]:
+        listed = np.array([x[3] is not None for x in every])
+        away = np.array([x[2] for x in every])
+        if len(every) > 1 and not listed.all():
+            # sets that are not listed are far
+            out = hopeful(every, np.flatnonzero(~listed), np.arange(len(every)))
+            if out is not None:
+                yield out
+        held = [x for x, one in zip(every, listed, strict=True) if one]
+        if len(held) > 1 and away[listed].any():
+            out = exact(held)
+            if out is not None:
+                yield out
+
+    def exact(held: list[tuple]) -> pa.RecordBatch | None:
+        far = np.flatnonzero([x[2] for x in held])
+        ids, size = np.array([x[0] for x in held]), np.array([x[1] for x in held])
+        lengths = np.array([len(x[3]) for x in held])
+        _, element, count = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(held)), lengths)
+        shared = count[element] > 1
+        names, element = np.unique(element[shared], return_inverse=True)
+        owner = owner[shared]
+        label = np.arange(len(held))
+        found = []
+        wide = max(64, (1 << 22) // len(held))
+        for at in range(0, len(far), 512):
+            some = far[at : at + 512]
+            common = np.zeros((len(some), len(held)), np.float32)
+            for c in range(0, len(names), wide):
+                part = (element >= c) & (element < c + wide)
+                has = np.zeros((len(held), min(wide, len(names) - c)), np.float32)
+                has[owner[part], element[part] - c] = 1
+                common += has[some] @ has.T
+            differ = lengths[some][:, None] + lengths[None, :] - 2 * common.astype(np.int64)
+            x, y = np.nonzero(similar(differ, size[some][:, None] + size[None, :]))
+            x = some[x]
+            found.append(np.stack([x[x != y], y[x != y]]))
+        x, y = np.concatenate(found, axis=1)
+        while len(x):
+            least = label.copy()
+            np.minimum.at(least, x, label[y])
+            np.minimum.at(least, y, least[x])
+            least = least[least]
+            if (least == label).all():
+                break
+            label = least
+        moved = np.flatnonzero(ids[label] != ids)
+        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]]), pa.array(np.ones(len(moved), bool))], names=["a", "b", "sure"]) if len(moved) else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            values = (batch.column(c).to_pylist() for c in ("r", "e", "id", "n", "far", "sketch"))
+            for r, e, i, n, far, bits, d in zip(*values, batch.column("d"), strict=True):
+                if key != (r, e):
+                    yield from met(held)
+                    key, held = (r, e), []
+                held.append((i, n, far, d.values.to_numpy() if d.is_valid else None, bits))
+        yield from met(held)
+
+    rows = led.select("r", "id", "n", "nr", "far", "extra", "missing").mapInArrow(enter, "r long, e long, id long, n long, far boolean, d array<long>, sketch binary")
+    return rows.repartition("r", "e").sortWithinPartitions("r", "e").mapInArrow(run, "a long, b long, sure boolean").distinct()
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
@@ -235,9 +346,11 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = first.select(F.concat("digest", F.lit(b"")).alias("digest"), "b")
     exact = nodes.select("digest", F.col("doc_id").alias("a")).join(first, "digest").select("a", "b")
 
-    pairs = checkpointed(candidates(rows, k))
+    pairs = checkpointed(common_leaders(candidates(rows, k)))
+    release(docs.sparkSession)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = checkpointed(sets_of(rows, ids, k))
+    release(docs.sparkSession)
     common = F.size(F.array_intersect("x", "y"))
     sizes = F.size("x") + F.size("y")
     checked = with_sets(pairs, sets).withColumn("far", ~similar(sizes - 2 * common, sizes))
@@ -248,10 +361,12 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(F.col("large"), F.array_except("x", "y")).alias("missing"),
     )
     led = checkpointed(led)
+    release(docs.sparkSession)
     links = led.filter("NOT far").select("a", "b")
     far_groups = led.filter("large AND far").select(F.col("a").alias("r")).distinct()
     groups = led.filter("large").select(F.col("a").alias("r"), F.col("b").alias("id"), "n", "nr", "extra", "missing", "far").join(joinable(far_groups, "r"), "r", "left_semi")
-    more = with_sets(open_pairs(groups), sets).filter(similar(sizes - 2 * common, sizes)).select("a", "b")
+    more = checkpointed(open_pairs(groups))
+    more = more.filter("sure").select("a", "b").union(with_sets(more.filter("NOT sure").select("a", "b").distinct(), sets).filter(similar(sizes - 2 * common, sizes)).select("a", "b"))
     found = components(exact.union(links).union(more))
     return sized.join(joinable(found.withColumnRenamed("node", "doc_id"), "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
