@@ -138,13 +138,13 @@ def _(spark, d):
 
 # derived features
 
+NOMINAL = {"ECONOMY": 10.0, "LARGE": 30.0, "MEDIUM": 30.0, "PROMO": 30.0, "SMALL": 20.0, "STANDARD": 20.0}
+
 
 @query("derive_deviation", f"WITH {U}, n AS (SELECT *, CASE WHEN p_type LIKE 'E%' THEN 10.0 WHEN p_type LIKE 'S%' THEN 20.0 ELSE 30.0 END AS nominal FROM u) SELECT p_type, count(*) AS n, {r('avg(abs(p_size - nominal))')} AS mean_cd_dev, {r('avg(abs(l_discount - 0.05))')} AS mean_sin_dev FROM n GROUP BY p_type")
 def _(spark, d):
     u = read_units(spark, d)
-    names = [x[0] for x in u.sparkSession.read.parquet(f"{d}/part.parquet").select("p_type").distinct().limit(1000).collect()]  # nominals are a configured map; here one is made from names
-    nominals = {t: 10.0 if t.startswith("E") else 20.0 if t.startswith("S") else 30.0 for t in names}
-    x = derive.with_deviation(derive.with_nominal(u, CAT, nominals), "p_size", F.col("nominal"), "cd_dev")
+    x = derive.with_deviation(derive.with_nominal(u, CAT, NOMINAL), "p_size", F.col("nominal"), "cd_dev")
     x = derive.with_deviation(x, "l_discount", 0.05, "sin_dev")
     return rounded(x.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.avg("cd_dev").alias("mean_cd_dev"), F.avg("sin_dev").alias("mean_sin_dev")))
 
