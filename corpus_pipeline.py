@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from fablens.llm import decontaminate, encode, langid, pii, setjoin
 from fablens.llm.common import checkpoint_folder, table
 
+#: Near duplicates: five-word shingles, a Jaccard similarity of at least 0.8. (op9 has its own: three words and 0.9.)
+NEAR_K, NEAR_PERCENT = 5, 80
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that have no language (no text or no letter)."""
@@ -23,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that Jaccard links connect, only the one of smallest id. Those without an id stay."""
-    later = setjoin.similar_sets(docs).filter("component_id < doc_id").select(F.col("doc_id").alias("_later")).distinct()
+    later = setjoin.similar_sets(docs, k=NEAR_K, percent=NEAR_PERCENT).filter("component_id < doc_id").select(F.col("doc_id").alias("_later")).distinct()
     return docs.join(later, F.col("doc_id") == F.col("_later"), "left_anti")
 
 

@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard join by PartEnum signatures.
 
 Sets are dealt into bands of sizes so that similar sets lie in the same or the next band; each set signs for its own band
-and for the next. Within a band, sets of Jaccard similarity 0.9 or more differ in at most k elements. The feature domain is
+and for the next. Within a band, sets of the asked Jaccard similarity or more differ in at most k elements. The feature domain is
 hashed into n1 parts of n2 subparts each, with n1 * (k2 + 1) > k; at least one part then holds at most k2 differences, and
 of its subparts some n2 - k2 hold none. So a signature for each part and each choice of n2 - k2 subparts (part number,
 choice and the elements in it) makes every similar pair share one. With k2 = 1 and n2 = 2 there are about k + 1 of them.
@@ -14,7 +14,7 @@ elements of D that one of them lies in a short prefix of both (elements that r l
 so are compared exactly. No bucket's pairs are all listed and none is capped.
 
 Exact copies are one class each, found by a digest of their set, and sign once for each task. Similarity is decided on
-64-bit shingle hashes: 19 |x ^ y| <= |x| + |y| is the same as 100 |x & y| >= 90 |x | y|.
+64-bit shingle hashes: (100 + p) |x ^ y| <= (100 - p) (|x| + |y|) is the same as 100 |x & y| >= p |x | y|.
 
 Defined cases: a text that is null or has no word has an empty set and links with nothing; rows that share an id are one
 node; a null id links with nothing and has a null component; every input row gives one output row; ties do not arise, as a
@@ -27,6 +27,7 @@ import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import combinations
+from math import gcd
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,9 @@ from .components import components, joinable
 from .shingles import mix, shingle_set
 
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+#: op9's shingles and similarity: three words, a Jaccard similarity of at least 0.9.
 K = 3
-#: Similar is 19 * differences <= sum of sizes, which is a Jaccard similarity of at least 0.9.
-PER = 19
+PERCENT = 90
 N2, K2 = 2, 1
 #: A bucket of so many sets or fewer gives all its pairs.
 SMALL = 8
@@ -50,22 +51,32 @@ LISTED = 64
 FLUSH = 1 << 20
 
 
-_LAST: list[int] = [1]  # largest size of each band: the largest that a set of its smallest size may match
+_LAST: dict[int, list[int]] = {}  # by percent, largest size of each band: the largest that a set of its smallest size may match
 
 
-def bands(n: int) -> list[tuple[int, int]]:
+def bands(n: int, percent: int = PERCENT) -> list[tuple[int, int]]:
     """The band of size n and the next: (number, largest size)."""
-    while len(_LAST) < 2 or _LAST[-2] < n:
-        _LAST.append((_LAST[-1] + 1) * 10 // 9)
-    i = bisect_left(_LAST, n)
-    return [(i, _LAST[i]), (i + 1, _LAST[i + 1])]
+    last = _LAST.setdefault(percent, [100 // percent])
+    while len(last) < 2 or last[-2] < n:
+        last.append((last[-1] + 1) * 100 // percent)
+    i = bisect_left(last, n)
+    return [(i, last[i]), (i + 1, last[i + 1])]
 
 
-def signatures(elements: np.ndarray) -> np.ndarray:
+def bounds(percent: int) -> tuple[int, int]:
+    """(up, down): similar is up * differences <= down * sum of sizes."""
+    if not 0 < percent < 100:
+        raise ValueError("percent must be between 1 and 99")
+    common = gcd(100 + percent, 100 - percent)
+    return (100 + percent) // common, (100 - percent) // common
+
+
+def signatures(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The PartEnum signatures of a set of hashes."""
+    up, down = bounds(percent)
     out = []
-    for number, largest in bands(len(elements)):
-        k = 2 * largest // PER
+    for number, largest in bands(len(elements), percent):
+        k = 2 * largest * down // up
         n1 = -(-(k + 1) // (K2 + 1))
         cell = (mix(elements + np.uint64(number)) >> np.uint64(11)) % np.uint64(n1 * N2)
         # the content of a subpart: its elements' sum under a second hash, with their number
@@ -102,7 +113,7 @@ def set_digests(docs: DataFrame, k: int = K) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary")
 
 
-def candidates(docs: DataFrame, k: int = K) -> DataFrame:
+def candidates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """a, b, large: pairs of ids that share a signature; in a large bucket, its leader a with each other set b."""
     spark = docs.sparkSession
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -127,7 +138,7 @@ def candidates(docs: DataFrame, k: int = K) -> DataFrame:
                 if not len(s) or (digest := _digest(s)) in seen:
                     continue
                 seen.add(digest)
-                got = signatures(s)
+                got = signatures(s, percent)
                 sigs.append(got)
                 ids.append(np.full(len(got), doc, np.int64))
                 held += len(got)
@@ -215,8 +226,9 @@ def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return one.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
 
 
-def similar(differences, sizes):
-    return PER * differences <= sizes
+def similar(differences, sizes, percent: int = PERCENT):
+    up, down = bounds(percent)
+    return up * differences <= down * sizes
 
 
 def sketch(d: np.ndarray, n: int, width: int = 0) -> np.ndarray:
@@ -226,7 +238,7 @@ def sketch(d: np.ndarray, n: int, width: int = 0) -> np.ndarray:
     return np.packbits(odd.astype(bool))
 
 
-def open_pairs(led: DataFrame) -> DataFrame:
+def open_pairs(led: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b, sure: sets that similar pairs connect, where one of a pair is far from a common leader; found by the differences.
     Pairs that are not sure are still to be compared.
 
@@ -236,6 +248,8 @@ def open_pairs(led: DataFrame) -> DataFrame:
     have little to do with the leader; they carry a parity sketch, whose differing bits are never more than the elements that
     differ, and what it can't rule out is compared by the sets.
     """
+    up, down = bounds(percent)
+
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("r", "e", "id", "n", "far", "d", "sketch")}
@@ -243,7 +257,7 @@ def open_pairs(led: DataFrame) -> DataFrame:
             for r, i, n, nr, far, extra, missing in zip(*values, batch.column("extra"), batch.column("missing"), strict=True):
                 d = np.concatenate([np.sort(extra.values.to_numpy()), np.sort(missing.values.to_numpy())])
                 # any similar partner that is far from r shares at least t elements of d; any partner at all, at least u
-                t, u = max(1, -(-(PER * len(d) + nr + 1 - n) // (2 * PER))), max(1, -(-(PER * len(d) - nr - n) // (2 * PER)))
+                t, u = max(1, -(-(up * len(d) + down * (nr - n) + 1) // (2 * up))), max(1, -(-(up * len(d) - down * (nr + n)) // (2 * up)))
                 prefix = d[: max(0, len(d) - (u if far else t) + 1)]
                 small = len(d) <= LISTED
                 out["r"] += [r] * len(prefix)
@@ -260,11 +274,12 @@ def open_pairs(led: DataFrame) -> DataFrame:
         """Pairs that sketches don't rule out, to be compared by their sets."""
         width = next(len(x[4]) for x in held if x[4] is not None)
         bits = np.stack([np.frombuffer(x[4], np.uint8) if x[4] is not None else sketch(x[3], 0, width) for x in held])
-        ids, size = np.array([x[0] for x in held]), np.array([x[1] for x in held])
+        ids, size, away = (np.array([x[c] for x in held]) for c in range(3))
         found = []
         for i in some:
             least = _ONES[bits[i] ^ bits[others]].sum(1, dtype=np.int64)
-            j = others[similar(least, size[i] + size[others]) & (ids[others] != ids[i])]
+            # sets that are both similar to the leader are linked by it
+            j = others[similar(least, size[i] + size[others], percent) & (ids[others] != ids[i]) & (away[i] | away[others])]
             found.append(np.stack([np.full(len(j), ids[i]), ids[j]]))
         x, y = np.concatenate(found, axis=1)
         if not len(x):
@@ -274,8 +289,7 @@ def open_pairs(led: DataFrame) -> DataFrame:
     def met(every: list[tuple]) -> Iterator[pa.RecordBatch]:
         listed = np.array([x[3] is not None for x in every])
         away = np.array([x[2] for x in every])
-        if len(every) > 1 and not listed.all():
-            # sets that are not listed are far
+        if len(every) > 1 and not listed.all() and away.any():
             out = hopeful(every, np.flatnonzero(~listed), np.arange(len(every)))
             if out is not None:
                 yield out
@@ -306,7 +320,7 @@ def open_pairs(led: DataFrame) -> DataFrame:
                 has[owner[part], element[part] - c] = 1
                 common += has[some] @ has.T
             differ = lengths[some][:, None] + lengths[None, :] - 2 * common.astype(np.int64)
-            x, y = np.nonzero(similar(differ, size[some][:, None] + size[None, :]))
+            x, y = np.nonzero(similar(differ, size[some][:, None] + size[None, :], percent))
             x = some[x]
             found.append(np.stack([x[x != y], y[x != y]]))
         x, y = np.concatenate(found, axis=1)
@@ -336,8 +350,8 @@ def open_pairs(led: DataFrame) -> DataFrame:
     return rows.repartition("r", "e").sortWithinPartitions("r", "e").mapInArrow(run, "a long, b long, sure boolean").distinct()
 
 
-def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id."""
+def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id; linked are sets of k-word shingles of Jaccard similarity percent / 100 or more."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sized = checkpointed(set_digests(rows, k))
@@ -346,14 +360,14 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = first.select(F.concat("digest", F.lit(b"")).alias("digest"), "b")
     exact = nodes.select("digest", F.col("doc_id").alias("a")).join(first, "digest").select("a", "b")
 
-    pairs = checkpointed(common_leaders(candidates(rows, k)))
+    pairs = checkpointed(common_leaders(candidates(rows, k, percent)))
     release(docs.sparkSession)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = checkpointed(sets_of(rows, ids, k))
     release(docs.sparkSession)
     common = F.size(F.array_intersect("x", "y"))
     sizes = F.size("x") + F.size("y")
-    checked = with_sets(pairs, sets).withColumn("far", ~similar(sizes - 2 * common, sizes))
+    checked = with_sets(pairs, sets).withColumn("far", ~similar(sizes - 2 * common, sizes, percent))
     led = checked.select(
         "a", "b", "far", "large",
         F.size("y").alias("n"), F.size("x").alias("nr"),
@@ -365,8 +379,8 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = led.filter("NOT far").select("a", "b")
     far_groups = led.filter("large AND far").select(F.col("a").alias("r")).distinct()
     groups = led.filter("large").select(F.col("a").alias("r"), F.col("b").alias("id"), "n", "nr", "extra", "missing", "far").join(joinable(far_groups, "r"), "r", "left_semi")
-    more = checkpointed(open_pairs(groups))
-    more = more.filter("sure").select("a", "b").union(with_sets(more.filter("NOT sure").select("a", "b").distinct(), sets).filter(similar(sizes - 2 * common, sizes)).select("a", "b"))
+    more = checkpointed(open_pairs(groups, percent))
+    more = more.filter("sure").select("a", "b").union(with_sets(more.filter("NOT sure").select("a", "b").distinct(), sets).filter(similar(sizes - 2 * common, sizes, percent)).select("a", "b"))
     found = components(exact.union(links).union(more))
     return sized.join(joinable(found.withColumnRenamed("node", "doc_id"), "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 

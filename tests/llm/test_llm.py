@@ -295,3 +295,48 @@ def test_pipeline(spark):
     for d, t, _ in first:
         if d in out and not plain_pii(t) and not re.search("[0-9]", t):
             assert out[d].n_tokens == len(own.encode(t))
+
+
+def plain_near(rows, k, percent):
+    """Pairs (smaller id, larger id) of the asked similarity, and each id's smallest connected id."""
+    sets = {}
+    for d, t, _ in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        sets[d] = {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+    label = {d: d for d in sets}
+    ids = sorted(sets)
+    pairs = {(b, a) for n, a in enumerate(ids) for b in ids[:n] if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+    before = None
+    while before != label:
+        before = dict(label)
+        for b, a in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    return pairs, label
+
+
+@pytest.mark.parametrize("small", [8, 1])
+def test_jaccard_join_at_other_settings(spark, docs, small, monkeypatch):
+    monkeypatch.setattr(setjoin, "SMALL", small)
+    for k, percent in ((5, 80), (2, 75)):
+        got = {r.doc_id: r.component_id for r in setjoin.similar_sets(docs, k=k, percent=percent).collect()}
+        assert got == plain_near(fixture(), k, percent)[1]
+    # long near copies: more differences from the leader than are listed
+    r = random.Random(2)
+    base, rows = words(r, 900).split(), []
+    for i in range(30):
+        w = list(base)
+        for at in r.sample(range(900), r.choice([2, 12, 25, 60])):
+            w[at] = words(r, 1)
+        rows.append((i, " ".join(w), ""))
+    got = {g.doc_id: g.component_id for g in setjoin.similar_sets(spark.createDataFrame(rows, TEXT), k=5, percent=80).collect()}
+    assert got == plain_near(rows, 5, 80)[1] and len(set(got.values())) > 1
+
+
+def test_pipeline_near_duplicates(spark):
+    """The stage keeps one of each group of five-word Jaccard similarity 0.8 or more."""
+    import corpus_pipeline
+
+    rows = fixture(seed=11)
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, TEXT), "").collect()}
+    assert kept == {d for d, first in plain_near(rows, 5, 80)[1].items() if d == first}
+    assert kept != {d for d, first in plain_near(rows, 3, 90)[1].items() if d == first}
