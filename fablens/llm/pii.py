@@ -1,8 +1,10 @@
 """Personal data by bootstrapped contextual extraction.
 
 Base      Expressions find e-mail addresses, IP addresses, payment cards and phone numbers, with checks of their parts.
-Patterns  These seed entities stand in lexical contexts: the two words before them. Every other identifier-like token (one
-          that holds a digit) stands in a context too. Patterns and tokens make a graph.
+Patterns  These seed entities stand in lexical contexts: the two words before them. A seed is an instance by its whole text,
+          with spaces and brackets, digits or none; of seeds within one another only the outermost, and of those that begin
+          together the longest. Every other identifier-like token (one that holds a digit) stands in a context too. Patterns
+          and instances make a graph.
 Scoring   Seeds have confidence 1. In each round a pattern's score is the mean confidence of its distinct tokens, if enough
           of them are confident, and a token's confidence is 1 less the product of 1 - score over its patterns.
 Discovery Tokens in the context of a pattern that ends with a high score are identifiers too (kind ``id``).
@@ -46,12 +48,9 @@ def _matches(t: str, o: int, kind: str, pattern: str, cond: Column, df: DataFram
     df = df.withColumn("_g", F.when(F.size("_m") > 0, F.split(F.col(t), pattern, -1)).otherwise(empty))
     # the arrays are arguments, never looked up from within a lambda: there they could be made anew for each element
     pairs = "zip_with(_m, slice(_g, 1, size(_m)), (m, g) -> struct(m, g))"
-    if kind == "token":
-        past = "zip_with(slice(concat(array(''), _m), 1, size(_m)), slice(concat(array(''), _g), 1, size(_m)), (m, g) -> struct(m, g))"
-        before = f"right(concat(right(y.g, {WINDOW}), right(y.m, {WINDOW}), right(x.g, {WINDOW})), {WINDOW})"
-        zipped = f"zip_with({pairs}, {past}, (x, y) -> struct(x.m AS m, x.g AS g, {before} AS before))"
-    else:
-        zipped = f"transform({pairs}, x -> struct(x.m AS m, x.g AS g, cast(NULL AS string) AS before))"
+    past = "zip_with(slice(concat(array(''), _m), 1, size(_m)), slice(concat(array(''), _g), 1, size(_m)), (m, g) -> struct(m, g))"
+    before = f"right(concat(right(y.g, {WINDOW}), right(y.m, {WINDOW}), right(x.g, {WINDOW})), {WINDOW})"
+    zipped = f"zip_with({pairs}, {past}, (x, y) -> struct(x.m AS m, x.g AS g, {before} AS before))"
     return df.withColumn(kind, F.expr(f"transform({zipped}, (x, i) -> struct({o} AS o, '{kind}' AS kind, i AS i, x.m AS m, length(x.g) AS gap, x.before AS before))")).drop("_m", "_g")
 
 
@@ -66,7 +65,8 @@ _VALID = {
 
 
 def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, rid, o, kind, s, e of base spans; and, of kind token, identifier-like tokens with m, pattern and seed.
+    """doc, rid, o, kind, s, e of base spans and, of kind token, of identifier-like tokens; their text m, their pattern and
+    seed: for a token, that a base span begins where it does; for a base span, that it is an instance.
 
     A text's matches become rows, whose places are sums of the widths before them, so a text of any number of matches is
     handled in linear time.
@@ -90,11 +90,13 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base_end = F.when(F.col("kind") != "token", F.col("e"))
     place = Window.partitionBy("doc", "rid").orderBy("s")
     rows = rows.withColumn("open", F.max(base_end).over(place.rangeBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("seed", F.max(base_end).over(place.rangeBetween(0, 0)).isNotNull())
-    # a token that begins inside a seed without beginning it is a part of that seed
-    rows = rows.filter((F.col("kind") != "token") | F.coalesce(F.col("open") <= F.col("s"), F.lit(True)))
+    rows = rows.withColumn("longest", F.max(base_end).over(place.rangeBetween(0, 0)))
+    # what begins inside a seed without beginning it is a part of that seed
+    outer = F.coalesce(F.col("open") <= F.col("s"), F.lit(True))
+    rows = rows.filter((F.col("kind") != "token") | outer)
+    rows = rows.withColumn("seed", F.when(F.col("kind") == "token", F.col("longest").isNotNull()).otherwise(outer & (F.col("e") == F.col("longest"))))
     left, right = (F.nullif(F.regexp_extract("before", CONTEXT, n), F.lit("")) for n in (1, 2))
-    pattern = F.when(F.col("kind") == "token", F.lower(F.concat_ws(" ", left, right)))
+    pattern = F.when((F.col("kind") == "token") | F.col("seed"), F.lower(F.concat_ws(" ", left, right)))
     return rows.select("doc", "rid", "o", "kind", "s", "e", "m", pattern.alias("pattern"), "seed")
 
 
@@ -121,9 +123,10 @@ def joinable_text(df: DataFrame, key: str) -> DataFrame:
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, support: int = SUPPORT, least: float = SCORE) -> DataFrame:
     """Per document: doc_id, text_hash, base and found: arrays of (s, o, kind, e) in order."""
     marks = checkpointed(scan(docs, id_col, text_col))
-    tokens = marks.filter("kind = 'token' AND pattern <> ''")
-    strong = score_patterns(tokens.groupBy("pattern", "m").agg(F.max("seed").alias("seed")), rounds, support).filter(F.col("score") >= least)
-    more = tokens.filter("NOT seed").join(joinable_text(strong.select("pattern"), "pattern"), "pattern").select("doc", "rid", "s", "o", F.lit("id").alias("kind"), "e")
+    # a seed is its own instance; the token that begins with it is a part of it, or holds it
+    instances = marks.filter("pattern <> '' AND (kind = 'token') <> seed")
+    strong = score_patterns(instances.groupBy("pattern", "m").agg(F.max("seed").alias("seed")), rounds, support).filter(F.col("score") >= least)
+    more = instances.filter("NOT seed").join(joinable_text(strong.select("pattern"), "pattern"), "pattern").select("doc", "rid", "s", "o", F.lit("id").alias("kind"), "e")
     spans = marks.filter("kind <> 'token'").select("doc", "rid", "s", "o", "kind", "e").union(more)
     one = F.struct(F.col("s").cast("int").alias("s"), "o", "kind", F.col("e").cast("int").alias("e"))
     of = lambda cond: F.sort_array(F.collect_list(F.when(cond, one)))

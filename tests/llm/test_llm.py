@@ -340,3 +340,20 @@ def test_pipeline_near_duplicates(spark):
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, TEXT), "").collect()}
     assert kept == {d for d, first in plain_near(rows, 5, 80)[1].items() if d == first}
     assert kept != {d for d, first in plain_near(rows, 3, 90)[1].items() if d == first}
+
+
+@pytest.mark.parametrize(
+    "seeds",
+    [
+        ["+1 (017) 555-7713", "+1 (018) 555-7714", "+1 (019) 555-7715", "+1 (020) 555-7716"],
+        ["4111 1111 1111 1111", "4111 1111 1111 1129", "4111 1111 1111 1137", "4111 1111 1111 1145"],
+        ["jane.doe@example.org", "john.roe@example.org", "ann.poe@example.org", "tom.coe@example.org"],
+    ],
+)
+def test_pii_seeds_count_by_their_whole_text(spark, seeds):
+    assert all(plain_pii(x) for x in seeds)
+    texts = [f"hello please contact officer number {x} for help" for x in seeds]
+    texts += ["hello please contact officer number zz981 for help", "other words before zz982 for help"]
+    texts += [f"the same desk again {seeds[0]} for help", "the same desk again zz983 for help"]  # one seed is no support
+    got = pii.extract(spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], TEXT)).select("doc_id", pii.listed(F.col("found")).alias("found")).collect()
+    assert {g.doc_id: g.found for g in got if g.found} == {4: "id:36:41"}
