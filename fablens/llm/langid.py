@@ -6,8 +6,10 @@ likelihood less a penalty for each language beyond the first (Schwarz's, times `
 not independent). The prediction is the largest share of that set; the score is its share in the mixture of all.
 
 The distributions are learned from a bounded sample of labelled rows: every row whose id's hash falls below
-``SAMPLE_ROWS`` divided by the number of labelled rows. So the sample is about ``SAMPLE_ROWS`` rows at any size of the
-corpus; whole texts are read. The model has ``BUCKETS`` numbers a language.
+``SAMPLE_ROWS`` divided by the number of labelled rows or ``LEAST_ROWS`` divided by that of its language, whichever is more.
+So the sample is about ``SAMPLE_ROWS`` rows at any size of the corpus and up to ``LEAST_ROWS`` more for each rare language;
+whole texts are read. A label that the sample shows no letter of is learned from all of its rows, so every label that has a
+letter is learned. The model has ``BUCKETS`` numbers a language.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text if nothing is labelled;
 equal likelihoods go to the alphabetically first language; each input row gives one output row, so repeated rows stay; a
@@ -20,6 +22,7 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +32,7 @@ from .common import ship, table
 BITS = 14
 BUCKETS = 1 << BITS
 SAMPLE_ROWS = 8_000
+LEAST_ROWS = 1_000
 PENALTY = 4.0
 ROUNDS = 12
 UNKNOWN = "und"
@@ -95,13 +99,17 @@ def infer(counts: np.ndarray, probs: np.ndarray) -> tuple[int, float, list[int]]
     return best, float(min(1.0, max(0.0, share[best]))), chosen
 
 
-def learn(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
+def learn(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, sample_rows: int = SAMPLE_ROWS, least_rows: int = LEAST_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages and their smoothed trigram distributions (buckets by languages), from a bounded sample of rows."""
     ship(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    n = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).filter("id IS NOT NULL AND lang IS NOT NULL").count()
+    tally = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).filter("id IS NOT NULL AND lang IS NOT NULL").groupBy("lang").count()
+    rows_of = {r["lang"]: r["count"] for r in tally.collect()}
     wide = 1 << 30
-    sample = rows.filter(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(wide)) < int(wide * min(1.0, sample_rows / max(1, n))))
+    rate = sample_rows / max(1, sum(rows_of.values()))
+    most = [(lang, int(wide * min(1.0, max(rate, least_rows / n)))) for lang, n in rows_of.items()]
+    limits = labelled.sparkSession.createDataFrame(most, "lang string, most long")
+    sample = rows.join(F.broadcast(limits), "lang").filter(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(wide)) < F.col("most"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -115,7 +123,14 @@ def learn(labelled: DataFrame, text_col: str, lang_col: str, id_col: str, sample
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(got[at], pa.int64())], names=["lang", "bucket", "n"])
 
     # at most BUCKETS rows for each language
-    model = sample.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    def counted(some: DataFrame):
+        return some.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+
+    model = counted(sample)
+    unseen = [x for x in most if x[1] < wide and x[0] not in set(model["lang"])]
+    if unseen:
+        rest = labelled.sparkSession.createDataFrame(unseen, limits.schema)
+        model = pd.concat([model, counted(rows.join(F.broadcast(rest), "lang", "left_semi"))])
     langs = sorted(model["lang"].unique())
     counts = np.zeros((BUCKETS, max(1, len(langs))))
     for i, lang in enumerate(langs):

@@ -357,3 +357,12 @@ def test_pii_seeds_count_by_their_whole_text(spark, seeds):
     texts += [f"the same desk again {seeds[0]} for help", "the same desk again zz983 for help"]  # one seed is no support
     got = pii.extract(spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], TEXT)).select("doc_id", pii.listed(F.col("found")).alias("found")).collect()
     assert {g.doc_id: g.found for g in got if g.found} == {4: "id:36:41"}
+
+
+def test_every_label_is_learned(spark):
+    rows = [(i, "the and of with from this", "en") for i in range(3000)] + [(3000 + i, "och det att som en inte", "sv") for i in range(3)]
+    rows += [(4000 + i, "\u00f8 \u00e6 ikke" if i == 77 else "12 34", "nb") for i in range(300)] + [(5000, "...", "none")]
+    langs, probs = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id", 50, 20)
+    assert langs == ["en", "nb", "sv"] and np.allclose(probs.sum(0), 1)
+    got = langid.identify(spark.createDataFrame([(1, "och det att som en inte", ""), (2, "the and of with", "")], TEXT), langs, probs).orderBy("doc_id").collect()
+    assert [g.lang_pred for g in got] == ["sv", "en"]
