@@ -5,6 +5,8 @@ and for the next. Within a band, sets of the asked Jaccard similarity or more di
 hashed into n1 parts of n2 subparts each, with n1 * (k2 + 1) > k; at least one part then holds at most k2 differences, and
 of its subparts some n2 - k2 hold none. So a signature for each part and each choice of n2 - k2 subparts (part number,
 choice and the elements in it) makes every similar pair share one. With k2 = 1 and n2 = 2 there are about k + 1 of them.
+A subpart of fewer than ``LEAST`` elements tells sets badly apart: many share it. But the part's other subpart then has at
+most one difference too, so it is cut into ``PIECES``, and there is a signature with all of them but one for each of them.
 
 Signatures meet by hash, as packed binary blocks. A bucket of at most ``SMALL`` sets gives all its pairs. In a larger one
 every set is compared with the bucket's first, its leader, and the pairs among the others that are still open (at least one
@@ -26,7 +28,6 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import combinations
 from math import gcd
 
 import numpy as np
@@ -43,6 +44,7 @@ _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 K = 3
 PERCENT = 90
 N2, K2 = 2, 1
+LEAST, PIECES = 1, 4
 #: A bucket of so many sets or fewer gives all its pairs.
 SMALL = 8
 #: Differences from a leader that are listed.
@@ -78,19 +80,24 @@ def signatures(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     for number, largest in bands(len(elements), percent):
         k = 2 * largest * down // up
         n1 = -(-(k + 1) // (K2 + 1))
-        cell = (mix(elements + np.uint64(number)) >> np.uint64(11)) % np.uint64(n1 * N2)
-        # the content of a subpart: its elements' sum under a second hash, with their number
+        place = mix(elements + np.uint64(number))
+        piece = (place >> np.uint64(11)) % np.uint64(n1 * N2) * np.uint64(PIECES) + place % np.uint64(PIECES)
+        # the content of a subpart or piece: its elements' sum under a second hash, with their number
         value = mix(elements * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-        order = np.argsort(cell, kind="stable")
+        order = np.argsort(piece, kind="stable")
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[order], dtype=np.uint64)])
-        ends = np.searchsorted(cell[order], np.arange(n1 * N2 + 1, dtype=np.uint64))
-        content = mix(total[ends[1:]] - total[ends[:-1]] + np.diff(ends).astype(np.uint64)).reshape(n1, N2)
-        for c, chosen in enumerate(combinations(range(N2), N2 - K2)):
+        ends = np.searchsorted(piece[order], np.arange(n1 * N2 * PIECES + 1, dtype=np.uint64))
+        n = np.diff(ends).reshape(n1, N2, PIECES)
+        pieces = (total[ends[1:]] - total[ends[:-1]]).reshape(n1, N2, PIECES) + n.astype(np.uint64)
+        whole = pieces.sum(2, dtype=np.uint64)
+        content, few = mix(whole), n.sum(2) < LEAST
+        for c in range(N2):
             h = np.arange(n1, dtype=np.uint64) * np.uint64(64) + np.uint64(c)
             h = mix(h + np.uint64(number * 0x165667B19E3779F9 & (1 << 64) - 1))
-            for j in chosen:
-                h = mix(h * np.uint64(0xC2B2AE3D27D4EB4F) + content[:, j])
-            out.append(h)
+            h = mix(h * np.uint64(0xC2B2AE3D27D4EB4F) + content[:, c])
+            out.append(h[~few[:, c]])
+            rest = mix(whole[few[:, c], 1 - c, None] - pieces[few[:, c], 1 - c])
+            out.append(mix((h[few[:, c], None] + np.arange(1, PIECES + 1, dtype=np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F) + rest).ravel())
     return np.concatenate(out)
 
 
@@ -238,6 +245,32 @@ def sketch(d: np.ndarray, n: int, width: int = 0) -> np.ndarray:
     return np.packbits(odd.astype(bool))
 
 
+def hopeful_pairs(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``pairs`` without those that parity sketches rule out, whose differing bits are never more than the elements that differ.
+    So few of the pairs that share a signature by chance are met by their sets."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [x.values.to_numpy() for x in batch.column(1)]
+            # a power of two of bytes: a wider sketch folds to a narrower one
+            bits = [sketch(v, 0, 1 << max(5, (len(v) // 4).bit_length())).tobytes() for v in values]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(v) for v in values], pa.int64()), pa.array(bits, pa.binary())], names=["id", "n", "bits"])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = []
+            for n, m, p, q in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "p", "q")), strict=True):
+                width = min(len(p), len(q))
+                x, y = (np.bitwise_xor.reduce(np.frombuffer(z, np.uint8).reshape(-1, width), axis=0) for z in (p, q))
+                held.append(bool(similar(int(_ONES[x ^ y].sum(dtype=np.int64)), n + m, percent)))
+            yield batch.select(["a", "b", "large"]).filter(pa.array(held, pa.bool_()))
+
+    drawn = checkpointed(sets.mapInArrow(draw, "id long, n long, bits binary"))
+    small = pairs.filter("NOT large").join(drawn.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("q")), "b")
+    small = small.join(drawn.select(F.col("id").alias("a"), "n", F.col("bits").alias("p")), "a")
+    return small.mapInArrow(keep, "a long, b long, large boolean").union(pairs.filter("large").select("a", "b", "large"))
+
+
 def open_pairs(led: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b, sure: sets that similar pairs connect, where one of a pair is far from a common leader; found by the differences.
     Pairs that are not sure are still to be compared.
@@ -367,6 +400,8 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     release(docs.sparkSession)
     common = F.size(F.array_intersect("x", "y"))
     sizes = F.size("x") + F.size("y")
+    pairs = checkpointed(hopeful_pairs(pairs, sets, percent))
+    release(docs.sparkSession)
     checked = with_sets(pairs, sets).withColumn("far", ~similar(sizes - 2 * common, sizes, percent))
     led = checked.select(
         "a", "b", "far", "large",
