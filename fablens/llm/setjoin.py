@@ -8,12 +8,17 @@ choice and the elements in it) makes every similar pair share one. With k2 = 1 a
 A subpart of fewer than ``LEAST`` elements tells sets badly apart: many share it. But the part's other subpart then has at
 most one difference too, so it is cut into ``PIECES``, and there is a signature with all of them but one for each of them.
 
+A band whose similar sets are equal sets (k = 0) needs no signature.
+
 Signatures meet by hash, as packed binary blocks. A bucket of at most ``SMALL`` sets gives all its pairs. In a larger one
-every set is compared with the bucket's first, its leader, and the pairs among the others that are still open (at least one
-of them not similar to the leader) are found exactly, by their differences from the leader: if D(x) is what x and the leader
-r do not share, then x and y differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| elements, so a similar pair must share so many
-elements of D that one of them lies in a short prefix of both (elements that r lacks come first, being rare). Those that meet
-so are compared exactly. No bucket's pairs are all listed and none is capped.
+every set is compared with the bucket's first, its leader. Links found so far label the sets, and only pairs of sets of
+different labels, of which one at least isn't similar to the leader, are still open. They are found exactly, by their
+differences from the leader: if D(x) is what x and the leader r do not share, then x and y differ in
+|D(x)| + |D(y)| - 2 |D(x) & D(y)| elements, so a similar pair must share so many elements of D that one of them lies in a
+short prefix of both (elements that r lacks come first, being rare). Of those that meet so, parity sketches (whose differing
+bits are never more than the elements that differ) rule out most, and each far set is compared with its nearest of the rest;
+links join labels, and who has other hopeful partners of another label meets more of them in the next round, until none has.
+No bucket's pairs are all listed and none is capped.
 
 Exact copies are one class each, found by a digest of their set, and sign once for each task. Similarity is decided on
 64-bit shingle hashes: (100 + p) |x ^ y| <= (100 - p) (|x| + |y|) is the same as 100 |x & y| >= p |x | y|.
@@ -47,8 +52,8 @@ N2, K2 = 2, 1
 LEAST, PIECES = 1, 4
 #: A bucket of so many sets or fewer gives all its pairs.
 SMALL = 8
-#: Differences from a leader that are listed.
-LISTED = 64
+#: Sets of one meeting in a task; second leaders that a group gets.
+BLOCK, RELEADS = 2048, 2
 #: Signatures that a task holds before it sends them on.
 FLUSH = 1 << 20
 
@@ -79,6 +84,8 @@ def signatures(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     out = []
     for number, largest in bands(len(elements), percent):
         k = 2 * largest * down // up
+        if k == 0:  # only equal sets are similar, and those are one class already
+            continue
         n1 = -(-(k + 1) // (K2 + 1))
         place = mix(elements + np.uint64(number))
         piece = (place >> np.uint64(11)) % np.uint64(n1 * N2) * np.uint64(PIECES) + place % np.uint64(PIECES)
@@ -98,7 +105,7 @@ def signatures(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
             out.append(h[~few[:, c]])
             rest = mix(whole[few[:, c], 1 - c, None] - pieces[few[:, c], 1 - c])
             out.append(mix((h[few[:, c], None] + np.arange(1, PIECES + 1, dtype=np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F) + rest).ravel())
-    return np.concatenate(out)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def _digest(elements: np.ndarray) -> bytes:
@@ -271,116 +278,152 @@ def hopeful_pairs(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
     return small.mapInArrow(keep, "a long, b long, large boolean").union(pairs.filter("large").select("a", "b", "large"))
 
 
-def open_pairs(led: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b, sure: sets that similar pairs connect, where one of a pair is far from a common leader; found by the differences.
-    Pairs that are not sure are still to be compared.
+def with_label(rows: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
+    """``rows`` with the smallest id that links known so far reach from ``key``."""
+    own = joinable(labels.select(F.col("node").alias(key), "component"), key)
+    return rows.join(own, key, "left").withColumn("label", F.coalesce("component", key)).drop("component")
+
+
+def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` (r, id, far) with their labels, of the groups whose sets have several. The leader has met all of its group."""
+    named = with_label(members, labels)
+    several = named.groupBy("r").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("r")
+    return named.join(joinable(several, "r"), "r", "left_semi")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The similar ones of ``pairs`` (a, b), by their sets."""
+    return with_sets(pairs, sets).filter(similar(F.size("x") + F.size("y") - 2 * F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y"), percent)).select("a", "b")
+
+
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after more links: only their labels' own graph is walked again."""
+    ends = with_label(with_label(links.select("a", "b"), labels, "a").select(F.col("label").alias("u"), "b"), labels, "b")
+    merged = components(ends.select("u", F.col("label").alias("v")), "u", "v")
+    moved = merged.select((F.col("node") + 0).alias("component"), F.col("component").alias("first"))
+    kept = labels.join(moved, "component", "left").select("node", F.coalesce("first", "component").alias("component"))
+    return checkpointed(kept.union(merged.select("node", "component")))
+
+
+def second_leaders(members: DataFrame) -> DataFrame:
+    """a, b: in each group the smallest set that is far from the leader, with every set of another label."""
+    led = members.filter("far").groupBy("r").agg(F.min(F.struct("id", "label")).alias("s"))
+    led = joinable(led.select("r", F.col("s.id").alias("a"), F.col("s.label").alias("own")), "r")
+    return members.join(led, "r").filter("label <> own").select("a", F.col("id").alias("b")).distinct()
+
+
+def entries(led: DataFrame, percent: int) -> DataFrame:
+    """r, e, id, n, far: a row for each prefix element of a set's differences from its leader r.
 
     led: r, id, n (size), nr (size of r), extra and missing (what the set has and r lacks, and the other way round), far
-    (not similar to r). Rows that share a leader and a prefix element meet, and pairs among them are compared exactly; a
-    meeting of any size gives at most a row for each set, its smallest in reach. Sets of more than ``LISTED`` differences
-    have little to do with the leader; they carry a parity sketch, whose differing bits are never more than the elements that
-    differ, and what it can't rule out is compared by the sets.
+    (not similar to r). Similar sets, of which one is far from r at least, share a prefix element.
     """
     up, down = bounds(percent)
 
-    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("r", "e", "id", "n", "far", "d", "sketch")}
             values = (batch.column(c).to_pylist() for c in ("r", "id", "n", "nr", "far"))
             for r, i, n, nr, far, extra, missing in zip(*values, batch.column("extra"), batch.column("missing"), strict=True):
                 d = np.concatenate([np.sort(extra.values.to_numpy()), np.sort(missing.values.to_numpy())])
                 # any similar partner that is far from r shares at least t elements of d; any partner at all, at least u
                 t, u = max(1, -(-(up * len(d) + down * (nr - n) + 1) // (2 * up))), max(1, -(-(up * len(d) - down * (nr + n)) // (2 * up)))
                 prefix = d[: max(0, len(d) - (u if far else t) + 1)]
-                small = len(d) <= LISTED
-                out["r"] += [r] * len(prefix)
-                out["e"] += prefix.tolist()
-                out["id"] += [i] * len(prefix)
-                out["n"] += [n] * len(prefix)
-                out["far"] += [far] * len(prefix)
-                out["d"] += [d if small else None] * len(prefix)
-                out["sketch"] += [None if small else sketch(d, nr).tobytes()] * len(prefix)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), types, strict=True)], names=list(out))
-
-    def hopeful(held: list[tuple], some: np.ndarray, others: np.ndarray) -> pa.RecordBatch | None:
-        """Pairs that sketches don't rule out, to be compared by their sets."""
-        width = next(len(x[4]) for x in held if x[4] is not None)
-        bits = np.stack([np.frombuffer(x[4], np.uint8) if x[4] is not None else sketch(x[3], 0, width) for x in held])
-        ids, size, away = (np.array([x[c] for x in held]) for c in range(3))
-        found = []
-        for i in some:
-            least = _ONES[bits[i] ^ bits[others]].sum(1, dtype=np.int64)
-            # sets that are both similar to the leader are linked by it
-            j = others[similar(least, size[i] + size[others], percent) & (ids[others] != ids[i]) & (away[i] | away[others])]
-            found.append(np.stack([np.full(len(j), ids[i]), ids[j]]))
-        x, y = np.concatenate(found, axis=1)
-        if not len(x):
+                same = lambda x, kind, m=len(prefix): pa.array(np.full(m, x), kind)
+                yield pa.RecordBatch.from_arrays([same(r, pa.int64()), pa.array(prefix, pa.int64()), same(i, pa.int64()), same(n, pa.int64()), same(far, pa.bool_())], names=["r", "e", "id", "n", "far"])
+
+    return led.select("r", "id", "n", "nr", "far", "extra", "missing").mapInArrow(run, "r long, e long, id long, n long, far boolean")
+
+
+def difference_sketches(led: DataFrame) -> DataFrame:
+    """r, id, bits: a parity sketch of a set's differences from its leader, of one width for each leader."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = [np.concatenate([x.values.to_numpy(), y.values.to_numpy()]) for x, y in zip(batch.column("extra"), batch.column("missing"), strict=True)]
+            bits = [sketch(x, nr).tobytes() for x, nr in zip(d, batch.column("nr").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("r"), batch.column("id"), pa.array(bits, pa.binary())], names=["r", "id", "bits"])
+
+    return led.select("r", "id", "nr", "extra", "missing").mapInArrow(run, "r long, id long, bits binary")
+
+
+def hopeful_partners(rows: DataFrame, drawn: DataFrame, labels: DataFrame, most: int, percent: int) -> DataFrame:
+    """a, b, more: for each far set its ``most`` nearest by sketch among the sets of other labels that share a prefix element
+    and that sketches don't rule out; more says that there are others.
+
+    Only meetings of several labels go on. A meeting of more than ``BLOCK`` sets is dealt over blocks, each set at home in one;
+    far sets visit all of them.
+    """
+
+    def meet(held: list[tuple]) -> pa.RecordBatch | None:
+        ids, n, label = (np.array([x[c] for x in held], np.int64) for c in (0, 1, 3))
+        far, home = (np.array([x[c] for x in held], bool) for c in (2, 4))
+        bits = np.stack([np.frombuffer(x[5], np.uint8) for x in held])
+        own = np.flatnonzero(home)
+        found: list[tuple] = []
+        for i in np.flatnonzero(far):
+            others = own[label[own] != label[i]]
+            if len(others):
+                least = _ONES[bits[i] ^ bits[others]].sum(1, dtype=np.int64)
+                fine = similar(least, n[i] + n[others], percent)
+                others, least = others[fine], least[fine]
+                near = others[np.lexsort((ids[others], least))[:most]]
+                found += [(min(ids[i], x), max(ids[i], x), len(others) > most) for x in ids[near]]
+        if not found:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.zeros(len(x), bool))], names=["a", "b", "sure"])
-
-    def met(every: list[tuple]) -> Iterator[pa.RecordBatch]:
-        listed = np.array([x[3] is not None for x in every])
-        away = np.array([x[2] for x in every])
-        if len(every) > 1 and not listed.all() and away.any():
-            out = hopeful(every, np.flatnonzero(~listed), np.arange(len(every)))
-            if out is not None:
-                yield out
-        held = [x for x, one in zip(every, listed, strict=True) if one]
-        if len(held) > 1 and away[listed].any():
-            out = exact(held)
-            if out is not None:
-                yield out
-
-    def exact(held: list[tuple]) -> pa.RecordBatch | None:
-        far = np.flatnonzero([x[2] for x in held])
-        ids, size = np.array([x[0] for x in held]), np.array([x[1] for x in held])
-        lengths = np.array([len(x[3]) for x in held])
-        _, element, count = np.unique(np.concatenate([x[3] for x in held]), return_inverse=True, return_counts=True)
-        owner = np.repeat(np.arange(len(held)), lengths)
-        shared = count[element] > 1
-        names, element = np.unique(element[shared], return_inverse=True)
-        owner = owner[shared]
-        label = np.arange(len(held))
-        found = []
-        wide = max(64, (1 << 22) // len(held))
-        for at in range(0, len(far), 512):
-            some = far[at : at + 512]
-            common = np.zeros((len(some), len(held)), np.float32)
-            for c in range(0, len(names), wide):
-                part = (element >= c) & (element < c + wide)
-                has = np.zeros((len(held), min(wide, len(names) - c)), np.float32)
-                has[owner[part], element[part] - c] = 1
-                common += has[some] @ has.T
-            differ = lengths[some][:, None] + lengths[None, :] - 2 * common.astype(np.int64)
-            x, y = np.nonzero(similar(differ, size[some][:, None] + size[None, :], percent))
-            x = some[x]
-            found.append(np.stack([x[x != y], y[x != y]]))
-        x, y = np.concatenate(found, axis=1)
-        while len(x):
-            least = label.copy()
-            np.minimum.at(least, x, label[y])
-            np.minimum.at(least, y, least[x])
-            least = least[least]
-            if (least == label).all():
-                break
-            label = least
-        moved = np.flatnonzero(ids[label] != ids)
-        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]]), pa.array(np.ones(len(moved), bool))], names=["a", "b", "sure"]) if len(moved) else None
+        a, b, more = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], names=["a", "b", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            values = (batch.column(c).to_pylist() for c in ("r", "e", "id", "n", "far", "sketch"))
-            for r, e, i, n, far, bits, d in zip(*values, batch.column("d"), strict=True):
-                if key != (r, e):
-                    yield from met(held)
-                    key, held = (r, e), []
-                held.append((i, n, far, d.values.to_numpy() if d.is_valid else None, bits))
-        yield from met(held)
-
-    rows = led.select("r", "id", "n", "nr", "far", "extra", "missing").mapInArrow(enter, "r long, e long, id long, n long, far boolean, d array<long>, sketch binary")
-    return rows.repartition("r", "e").sortWithinPartitions("r", "e").mapInArrow(run, "a long, b long, sure boolean").distinct()
+            columns = (batch.column(c).to_pylist() for c in ("r", "e", "block", "id", "n", "far", "label", "home", "bits"))
+            for r, e, block, i, n, far, label, home, bits in zip(*columns, strict=True):
+                if key != (r, e, block):
+                    if len(held) > 1 and (out := meet(held)) is not None:
+                        yield out
+                    key, held = (r, e, block), []
+                held.append((i, n, far, label, home == block, bits))
+        if len(held) > 1 and (out := meet(held)) is not None:
+            yield out
+
+    named = with_label(rows, labels)
+    met = named.groupBy("r", "e").agg(F.count("*").alias("sets"), F.max("far").alias("some"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("some AND lo < hi")
+    met = joinable(joinable(met.select("r", "e", F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks")), "r"), "e")
+    dealt = named.join(met, ["r", "e"]).withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("block", F.explode(F.when(F.col("far"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))))
+    dealt = dealt.join(joinable(joinable(drawn, "r"), "id"), ["r", "id"]).select("r", "e", "block", "id", "n", "far", "label", "home", "bits")
+    dealt = dealt.repartition("r", "e", "block").sortWithinPartitions("r", "e", "block")
+    return dealt.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
+def settled(labels: DataFrame, led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``labels`` with all links inside large buckets. led: the rows of ``entries``, each leader compared with its sets.
+
+    Only sets of different labels are met, so a group is done once its sets have one. First a far set of each group becomes
+    a second leader, which joins up a group whose first leader is the odd one. What is left meets by differences: each far
+    set with its nearest partner, with eight times as many in the next round, until none has more.
+    """
+    members = led.select("r", "id", "far")
+    for _ in range(RELEADS):
+        pairs = checkpointed(second_leaders(unsettled(members, labels)))
+        if pairs.isEmpty():
+            return labels
+        labels = relabelled(labels, checkpointed(verified(pairs, sets, percent)))
+    open_groups = checkpointed(unsettled(members, labels).select("r").distinct())
+    if open_groups.isEmpty():
+        return labels
+    led = led.join(joinable(open_groups, "r"), "r", "left_semi")
+    rows, drawn, most = checkpointed(entries(led, percent)), checkpointed(difference_sketches(led)), 1
+    while True:
+        pairs = checkpointed(hopeful_partners(rows, drawn, labels, most, percent))
+        release(led.sparkSession)
+        more = pairs.agg(F.max("more")).first()[0]
+        if more is None:
+            return labels
+        labels = relabelled(labels, checkpointed(verified(pairs.select("a", "b"), sets, percent)))
+        if not more:
+            return labels
+        most *= 8
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -411,12 +454,9 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     led = checkpointed(led)
     release(docs.sparkSession)
-    links = led.filter("NOT far").select("a", "b")
-    far_groups = led.filter("large AND far").select(F.col("a").alias("r")).distinct()
-    groups = led.filter("large").select(F.col("a").alias("r"), F.col("b").alias("id"), "n", "nr", "extra", "missing", "far").join(joinable(far_groups, "r"), "r", "left_semi")
-    more = checkpointed(open_pairs(groups, percent))
-    more = more.filter("sure").select("a", "b").union(with_sets(more.filter("NOT sure").select("a", "b").distinct(), sets).filter(similar(sizes - 2 * common, sizes, percent)).select("a", "b"))
-    found = components(exact.union(links).union(more))
+    labels = components(exact.union(led.filter("NOT far").select("a", "b")))
+    groups = led.filter("large").select(F.col("a").alias("r"), F.col("b").alias("id"), "n", "nr", "extra", "missing", "far")
+    found = settled(labels, groups, sets, percent)
     return sized.join(joinable(found.withColumnRenamed("node", "doc_id"), "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -366,3 +366,24 @@ def test_every_label_is_learned(spark):
     assert langs == ["en", "nb", "sv"] and np.allclose(probs.sum(0), 1)
     got = langid.identify(spark.createDataFrame([(1, "och det att som en inte", ""), (2, "the and of with", "")], TEXT), langs, probs).orderBy("doc_id").collect()
     assert [g.lang_pred for g in got] == ["sv", "en"]
+
+
+def test_jaccard_join_of_short_texts_and_wide_groups(spark, monkeypatch):
+    """Many short sets, and a group of long texts whose smallest id, the leader, is far from most of the others."""
+    monkeypatch.setattr(setjoin, "BLOCK", 16)
+    r = random.Random(4)
+    rows = [(i, words(r, r.randint(1, 14), "ab"), "") for i in range(1500)]
+    got = {g.doc_id: g.component_id for g in setjoin.similar_sets(spark.createDataFrame(rows, TEXT)).collect()}
+    assert got == plain_near(rows, 3, 90)[1]
+    base, rows = words(r, 700).split(), []
+    for i in range(120):
+        w = list(base)
+        for at in r.sample(range(700), 70 if i == 0 else r.choice([5, 10, 15, 20, 30, 40])):
+            w[at] = words(r, 1)
+        if i % 3 == 0:  # a passage that some share, so that differences from a leader are shared too
+            w[300:330] = ["zz"] * 10 + base[:20]
+        rows.append((i, " ".join(w), ""))
+    frame = spark.createDataFrame(rows, TEXT)
+    for k, percent in ((5, 80), (3, 90)):
+        got = {g.doc_id: g.component_id for g in setjoin.similar_sets(frame, k=k, percent=percent).collect()}
+        assert got == plain_near(rows, k, percent)[1] and 1 < len(set(got.values())) < 120
