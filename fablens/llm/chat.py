@@ -6,8 +6,9 @@ order through the conversation, and the reference records the number, the type,
 placeholder expands to. Turns are marked ``<|turn|>role<|text|>content<|end|>\\n``.
 
 Escaping: in roles and texts, a backslash is doubled and a backslash is put behind the first character of any control
-string (``<|``, ``<s>``, ``</s>``, ``[INST]``, ``[/INST]``), so that no text can close a turn or fake a placeholder;
-dropping each backslash that stands before another character restores the text exactly.
+string (``<|``, ``<s>``, ``</s>``, ``[INST]``, ``[/INST]``), and of what begins one at a text's very end and might go on in
+the next part. So neither a text nor parts side by side can close a turn or fake a placeholder; dropping each backslash that
+escapes the next character, or stands last, restores the text exactly. Loss spans cover texts only, not placeholders.
 
 Defined cases: a null text, role or part list is empty; turns are ordered by turn, role and text with nulls first, so ties
 and repeated rows have one order and all stay; a null conversation id is one conversation; an unknown part type is an
@@ -28,6 +29,8 @@ from .common import ship, table
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
 _CONTROL = r"([<\[])(\||/?s>|/?INST\])"
+#: What may be the beginning of a control string, at the end of a text.
+_OPEN = r"([<\[])([/sINST]*)\z"
 PART = "array<struct<type: string, text: string, uri: string, units: bigint>>"
 #: Tokens that a placeholder stands for, by unit (image tile, audio second, document page).
 TOKENS_PER_UNIT = {"image": 256, "audio": 25, "document": 512}
@@ -35,16 +38,16 @@ TOKENS_PER_UNIT = {"image": 256, "audio": 25, "document": 512}
 
 def escape(text: Column) -> Column:
     doubled = F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\\\"))
-    return F.regexp_replace(doubled, _CONTROL, r"$1\\$2")
+    return F.regexp_replace(F.regexp_replace(doubled, _CONTROL, r"$1\\$2"), _OPEN, r"$1\\$2")
 
 
 def escape_sql(text: str) -> str:
     """``escape`` for DuckDB."""
-    return rf"regexp_replace(replace(coalesce({text}, ''), '\', '\\'), '{_CONTROL}', '\1\\\2', 'g')"
+    return rf"regexp_replace(regexp_replace(replace(coalesce({text}, ''), '\', '\\'), '{_CONTROL}', '\1\\\2', 'g'), '{_OPEN}', '\1\\\2')"
 
 
 def unescape(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
+    return re.sub(r"\\(.?)", r"\1", text, flags=re.DOTALL)
 
 
 class PartVisitor:
@@ -104,12 +107,20 @@ def format_turns(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
 
     rows = rows.withColumn("flat", F.transform("parts", flatten)).withColumn("content", F.array_join(F.transform("flat", lambda x: x["fragment"]), ""))
     rows = rows.withColumn("head", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT)))
-    span = F.struct(F.length("head").alias("start"), (F.length("head") + F.length("content")).alias("end"))
+    # one span for each text part; where it ends is the sum of the fragments so far
+    start = F.struct(F.length("head").alias("at"), F.array().cast("array<struct<start: int, end: int>>").alias("spans"))
+
+    def put(a: Column, x: Column) -> Column:
+        end = a["at"] + F.length(x["fragment"])
+        span = F.array(F.struct(a["at"].alias("start"), end.alias("end")))
+        return F.struct(end.alias("at"), F.when(x["attached"], a["spans"]).otherwise(F.concat(a["spans"], span)).alias("spans"))
+
+    spans = F.aggregate("flat", start, put, lambda a: a["spans"])
     return rows.select(
         "conv_id",
         "pos",
         F.concat("head", "content", F.lit(END)).alias("formatted"),
-        F.when(F.col("role").isin(*loss_roles), F.array(span)).otherwise(F.array().cast("array<struct<start: int, end: int>>")).alias("loss"),
+        F.when(F.col("role").isin(*loss_roles), spans).otherwise(F.array().cast("array<struct<start: int, end: int>>")).alias("loss"),
         F.transform(F.filter("flat", lambda x: x["attached"]), lambda x: F.struct(x["number"].alias("number"), x["type"].alias("type"), x["uri"].alias("uri"), x["tokens"].alias("tokens"))).alias("attachments"),
         F.aggregate("flat", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]).alias("n_expanded"),
     )

@@ -30,6 +30,7 @@ component's id is its smallest id; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -78,33 +79,45 @@ def bounds(percent: int) -> tuple[int, int]:
     return (100 + percent) // common, (100 - percent) // common
 
 
+@functools.lru_cache(maxsize=1 << 12)
+def _frame(number: int, n1: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of a band: where its pieces end, and the hashes of (band, part) for each choice."""
+    h = [np.arange(n1, dtype=np.uint64) * np.uint64(64) + np.uint64(c) for c in range(N2)]
+    return np.arange(n1 * N2 * PIECES + 1, dtype=np.uint64), [mix(x + np.uint64(number * 0x165667B19E3779F9 & (1 << 64) - 1)) * np.uint64(0xC2B2AE3D27D4EB4F) for x in h]
+
+
 def signatures(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The PartEnum signatures of a set of hashes."""
     up, down = bounds(percent)
-    out = []
+    out, value = [], None
     for number, largest in bands(len(elements), percent):
         k = 2 * largest * down // up
         if k == 0:  # only equal sets are similar, and those are one class already
             continue
+        if value is None:  # the content of a subpart or piece: its elements' sum under a second hash, with their number
+            value = mix(elements * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
         n1 = -(-(k + 1) // (K2 + 1))
+        bins, parts = _frame(number, n1)
         place = mix(elements + np.uint64(number))
         piece = (place >> np.uint64(11)) % np.uint64(n1 * N2) * np.uint64(PIECES) + place % np.uint64(PIECES)
-        # the content of a subpart or piece: its elements' sum under a second hash, with their number
-        value = mix(elements * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
-        order = np.argsort(piece, kind="stable")
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[order], dtype=np.uint64)])
-        ends = np.searchsorted(piece[order], np.arange(n1 * N2 * PIECES + 1, dtype=np.uint64))
-        n = np.diff(ends).reshape(n1, N2, PIECES)
-        pieces = (total[ends[1:]] - total[ends[:-1]]).reshape(n1, N2, PIECES) + n.astype(np.uint64)
+        order = np.argsort(piece)
+        total = np.zeros(len(value) + 1, np.uint64)
+        np.cumsum(value[order], dtype=np.uint64, out=total[1:])
+        ends = np.searchsorted(piece[order], bins)
+        n = np.diff(ends)
+        sums = total[ends]
+        pieces = (sums[1:] - sums[:-1] + n.astype(np.uint64)).reshape(n1, N2, PIECES)
         whole = pieces.sum(2, dtype=np.uint64)
-        content, few = mix(whole), n.sum(2) < LEAST
+        content, few = mix(whole), n.reshape(n1, N2, PIECES).sum(2) < LEAST
         for c in range(N2):
-            h = np.arange(n1, dtype=np.uint64) * np.uint64(64) + np.uint64(c)
-            h = mix(h + np.uint64(number * 0x165667B19E3779F9 & (1 << 64) - 1))
-            h = mix(h * np.uint64(0xC2B2AE3D27D4EB4F) + content[:, c])
-            out.append(h[~few[:, c]])
-            rest = mix(whole[few[:, c], 1 - c, None] - pieces[few[:, c], 1 - c])
-            out.append(mix((h[few[:, c], None] + np.arange(1, PIECES + 1, dtype=np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F) + rest).ravel())
+            h = mix(parts[c] + content[:, c])
+            short = few[:, c]
+            if not short.any():
+                out.append(h)
+                continue
+            out.append(h[~short])
+            rest = mix(whole[short, 1 - c, None] - pieces[short, 1 - c])
+            out.append(mix((h[short, None] + np.arange(1, PIECES + 1, dtype=np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F) + rest).ravel())
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -112,29 +125,14 @@ def _digest(elements: np.ndarray) -> bytes:
     return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
 
 
-def set_digests(docs: DataFrame, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, digest (null for an empty set)."""
+def signed_sets(docs: DataFrame, k: int = K, percent: int = PERCENT, parts: int = 1) -> DataFrame:
+    """Of one pass over the texts: a row for each document (doc_id, n_shingles, digest, null for an empty set), and rows of
+    signatures (part, block), the part being a signature's remainder by ``parts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, digests = [], []
-            for text in batch.column(1):
-                s = shingle_set(text.as_py(), k)
-                sizes.append(len(s))
-                digests.append(_digest(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "n_shingles", "digest"])
-
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary")
-
-
-def candidates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """a, b, large: pairs of ids that share a signature; in a large bucket, its leader a with each other set b."""
-    spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         sigs, ids, held = [], [], 0
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("part", pa.int32()), ("block", pa.binary())])
 
         def packed() -> pa.RecordBatch:
             s, d = np.concatenate(sigs), np.concatenate(ids)
@@ -144,24 +142,37 @@ def candidates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame
             ends = np.searchsorted(part, np.arange(parts + 1))
             some = np.flatnonzero(np.diff(ends))
             blobs = [s[ends[p] : ends[p + 1]].tobytes() + d[ends[p] : ends[p + 1]].tobytes() for p in some]
-            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "block"])
+            none = [pa.nulls(len(some), f.type) for f in list(schema)[:3]]
+            return pa.RecordBatch.from_arrays([*none, pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
         for batch in batches:
+            sizes, digests = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                s = shingle_set(text.as_py(), k) if doc is not None else ()
-                if not len(s) or (digest := _digest(s)) in seen:
+                s = shingle_set(text.as_py(), k)
+                sizes.append(len(s))
+                digests.append(_digest(s) if len(s) else None)
+                if doc is None or not len(s) or digests[-1] in seen:
                     continue
-                seen.add(digest)
+                seen.add(digests[-1])
                 got = signatures(s, percent)
-                sigs.append(got)
-                ids.append(np.full(len(got), doc, np.int64))
-                held += len(got)
+                if len(got):
+                    sigs.append(got)
+                    ids.append(np.full(len(got), doc, np.int64))
+                    held += len(got)
                 if held >= FLUSH:
                     yield packed()
                     sigs, ids, held = [], [], 0
+            none = [pa.nulls(batch.num_rows, f.type) for f in list(schema)[3:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *none], schema=schema)
         if sigs:
             yield packed()
 
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, part int, block binary")
+
+
+def candidates(signed: DataFrame) -> DataFrame:
+    """a, b, large: pairs of ids that share a signature; in a large bucket, its leader a with each other set b."""
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, blocks = None, []
 
@@ -207,8 +218,8 @@ def candidates(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame
         if blocks:
             yield from pairs()
 
-    signed = docs.mapInArrow(sign, "part int, block binary").repartition("part").sortWithinPartitions("part")
-    return signed.mapInArrow(meet, "a long, b long, large boolean").groupBy("a", "b").agg(F.max("large").alias("large"))
+    dealt = signed.select("part", "block").filter("part IS NOT NULL").repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(meet, "a long, b long, large boolean").groupBy("a", "b").agg(F.max("large").alias("large"))
 
 
 def common_leaders(pairs: DataFrame) -> DataFrame:
@@ -430,13 +441,14 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row: doc_id, n_shingles, component_id; linked are sets of k-word shingles of Jaccard similarity percent / 100 or more."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sized = checkpointed(set_digests(rows, k))
+    signed = checkpointed(signed_sets(rows, k, percent, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    sized = signed.filter("part IS NULL").select("doc_id", "n_shingles", "digest")
     nodes = sized.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
     first = nodes.groupBy("digest").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).filter("n > 1")
     first = first.select(F.concat("digest", F.lit(b"")).alias("digest"), "b")
     exact = nodes.select("digest", F.col("doc_id").alias("a")).join(first, "digest").select("a", "b")
 
-    pairs = checkpointed(common_leaders(candidates(rows, k, percent)))
+    pairs = checkpointed(common_leaders(candidates(signed)))
     release(docs.sparkSession)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = checkpointed(sets_of(rows, ids, k))
