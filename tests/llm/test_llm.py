@@ -412,3 +412,41 @@ def test_chat_loss_leaves_attachments_out(spark):
     assert "".join(chat.unescape(turn.formatted[s.start : s.end]) for s in turn.loss) == "one <two" and "<|image:0|>" in turn.formatted
     long = spark.createDataFrame([(1, 0, "assistant", "a<|" * 200_000, "x")], "conv_id long, turn long, role string, text string, formatted string")
     assert chat.read_back(chat.format_turns(long)).first().loss_chars == 600_000
+
+
+def links_of(spark, rows, kind="float", **options):
+    frame = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, id long, vector string")
+    return {g.vec_id: (g.n_links, g.component_id) for g in embeddings.near_duplicates(frame.withColumn("n", F.lit(1)), **options).collect()}
+
+
+def test_embedding_lengths_sizes_and_repeats(spark):
+    rows = [(1, [1e300, 0.0]), (2, [1e300, 0.0]), (3, [1e-300, 1e-310]), (4, [5e-324, 0.0]), (5, [0.0, -1.0])]
+    rows += [(10, [1.0, 2.0, 3.0]), (11, [1.0, 2.0, 3.0]), (12, [-1.0, 2.0, 3.0]), (13, [2.0, 4.0, 6.1])] + [(20, [3.0] * 5)] * 2 + [(21, [])]
+    rows += [(100 + i, np.eye(4)[i % 4].tolist()) for i in range(4)]
+    got = links_of(spark, [(*x, 0, "") for x in rows], "double")
+    assert {i: got[i] for i in (1, 2, 3, 4, 5)} == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5)}
+    assert {i: got[i] for i in (10, 11, 12, 13)} == {10: (2, 10), 11: (2, 10), 12: (0, 12), 13: (2, 10)} and got[20] == (1, 20) and got[21] == (0, 21)
+    assert all(got[100 + i] == (0, 100 + i) for i in range(4))
+
+
+@pytest.mark.parametrize("cone", [0.0, 1.6])
+def test_embedding_recall_with_many_pivots(spark, cone, monkeypatch):
+    """Planted pairs close to the threshold, at a pivot for every three vectors; and vectors of a narrow cone, alike by 0.7 or so."""
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    r = np.random.default_rng(1)
+    x = r.normal(size=(6000, 32)) + cone * np.ones(32)
+    a = x[3000:] / np.linalg.norm(x[3000:], axis=1, keepdims=True)
+    n = r.normal(size=a.shape)
+    n -= (n * a).sum(1, keepdims=True) * a
+    c = r.uniform(0.9, 0.95, (3000, 1))
+    x[:3000] = c * a + np.sqrt(1 - c * c) * n / np.linalg.norm(n, axis=1, keepdims=True)
+    x[:200] = x[0] + 0.01 * r.normal(size=(200, 32))  # a group of near copies
+    x = x.astype(np.float32)
+    got = links_of(spark, [(i, v.tolist(), 0, "") for i, v in enumerate(x)], per_pivot=3)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    have = np.array([got[i][0] for i in range(len(x))])
+    assert (have <= want).all() and have.sum() >= 0.9 * want.sum() and (np.minimum(have[200:], 1).sum() >= 0.9 * np.minimum(want[200:], 1).sum())
+    assert all(got[i] == (int(want[i]), 0) or got[i][0] < want[i] for i in range(200))
+    assert have[200:].sum() >= 0.9 * want[200:].sum()
+    print("recall", have.sum() / want.sum(), have[200:].sum() / want[200:].sum())
