@@ -30,6 +30,14 @@ def words_sql(text: str) -> str:
     return f"regexp_extract_all(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{WORD}')"
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the letters' case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """A folder that all executors share: the one the cluster names in ``spark.checkpoint.dir``.
 

@@ -2,11 +2,15 @@
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A benchmark window is n consecutive words of
 an item (n = 13); an item with fewer words, but not none, is one window. A document word inside any occurrence of a
-window is hit. All work is DataFrame code.
+window is hit. The windows' 64-bit keys are broadcast as long as they take at most ``BROADCAST_BYTES``; what they let through
+is verified by its words. More keys are joined by a shuffle of all windows, with the same result. Contaminated documents are
+removed (``remove_contaminated``), or only the hit words with what stands between them (``remove_spans``). All work is
+DataFrame code.
 
 Defined cases: a null text has no words, so it is neither hit nor hits; an item without words matches nothing; rows with
 equal id and equal text count once, rows with equal id and different texts give a row each; null ids are kept as an id of
-their own in the result but removal ignores them; equal items each count; columns other than the named ones are not read.
+their own, in the result and in removal; equal items each count; other columns are not read, and may have any names; texts of any
+length take time in proportion to their words and hits.
 """
 
 from __future__ import annotations
@@ -14,12 +18,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, words, words_sql
-from .wordscan import BROADCAST_ROWS, scan, sequence_key
+from .common import fresh_name, table, words, words_sql
+from .wordscan import BROADCAST_BYTES, scan, sequence_key
 
 N = 13
 #: A document is contaminated if hit words are at least one in so many of its words.
 SHARE = 20
+#: A word before lower-casing.
+ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def benchmark_windows(items: DataFrame, id_col: str, text_col: str, n: int = N) -> DataFrame:
@@ -33,32 +39,53 @@ def benchmark_windows(items: DataFrame, id_col: str, text_col: str, n: int = N)
     return windows.select(key.alias("key"), F.size("need").alias("k"), "need", "items")
 
 
-def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, share: int = SHARE) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, share: int = SHARE, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per document: doc_id, text_hash, n_words, n_hit, spans (hit word ranges, merged), items (sorted ids), contaminated."""
     windows = benchmark_windows(items, item_id, item_text, n)
     sizes = {r["k"]: r["rows"] for r in windows.groupBy("k").agg(F.count("*").alias("rows")).collect()}  # at most n rows
-    hits = scan(docs, doc_id, doc_text, windows.withColumn("width", F.col("k")), sorted(sizes), sum(sizes.values()) <= BROADCAST_ROWS)
+    hits = scan(docs, doc_id, doc_text, windows.withColumn("width", F.col("k")), sizes, None, most_bytes)
     per_doc = hits.groupBy("doc", "rid").agg(
         F.max("n_words").cast("long").alias("n_words"),
-        F.sort_array(F.collect_set(F.when(F.col("i") >= 0, F.struct("i", (F.col("i") + F.col("width")).alias("e"))))).alias("found"),
+        F.collect_set(F.when(F.col("i") >= 0, F.struct("i", "width"))).alias("found"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
     )
-    merged = F.expr(
-        """aggregate(found, cast(array() AS array<struct<i: int, e: int>>), (a, x) ->
-             CASE WHEN size(a) > 0 AND a[size(a) - 1].e >= x.i
-                  THEN concat(slice(a, 1, size(a) - 1), array(named_struct('i', a[size(a) - 1].i, 'e', greatest(a[size(a) - 1].e, x.e))))
-                  ELSE concat(a, array(x)) END)"""
-    )
-    count = F.expr("aggregate(found, named_struct('n', 0, 'e', 0), (a, x) -> named_struct('n', a.n + greatest(0, x.e - greatest(a.e, x.i)), 'e', greatest(a.e, x.e))).n").cast("long")
-    out = per_doc.select(F.col("doc").alias("doc_id"), F.col("rid").alias("text_hash"), "n_words", count.alias("n_hit"), merged.alias("spans"), "items")
+    # the hit words, and of these the first and the last of each run
+    hit = F.array_sort(F.array_distinct(F.flatten(F.transform("found", lambda x: F.sequence(x["i"], x["i"] + x["width"] - 1)))))
+    before = F.expr("slice(concat(array(-9), hit), 1, size(hit))")
+    after = F.expr("slice(concat(hit, array(-9)), 2, size(hit))")
+    edge = lambda other, step: F.filter(F.zip_with("hit", other, lambda p, q: F.when(q != p + step, p)), lambda p: p.isNotNull())
+    out = per_doc.withColumn("hit", hit).withColumn("first", edge(before, -1)).withColumn("last", edge(after, 1))
+    spans = F.zip_with("first", "last", lambda a, b: F.struct(a.alias("i"), (b + 1).alias("e")))
+    out = out.select(F.col("doc").alias("doc_id"), F.col("rid").alias("text_hash"), "n_words", F.size("hit").cast("long").alias("n_hit"), spans.alias("spans"), "items")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words")))
 
 
+def _beside(docs: DataFrame, found: DataFrame, doc_id: str, doc_text: str, how: str, *names: str) -> DataFrame:
+    """``docs`` joined with rows of ``contamination`` by id and text, under names that no column of ``docs`` has."""
+    to = {c: fresh_name(docs, c) for c in ("doc_id", "text_hash", *names)}
+    other = found.select(*[F.col(c).alias(n) for c, n in to.items()])
+    same = F.col(doc_id).eqNullSafe(F.col(to["doc_id"])) & (F.xxhash64(F.coalesce(F.col(doc_text), F.lit(""))) == F.col(to["text_hash"]))
+    return docs.join(other, same, how)
+
+
 def remove_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", **more) -> DataFrame:
     """``docs`` without contaminated rows, all columns kept. The ids to drop are few, but their side is not broadcast."""
-    bad = contamination(docs, items, doc_id, doc_text, **more).filter("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_text"))
-    same = F.col(doc_id).eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.coalesce(F.col(doc_text), F.lit(""))) == F.col("_bad_text"))
-    return docs.join(bad, same, "left_anti")
+    return _beside(docs, contamination(docs, items, doc_id, doc_text, **more).filter("contaminated"), doc_id, doc_text, "left_anti")
+
+
+def remove_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", **more) -> DataFrame:
+    """``docs`` with the hit words taken out of the texts, each with what stands between it and the next word; rows without a
+    hit are as they were, and every row stays."""
+    found = contamination(docs, items, doc_id, doc_text, **more).filter("n_hit > 0")
+    spans = fresh_name(docs, "spans")
+    joined = _beside(docs, found, doc_id, doc_text, "left", "spans")
+    # words with the gaps behind them
+    own, gaps = F.regexp_extract_all(F.col(doc_text), F.lit(ANY_WORD), F.lit(0)), F.split(F.col(doc_text), ANY_WORD, -1)
+    parts = F.struct(F.get(gaps, F.lit(0)).alias("head"), F.zip_with(own, F.slice(gaps, 2, F.greatest(F.size(gaps) - 1, F.lit(0))), lambda w, g: F.concat(w, g)).alias("w"), F.col(spans).alias("s"))
+    # as a lambda's argument the parts are made once a row
+    cut = F.transform(F.array(parts), lambda x: F.struct(x["head"].alias("head"), x["w"].alias("w"), F.zip_with(F.concat(F.array(F.lit(0)), x["s"]["e"]), F.concat(x["s"]["i"], F.array(F.size(x["w"]))), lambda a, b: F.struct(a.alias("a"), b.alias("b"))).alias("stay")))
+    cut = F.transform(cut, lambda x: F.concat(x["head"], F.array_join(F.flatten(F.transform(x["stay"], lambda y: F.slice(x["w"], y["a"] + 1, y["b"] - y["a"]))), "")))
+    return joined.withColumn(doc_text, F.when(F.col(spans).isNotNull(), F.get(cut, F.lit(0))).otherwise(F.col(doc_text))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

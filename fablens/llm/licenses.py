@@ -68,7 +68,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = template_rows(base, templates, k)
     sequences = spark.createDataFrame(rows, "template int, label string, is_base boolean, t int, n_grams int, first array<string>, need array<string>")
     sequences = sequences.select(sequence_key("first", "0", k).alias("key"), F.lit(k).alias("k"), "need", "template", "label", "is_base", "t", "n_grams")
-    hits = scan(docs, id_col, text_col, sequences, [k], True)
+    hits = scan(docs, id_col, text_col, sequences, {k: len(rows)}, max(len(r[6]) for r in rows))
 
     diagonals = hits.groupBy("doc", "rid", "template", (F.col("i") - F.col("t")).alias("diagonal")).agg(
         F.max("n_words").alias("n_words"),

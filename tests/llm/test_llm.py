@@ -450,3 +450,50 @@ def test_embedding_recall_with_many_pivots(spark, cone, monkeypatch):
     assert all(got[i] == (int(want[i]), 0) or got[i][0] < want[i] for i in range(200))
     assert have[200:].sum() >= 0.9 * want[200:].sum()
     print("recall", have.sum() / want.sum(), have[200:].sum() / want[200:].sum())
+
+
+def plain_spans(text, windows, n=13):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    hit = set()
+    for k in {len(x) for x in windows}:
+        hit |= {p for i in range(len(w) - k + 1) if tuple(w[i : i + k]) in windows for p in range(i, i + k)}
+    return [(p, next(q for q in range(p, len(w) + 1) if q not in hit)) for p in sorted(hit) if p - 1 not in hit]
+
+
+def plain_windows(texts, n=13):
+    out = set()
+    for t in texts:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").lower())
+        out |= {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+    return out
+
+
+def test_decontamination_by_broadcast_and_by_shuffle(spark):
+    r = random.Random(8)
+    items = [words(r, n) for n in (30, 13, 12, 5, 1, 200)] + ["Ünï kode " * 9, None, "", "..."]
+    docs_ = [None, "", "!!", "x", "A " + items[1].upper() + "! b " + items[3] + ", " + items[3] + " c", items[5] + " " + items[0]]
+    docs_ += [words(r, 5) + " " + " ".join(items[0].split()[a : a + 15]) + ", then-" + words(r, 3) + "\n" + items[2] for a in range(8)]
+    docs_ += [" ".join(words(r, 30) + ". " + items[3] for _ in range(700)), words(r, 50_000, "ab")]
+    frame = spark.createDataFrame([(i, t, "x", "y", 1) for i, t in enumerate(docs_)] + [(None, items[0], "x", "y", 1), (4, docs_[4], "x", "y", 1)], "doc_id long, text string, text_hash string, spans string, n_hit int")
+    bench = spark.createDataFrame([(str(i), t) for i, t in enumerate(items)], "item_id string, text string")
+    windows = plain_windows(items)
+    want = {i: plain_spans(t, windows) for i, t in enumerate(docs_)}
+    for most in (1 << 20, 0):
+        found = decontaminate.contamination(frame, bench, most_bytes=most).collect()
+        assert len(found) == len(docs_) + 1
+        assert {g.doc_id: [tuple(s) for s in g.spans] for g in found if g.doc_id is not None} == want
+        assert all(g.n_hit == sum(b - a for a, b in want[g.doc_id]) for g in found if g.doc_id is not None)
+    clean = decontaminate.remove_spans(frame, bench)
+    assert clean.columns == frame.columns and clean.count() == frame.count()
+    for g in clean.filter("doc_id IS NOT NULL").collect():
+        t = docs_[g.doc_id]
+        if not want[g.doc_id]:
+            assert g.text == t
+            continue
+        places = [m.span() for m in re.finditer(decontaminate.ANY_WORD, t)]
+        gone = {p for a, b in want[g.doc_id] for p in range(a, b)}
+        ends = [p[0] for p in places[1:]] + [len(t)]
+        assert g.text == t[: places[0][0]] + "".join(t[a:e] for j, ((a, _), e) in enumerate(zip(places, ends, strict=True)) if j not in gone)
+    kept = decontaminate.remove_contaminated(frame, bench)
+    bad = {i for i, t in enumerate(docs_) if want[i] and 20 * sum(b - a for a, b in want[i]) >= len(re.findall(decontaminate.ANY_WORD, t))}
+    assert kept.columns == frame.columns and {g.doc_id for g in kept.collect()} == set(range(len(docs_))) - bad and bad
