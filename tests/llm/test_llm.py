@@ -497,3 +497,21 @@ def test_decontamination_by_broadcast_and_by_shuffle(spark):
     kept = decontaminate.remove_contaminated(frame, bench)
     bad = {i for i, t in enumerate(docs_) if want[i] and 20 * sum(b - a for a, b in want[i]) >= len(re.findall(decontaminate.ANY_WORD, t))}
     assert kept.columns == frame.columns and {g.doc_id for g in kept.collect()} == set(range(len(docs_))) - bad and bad
+
+
+def test_every_license_template_is_found(spark):
+    """Each notice whole, with a word put in, one left out, and inside a long text; and words in another order."""
+    r, rows, want = random.Random(3), [], {}
+    for text, label in licenses.TEMPLATES:
+        w = text.split()
+        cut = w[: len(w) // 2] + w[len(w) // 2 + 1 :] if len(w) > 12 else w
+        for t in (text, " ".join([*w[: len(w) // 2], "indeed", *w[len(w) // 2 :]]) if len(w) > 12 else text, " ".join(cut), words(r, 3000) + " " + text.upper() + " " + words(r, 3000)):
+            want[len(rows)] = label
+            rows.append((len(rows), t, ""))
+    mixed = len(rows)
+    for text, _ in licenses.TEMPLATES:
+        rows.append((len(rows), " ".join(sorted(text.split())), ""))
+    got = {g.doc_id: g for g in licenses.license_scan(spark.createDataFrame(rows, TEXT)).collect()}
+    assert all(label in got[i].labels.split(",") for i, label in want.items())
+    assert all(got[i].labels == "" for i in range(mixed, len(rows)))
+    assert all(0 <= g.score <= 1 for g in got.values()) and len(got) == len(rows)
