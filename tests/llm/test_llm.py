@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from fablens.llm import bpe, chat, dac, decontaminate, embeddings, encode, langid, licenses, pii, registry, setjoin, substrings
@@ -199,11 +200,11 @@ def plain_pii(text):
 def test_pii(spark, empty):
     texts = [None, "", "a@b.c.d@e.f x_y@d.e a@b.cx_y@d.ee", "1.2.3.4.5.6.7.8 256.1.1.1 01.002.0003.4 99999999999999999999.1.1.1", "4111 1111 1111 1111 and 4111-1111-1111-1112 4", "+1 (568) 555-7610 +49 12 +1234567890123456", "é日本🤦 foo@bar.de 🤦 1.2.3.4", "1 " * 300, "a" * 300 + "@", "+1((((" * 20]
     texts += [f"hello please contact officer number user{i}@x.org for help" for i in range(6)]
-    texts += ["hello please contact officer number zz981 for help", "other words before zz982 for help"]
+    texts += ["hello please contact officer number zz981 for help", "other words before zz982 of course"]
     df = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], TEXT)
     got = pii.extract(df).select("doc_id", pii.listed(F.col("base")).alias("base"), pii.listed(F.col("found")).alias("found")).collect()
     assert {g.doc_id: g.base for g in got} == {i: plain_pii(t) for i, t in enumerate(texts)}
-    assert {g.doc_id: g.found for g in got if g.found} == {16: "id:36:41"}
+    assert {g.doc_id: g.found for g in got if g.found} == {16: "id_email:36:41"}
     clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert clean[6] == "é日本🤦 [EMAIL] 🤦 [IP]" and clean[17] == texts[17] and clean[0] is None
     assert pii.extract(empty).count() == 0
@@ -353,10 +354,11 @@ def test_pipeline_near_duplicates(spark):
 def test_pii_seeds_count_by_their_whole_text(spark, seeds):
     assert all(plain_pii(x) for x in seeds)
     texts = [f"hello please contact officer number {x} for help" for x in seeds]
-    texts += ["hello please contact officer number zz981 for help", "other words before zz982 for help"]
-    texts += [f"the same desk again {seeds[0]} for help", "the same desk again zz983 for help"]  # one seed is no support
+    texts += ["hello please contact officer number zz981 for help", "other words before zz982 to go"]
+    texts += [f"the same desk again {seeds[0]} to go", "the same desk again zz983 to go"]  # one seed is no support
     got = pii.extract(spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], TEXT)).select("doc_id", pii.listed(F.col("found")).alias("found")).collect()
-    assert {g.doc_id: g.found for g in got if g.found} == {4: "id:36:41"}
+    kind = plain_pii(seeds[0]).split(":")[0]
+    assert {g.doc_id: g.found for g in got if g.found} == {4: f"id_{kind}:36:41"}
 
 
 def test_every_label_is_learned(spark):
@@ -515,3 +517,85 @@ def test_every_license_template_is_found(spark):
     assert all(label in got[i].labels.split(",") for i, label in want.items())
     assert all(got[i].labels == "" for i in range(mixed, len(rows)))
     assert all(0 <= g.score <= 1 for g in got.values()) and len(got) == len(rows)
+
+
+def plain_discoveries(texts):
+    """What bootstrapping finds, by dictionaries: {number of the text: spans}."""
+    blank = " \\t\\n\\x0b\\f\\r"
+    java = lambda p: regex.compile(p.replace("[^" + pii._END, "[^" + pii._END.replace(r"\s", blank)).replace(r"[\s", "[" + blank).replace(r"\S", f"[^{blank}]").replace(r"\s", f"[{blank}]"))
+    token, before_, after_ = java(pii.TOKEN), java(pii.BEFORE), java(pii.AFTER)
+    edges, tokens = {}, []
+    for n, t in enumerate(texts):
+        t = t or ""
+        base, rows = [], []
+        for kind, p in [*PLAIN.items(), ("token", token)]:
+            found = list(regex.finditer(p, t)) if kind != "token" else list(token.finditer(t))
+            edge = [(0, 0), (0, 0), *(m.span() for m in found), (len(t), len(t)), (len(t), len(t))]
+            for i, m in enumerate(found, 2):
+                if kind != "token" and f"{kind}:{m.start()}:{m.end()}" not in plain_pii(t).split(","):
+                    continue
+                rows.append((kind, m, t[edge[i - 2][1] : m.start()][-256:], t[m.end() : edge[i + 2][0]][:256]))
+                base += [m.span()] if kind != "token" else []
+        for kind, m, b, a in rows:
+            s, e = m.span()
+            if max((y for x, y in base if x < s), default=0) > s:
+                continue
+            longest = max((y for x, y in base if x == s), default=None)
+            if (longest is not None) if kind == "token" else e != longest:
+                continue
+            seed = kind if kind != "token" else "secret" if regex.search(pii.SECRET, m[0]) else None
+            x, y = before_.search(b), after_.search(a)
+            for p in ([f"{x[1]} {x[2]} _".lower()] if x else []) + ([f"_ {y[1]} {y[2]}".lower()] if y else []):
+                edges.setdefault((p, m[0]), set()).add(seed)
+                if kind == "token":
+                    tokens.append((n, s, e, p))
+    seeds = {}
+    for (_, m), kinds in edges.items():
+        for k in kinds - {None}:
+            seeds[m] = min(seeds.get(m, k), k)
+    conf = {(m, k): 1.0 for m, k in seeds.items()}
+    for _ in range(pii.ROUNDS):
+        score = {}
+        for p in {p for p, _ in edges}:
+            own = [m for q, m in edges if q == p]
+            for k in {k for _, k in conf}:
+                c = [conf[m, k] for m in own if (m, k) in conf]
+                if sum(x >= pii.CONFIDENT for x in c) >= pii.SUPPORT:
+                    score[p, k] = sum(c) / len(own)
+        left = {}
+        for (p, m) in edges:
+            for (q, k), v in score.items():
+                if q == p and m not in seeds:
+                    left[m, k] = left.get((m, k), 1.0) * (1 - min(v, 0.999))
+        conf = {(m, k): 1.0 for m, k in seeds.items()} | {x: 1 - v for x, v in left.items()}
+    out = {}
+    for n, s, e, p in tokens:
+        for (q, k), v in score.items():
+            if q == p and v >= pii.SCORE:
+                out.setdefault(n, {}).setdefault((s, e), []).append((-v, k))
+    return {n: ",".join(f"id_{min(ks)[1]}:{s}:{e}" for (s, e), ks in sorted(x.items())) for n, x in out.items()}
+
+
+def test_pii_discoveries_equal_a_plain_run(spark):
+    r = random.Random(6)
+    texts = [x.text for x in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    for i in range(12):
+        texts.append(f"Please write to user {r.choice('abcdefgh')}{i}@mail.example.com before noon. My pass phrase: {words(r, 1)} is new")
+        texts.append(f"call me at +1 (0{i + 10}) 555-77{i + 10} after lunch, token = \"{r.randbytes(20).hex()}\" and more")
+    texts += ["Please write to user pigeon7 before noon", "now call me at extension-44 after lunch", 'token = "ABCDEF99" and so on', "token = swordfish", "x token: none", "they write to user 77 of 99 today"]
+    want = plain_discoveries(texts)
+    assert {len(texts) - 6, len(texts) - 5, len(texts) - 4, len(texts) - 3} <= set(want) and len(texts) - 2 not in want
+    frame = spark.createDataFrame([(i, t, i, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, _id long, _hash string, doc int")
+    got = pii.extract(frame).select("doc_id", pii.listed(F.col("found")).alias("found")).filter("found <> ''").collect()
+    assert {g.doc_id: g.found for g in got} == want
+    clean = pii.redact(frame)
+    assert clean.columns == frame.columns and clean.count() == len(texts)
+    by = {g.doc_id: g.text for g in clean.collect()}
+    assert by[len(texts) - 3] == "token = [ID_SECRET]" and by[len(texts) - 2] == texts[-2]
+    assert all(by[i] == t for i, t in enumerate(texts) if not plain_pii(t) and i not in want)
+
+
+def test_redacting_takes_linear_time(spark):
+    many = " ".join(f"u{i}@x.org a" for i in range(40_000))
+    got = pii.redact(spark.createDataFrame([(1, many, ""), (2, "1.2.3.4 é🤦 " * 3, ""), (2, "1.2.3.4 é🤦 " * 3, "")], TEXT)).orderBy("doc_id").collect()
+    assert got[0].text == " ".join(["[EMAIL] a"] * 40_000) and [g.text for g in got[1:]] == ["[IP] é🤦 " * 3] * 2
