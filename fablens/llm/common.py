@@ -60,6 +60,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of this library's own on whichever file system it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of results that were written: it does when the driver collects its garbage, which
     in a job of few driver objects may be never."""

@@ -6,18 +6,23 @@ earlier in the same one) is removed. A global suffix array of the corpus is not
 anchors    Each 100-byte window has an anchor: the leftmost smallest hash among its 32-byte strings. Equal windows have
            equal anchors in the same place, and the windows of one anchor are a run of starts, its segment. So windows that
            may be equal meet by the anchor's hash.
-groups     Segments with the same anchor and the same content (by hash) are one variant: all but its first occurrence are
-           removed whole. Anchors with one variant are done. Else the first occurrences of the variants are compared.
-suffixes   Their bytes are joined to one text and its suffix array is made by two-stage sorting (``suffixes``); windows
-           whose neighbours in it have 100 bytes in common are equal, and all but the first are removed.
-hot groups An anchor with more than ``VARIANTS`` variants (a passage in many contexts) is dealt by document over blocks;
-           a block's first windows meet again by a hash of the window, in an aggregate with a map-side part.
-
-Text is kept once, bucketed by document, in the shared folder; anchors and segments travel, the text doesn't again.
+groups     Segments with the same anchor and the same content (by 64 bits of hash each) are one variant: all but its first
+           occurrence are removed whole. A task keeps the first of those that it meets itself, so a passage that most texts
+           hold reaches the others as a row for each task. Anchors with one variant are done. Else the first occurrences of
+           the variants are compared.
+suffixes   Their bytes are joined to one text and its suffix array is made by two-stage sorting (``suffixes``), then the
+           lengths of the prefixes that neighbours have in common. Windows whose neighbours share 100 bytes are equal, and all
+           but the first are removed.
+hot groups An anchor with more than ``VARIANTS`` variants (a passage in many contexts, or in one long log) is dealt over blocks
+           by document and place; a block's first windows meet again by 128 bits of hash, in an aggregate with a map-side part.
+
+Text is kept once, bucketed by document, in the shared folder; anchors and segments travel, the text doesn't again. When the
+result is written, that copy of the texts is deleted.
 
 Defined cases: a null text is empty; rows with equal id and text are one document with a row each in the result; rows
-with equal id and different texts are ordered by a hash of their text; a null id comes before all others; texts shorter than
-100 bytes lose nothing; other columns are not read.
+with equal id and different texts are ordered by a hash of 64 bits of their text, which also tells them apart; null ids come
+before all others, told apart and ordered by 128 bits of hash; texts shorter than 100 bytes lose nothing; other columns are
+not read, and may have any names.
 """
 
 from __future__ import annotations
@@ -31,10 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint_folder, checkpointed, release, ship, table
+from .common import checkpoint_folder, checkpointed, delete_folder, release, ship, table
 from .components import joinable
 from .shingles import mix
-from .suffixes import eight, shared_prefix, suffix_array
+from .suffixes import common_prefixes, eight, suffix_array
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
@@ -42,11 +47,13 @@ SPAN = LENGTH - GRAM + 1
 PIECE, TEXT = 1 << 19, 1 << 21
 VARIANTS = 64
 FLUSH = 1 << 20
+#: What a document is known by: 1 if its id isn't null, the id or a hash, a hash of the text.
+_DOC = ["z", "k", "h"]
 _PLACE = np.uint64((1 << 22) - 1)
 _BYTE = np.random.default_rng(2).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_ANCHOR = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("k", "<i8"), ("lo", "<u4"), ("h", "<u4"), ("off", "u1"), ("cnt", "u1")])
+_ANCHOR = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("z", "u1"), ("k", "<i8"), ("h", "<i8"), ("lo", "<u4"), ("off", "u1"), ("cnt", "u1"), ("late", "u1")])
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -56,7 +63,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 _UP, _DOWN = _powers(_BASE, PIECE + (1 << 12)), _powers(_INVERSE, PIECE + (1 << 12))
 
 
-def anchors(data: np.ndarray, owner: np.ndarray, base: np.ndarray, ends: np.ndarray, k: np.ndarray, h: np.ndarray) -> np.ndarray:
+def anchors(data: np.ndarray, owner: np.ndarray, base: np.ndarray, ends: np.ndarray, z: np.ndarray, k: np.ndarray, h: np.ndarray) -> np.ndarray:
     """The anchors of joined texts. owner: for each byte, the number of its text; ends: where texts end; base: the place in
     its document of each text's first byte, less its place here."""
     n = len(data) - LENGTH + 1
@@ -91,18 +98,38 @@ def anchors(data: np.ndarray, owner: np.ndarray, base: np.ndarray, ends: np.ndar
     out["anchor"] = g[p[starts]]
     out["off"], out["cnt"] = p[starts] - lo, cnt
     out["content"] = mix((total[stop] - total[lo]) * _DOWN[lo] + out["off"].astype(np.uint64) * np.uint64(256) + out["cnt"])
-    out["k"], out["h"], out["lo"] = k[doc], h[doc], lo + base[doc]
+    out["z"], out["k"], out["h"], out["lo"] = z[doc], k[doc], h[doc], lo + base[doc]
     return out
 
 
-def pieces(k: int, h: int, raw: bytes) -> Iterator[tuple[int, int, int, bytes]]:
-    """A text in overlapping pieces, so that each window is in one of them: (k, h, place of the piece, bytes)."""
+def pieces(z: int, k: int, h: int, raw: bytes) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """A text in overlapping pieces, so that each window is in one of them: (z, k, h, place of the piece, bytes)."""
     for at in range(0, max(1, len(raw) - LENGTH + 1), PIECE - LENGTH + 1):
-        yield k, h, at, raw[at : at + PIECE]
+        yield z, k, h, at, raw[at : at + PIECE]
+
+
+def _same(t: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows a and b are of the very same place."""
+    return (t["z"][a] == t["z"][b]) & (t["k"][a] == t["k"][b]) & (t["h"][a] == t["h"][b]) & (t["lo"][a] == t["lo"][b])
+
+
+def _ordered(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The table by anchor, content and place, without repeated places; and whether each row is the first of its variant."""
+    t = t[np.lexsort((t["lo"], t["h"], t["k"], t["z"], t["content"], t["anchor"]))]
+    at = np.arange(1, len(t))
+    alike = (t["anchor"][1:] == t["anchor"][:-1]) & (t["content"][1:] == t["content"][:-1])
+    keep = np.append(np.ones(min(1, len(t)), bool), ~(alike & _same(t, at, at - 1)))
+    t = t[keep]
+    first = np.ones(len(t), bool)
+    first[1:] = (t["anchor"][1:] != t["anchor"][:-1]) | (t["content"][1:] != t["content"][:-1])
+    return t, first
 
 
 def _deal(table: np.ndarray, parts: int) -> pa.RecordBatch:
-    part = (table["anchor"] % np.uint64(parts)).astype(np.int64)
+    table, first = _ordered(table)
+    # what a task meets again is late wherever the first stands; it needs no place among the others
+    table["late"] = ~first
+    part = (np.where(first, table["anchor"], mix(table["k"].astype(np.uint64) + table["lo"])) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     table, part = table[order], part[order]
     ends = np.searchsorted(part, np.arange(parts + 1))
@@ -129,24 +156,24 @@ def _anchor_blocks(rows: DataFrame, parts: int) -> DataFrame:
         waiting, size, held, n = [], 0, [], 0
 
         def hashed() -> np.ndarray:
-            lengths = np.array([len(x[3]) for x in waiting])
+            lengths = np.array([len(x[4]) for x in waiting])
             ends = np.cumsum(lengths)
-            data = np.frombuffer(b"".join(x[3] for x in waiting), np.uint8)
-            base = np.array([x[2] for x in waiting]) - (ends - lengths)
-            return anchors(data, np.repeat(np.arange(len(waiting)), lengths), base, ends, np.array([x[0] for x in waiting], np.int64), np.array([x[1] for x in waiting], np.int64))
+            data = np.frombuffer(b"".join(x[4] for x in waiting), np.uint8)
+            base = np.array([x[3] for x in waiting]) - (ends - lengths)
+            return anchors(data, np.repeat(np.arange(len(waiting)), lengths), base, ends, *(np.array([x[i] for x in waiting], np.int64) for i in range(3)))
 
         for batch in batches:
-            for k, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for z, k, h, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
                 raw = (text.as_py() or "").encode()
                 if len(raw) < LENGTH:
                     continue
-                for piece in pieces(k, h, raw):
-                    if size + len(piece[3]) > PIECE and waiting:
+                for piece in pieces(z, k, h, raw):
+                    if size + len(piece[4]) > PIECE and waiting:
                         held.append(hashed())
                         n += len(held[-1])
                         waiting, size = [], 0
                     waiting.append(piece)
-                    size += len(piece[3])
+                    size += len(piece[4])
                 if n >= FLUSH:
                     yield _deal(np.concatenate(held), parts)
                     held, n = [], 0
@@ -158,8 +185,8 @@ def _anchor_blocks(rows: DataFrame, parts: int) -> DataFrame:
     return rows.mapInArrow(run, "part int, block binary")
 
 
-_FOUND = pa.schema([("k", pa.int64()), ("h", pa.int64()), ("lo", pa.int64()), ("cnt", pa.int32()), ("off", pa.int32()), ("anchor", pa.int64()), ("share", pa.int32())])
-_FOUND_DDL = "k long, h long, lo long, cnt int, off int, anchor long, share int"
+_FOUND = pa.schema([("z", pa.int32()), ("k", pa.int64()), ("h", pa.int64()), ("lo", pa.int64()), ("cnt", pa.int32()), ("off", pa.int32()), ("anchor", pa.int64()), ("share", pa.int32())])
+_FOUND_DDL = "z int, k long, h long, lo long, cnt int, off int, anchor long, share int"
 
 
 def _groups(blocks: DataFrame) -> DataFrame:
@@ -168,27 +195,21 @@ def _groups(blocks: DataFrame) -> DataFrame:
 
     def judged(held: list[bytes]) -> Iterator[pa.RecordBatch]:
         t = _undeal(held)
-        t = t[np.lexsort((t["lo"], t["h"], t["k"], t["content"], t["anchor"]))]
+        cut = t["late"] == 1
+        late, (t, first) = t[cut], _ordered(t[~cut])
         group = np.ones(len(t), bool)
         group[1:] = t["anchor"][1:] != t["anchor"][:-1]
-        first = group.copy()
-        first[1:] |= t["content"][1:] != t["content"][:-1]
-        same = np.zeros(len(t), bool)  # the very same place twice: a repeated row
-        same[1:] = ~first[1:] & (t["k"][1:] == t["k"][:-1]) & (t["h"][1:] == t["h"][:-1]) & (t["lo"][1:] == t["lo"][:-1])
         number = np.cumsum(group) - 1
         variants = np.bincount(number, weights=first).astype(int)[number] if len(t) else np.zeros(0, int)
-        ask = first & (variants > 1)
-        # a repeated row's later copies of a first occurrence must not be removed: they are the same place
-        leader = np.maximum.accumulate(np.where(first, np.arange(len(t)), 0))
-        home = (t["k"] == t["k"][leader]) & (t["h"] == t["h"][leader]) & (t["lo"] == t["lo"][leader])
-        cut = ~first & ~home & ~same
-        shares = -(-variants // VARIANTS)
-        share = np.where(shares > 1, 1 + (mix(t["k"].astype(np.uint64)) % np.maximum(shares, 1).astype(np.uint64)).astype(np.int64), 0)
-        share = np.where(cut, -1, share)
-        t, share = t[cut | ask], share[cut | ask]
+        shares = np.maximum(-(-variants // VARIANTS), 1)
+        spread = mix(mix(t["k"].astype(np.uint64) ^ t["h"].astype(np.uint64)) + t["lo"])
+        share = np.where(shares > 1, 1 + (spread % shares.astype(np.uint64)).astype(np.int64), 0)
+        share = np.where(first, share, -1)
+        keep = ~first | (variants > 1)
+        t, share = np.concatenate([t[keep], late]), np.concatenate([share[keep], np.full(len(late), -1)])
         for i in range(0, len(t), 100_000):
             x = t[i : i + 100_000]
-            columns = [x["k"], x["h"].astype(np.int64), x["lo"].astype(np.int64), x["cnt"].astype(np.int32), x["off"].astype(np.int32), x["anchor"].view(np.int64) if x["anchor"].flags.c_contiguous else np.ascontiguousarray(x["anchor"]).view(np.int64), share[i : i + 100_000].astype(np.int32)]
+            columns = [x["z"].astype(np.int32), x["k"], x["h"], x["lo"].astype(np.int64), x["cnt"].astype(np.int32), x["off"].astype(np.int32), np.ascontiguousarray(x["anchor"]).view(np.int64), share[i : i + 100_000].astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], schema=_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,25 +233,25 @@ def _segments(asked: DataFrame, texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([*_FOUND, ("bytes", pa.binary())])
         for batch in batches:
-            for k, h, text, wants in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+            for z, k, h, text, wants in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), batch.column(4).to_pylist(), strict=True):
                 raw = (text.as_py() or "").encode()
-                rows = [{**w, "k": k, "bytes": raw[w["lo"] : w["lo"] + w["cnt"] + LENGTH - 1]} for w in wants if w["h"] == h]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows = [{**w, "z": z, "k": k, "h": h, "bytes": raw[w["lo"] : w["lo"] + w["cnt"] + LENGTH - 1]} for w in wants]
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    wanted = asked.groupBy("k").agg(F.collect_list(F.struct("h", "lo", "cnt", "off", "anchor", "share")).alias("wants"))
-    return texts.join(wanted, "k").select("k", "h", "text", "wants").mapInArrow(run, _FOUND_DDL + ", bytes binary")
+    wanted = asked.groupBy(*_DOC).agg(F.collect_list(F.struct("lo", "cnt", "off", "anchor", "share")).alias("wants"))
+    return texts.join(wanted, _DOC).select(*_DOC, "text", "wants").mapInArrow(run, _FOUND_DDL + ", bytes binary")
 
 
 def _compared(segments: DataFrame) -> DataFrame:
-    """k, h, lo, cnt: runs of windows to remove; with w1 and w2, a hash of the window, for windows of a hot anchor that are
+    """z, k, h, lo, cnt: runs of windows to remove; with w1 and w2, a hash of the window, for windows of a hot anchor that are
     the first in their share (cnt 1)."""
+    names = ["z", "k", "h", "lo", "cnt", "w1", "w2"]
 
     def compared(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        k, h, lo, cnt, share = (np.array([x[i] for x in held], np.int64) for i in range(5))
-        lengths = np.array([len(x[5]) for x in held])
+        z, k, h, lo, cnt, share = (np.array([x[i] for x in held], np.int64) for i in range(6))
+        lengths = np.array([len(x[6]) for x in held])
         starts = np.cumsum(lengths) - lengths
-        text = np.frombuffer(b"".join(x[5] for x in held), np.uint8)
+        text = np.frombuffer(b"".join(x[6] for x in held), np.uint8)
         seg = np.repeat(np.arange(len(held)), cnt)
         t = np.arange(len(seg)) - np.repeat(np.cumsum(cnt) - cnt, cnt)
         window = np.full(len(text), -1)
@@ -240,52 +261,57 @@ def _compared(segments: DataFrame) -> DataFrame:
         words = eight(text)
         at = starts[seg] + t
         # of windows that are equal but in different shares of a hot anchor, each share keeps one
-        new = np.ones(len(order), bool)
-        new[1:] = ~shared_prefix(words, at[order[:-1]], at[order[1:]], LENGTH)
+        shared = common_prefixes(words, at[order[:-1]], at[order[1:]], LENGTH)
+        new = np.append(np.ones(min(1, len(order)), bool), shared < LENGTH)
         rank = np.empty(len(seg), np.int64)
-        rank[np.lexsort((lo[seg] + t, h[seg], k[seg]))] = np.arange(len(seg))
+        rank[np.lexsort((lo[seg] + t, h[seg], k[seg], z[seg]))] = np.arange(len(seg))
         least = np.minimum.reduceat(rank[order], np.flatnonzero(new))[np.cumsum(new) - 1]
         cut = np.zeros(len(seg), bool)
         cut[order] = rank[order] != least
+
+        def rows(w: np.ndarray, n: np.ndarray, *hashes: pa.Array) -> pa.RecordBatch:
+            of = seg[w]
+            return pa.RecordBatch.from_arrays([pa.array(z[of].astype(np.int32)), pa.array(k[of]), pa.array(h[of]), pa.array(lo[of] + t[w]), pa.array(n.astype(np.int32)), *hashes], names=names)
+
         gone = np.flatnonzero(cut)
         if len(gone):
             run = np.ones(len(gone), bool)
             run[1:] = (gone[1:] != gone[:-1] + 1) | (seg[gone[1:]] != seg[gone[:-1]])
-            a = gone[run]
             n = np.diff(np.append(np.flatnonzero(run), len(gone)))
-            none = pa.nulls(len(a), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(k[seg[a]]), pa.array(h[seg[a]]), pa.array(lo[seg[a]] + t[a]), pa.array(n.astype(np.int32)), none, none], names=["k", "h", "lo", "cnt", "w1", "w2"])
+            none = pa.nulls(len(n), pa.int64())
+            yield rows(gone[run], n, none, none)
         stay = np.flatnonzero(~cut & (share[seg] > 0))
         if len(stay):
             place = at[stay]
             w1 = w2 = np.zeros(len(stay), np.uint64)
             for d in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
                 w1, w2 = mix(w1 * np.uint64(0xC2B2AE3D27D4EB4F) + words[place + d]), mix((w2 ^ words[place + d]) * np.uint64(0x165667B19E3779F9) + np.uint64(d + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(k[seg[stay]]), pa.array(h[seg[stay]]), pa.array(lo[seg[stay]] + t[stay]), pa.array(np.ones(len(stay), np.int32)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64))], names=["k", "h", "lo", "cnt", "w1", "w2"])
+            yield rows(stay, np.ones(len(stay)), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, last = [], 0, None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("k", "h", "lo", "cnt", "share", "bytes", "anchor")), strict=True):
-                if size >= TEXT and row[6] != last:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("z", "k", "h", "lo", "cnt", "share", "bytes", "anchor")), strict=True):
+                # shares of a hot anchor are cut apart anywhere: their windows meet again
+                if size >= TEXT and (row[7] != last or row[5] > 0):
                     yield from compared(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[5])
-                last = row[6]
+                size += len(row[6])
+                last = row[7]
         if held:
             yield from compared(held)
 
-    return segments.repartition("anchor", "share").sortWithinPartitions("anchor", "share").mapInArrow(run, "k long, h long, lo long, cnt int, w1 long, w2 long")
+    return segments.repartition("anchor", "share").sortWithinPartitions("anchor", "share").mapInArrow(run, "z int, k long, h long, lo long, cnt int, w1 long, w2 long")
 
 
 def _removed(texts: DataFrame, cuts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
-            for doc, h, text, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+            for doc, text, own in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 raw = (text.as_py() or "").encode()
-                runs = sorted((x["lo"], x["lo"] + x["cnt"] + LENGTH - 1) for x in own.as_py() or () if x["h"] == h)
+                runs = sorted((x["lo"], x["lo"] + x["cnt"] + LENGTH - 1) for x in own.as_py() or ())
                 spans: list[list[int]] = []
                 for a, b in runs:
                     if spans and a <= spans[-1][1]:
@@ -306,8 +332,8 @@ def _removed(texts: DataFrame, cuts: DataFrame) -> DataFrame:
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), span]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types, strict=True)], names=list(out))
 
-    own = cuts.groupBy("k").agg(F.collect_list(F.struct("h", "lo", "cnt")).alias("own"))
-    joined = texts.join(own, "k", "left").select("doc_id", "h", "text", "own")
+    own = cuts.groupBy(*_DOC).agg(F.collect_list(F.struct("lo", "cnt")).alias("own"))
+    joined = texts.join(own, _DOC, "left").select("doc_id", "text", "own")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, stop: long>>")
 
 
@@ -316,23 +342,28 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     ship(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("k"), F.col(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
-    rows = rows.select("k", F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 32) - 1)).alias("h"), "text", "doc_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    h1, h2 = (F.xxhash64(*[F.lit(i)] * i, F.coalesce("text", F.lit(""))) for i in range(2))
+    rows = rows.select(F.col("doc_id").isNotNull().cast("int").alias("z"), F.coalesce("doc_id", h2).alias("k"), h1.alias("h"), "text", "doc_id")
     name = f"fablens_texts_{uuid.uuid4().hex}"
-    rows.repartition(n, "k").write.bucketBy(n, "k").option("path", f"{checkpoint_folder(spark)}/{name}").saveAsTable(name)
-    release(spark)
-    texts = spark.table(name)
-
-    found = checkpointed(_groups(_anchor_blocks(rows.select("k", "h", "text"), 4 * n)))
-    release(spark)
-    compared = checkpointed(_compared(_segments(found.filter("share >= 0"), texts)))
-    release(spark)
-    cuts = found.filter("share < 0").select("k", "h", "lo", "cnt").union(compared.filter("w1 IS NULL").select("k", "h", "lo", "cnt"))
-    hot = compared.filter("w1 IS NOT NULL")
-    first = hot.groupBy("w1", "w2").agg(F.min(F.struct("k", "h", "lo")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    first = first.select(F.col("w1").alias("f1"), F.col("w2").alias("f2"), "first")
-    late = hot.join(joinable(joinable(first, "f1"), "f2"), (F.col("w1") == F.col("f1")) & (F.col("w2") == F.col("f2"))).filter(F.struct("k", "h", "lo") != F.col("first"))
-    return _removed(texts, cuts.union(late.select("k", "h", "lo", "cnt")))
+    folder = f"{checkpoint_folder(spark)}/{name}"
+    rows.repartition(n, *_DOC).write.bucketBy(n, *_DOC).option("path", folder).saveAsTable(name)
+    try:
+        release(spark)
+        texts = spark.table(name)
+        found = checkpointed(_groups(_anchor_blocks(rows.select(*_DOC, "text"), 4 * n)))
+        release(spark)
+        compared = checkpointed(_compared(_segments(found.filter("share >= 0"), texts)))
+        release(spark)
+        cuts = found.filter("share < 0").select(*_DOC, "lo", "cnt").union(compared.filter("w1 IS NULL").select(*_DOC, "lo", "cnt"))
+        hot = compared.filter("w1 IS NOT NULL")
+        first = hot.groupBy("w1", "w2").agg(F.min(F.struct(*_DOC, "lo")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+        first = first.select(F.col("w1").alias("f1"), F.col("w2").alias("f2"), "first")
+        late = hot.join(joinable(joinable(first, "f1"), "f2"), (F.col("w1") == F.col("f1")) & (F.col("w2") == F.col("f2"))).filter(F.struct(*_DOC, "lo") != F.col("first"))
+        return checkpointed(_removed(texts, cuts.union(late.select(*_DOC, "lo", "cnt"))))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete_folder(spark, folder)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

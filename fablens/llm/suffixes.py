@@ -5,7 +5,8 @@ long as there are ties. Stage two induces the others (type A) by a scan over the
 each suffix, when it is reached, puts its predecessor, if of type A, behind those already in the front of its bucket. A
 bucket is scanned a batch at a time; what it puts into itself makes the next batch.
 
-Order is exact to ``depth`` bytes at least; suffixes that agree so far are neighbours in any order.
+Order is exact to ``depth`` bytes at least; suffixes that agree so far are neighbours in any order. ``common_prefixes`` of
+neighbours then tell equal strings.
 """
 
 from __future__ import annotations
@@ -95,10 +96,11 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def shared_prefix(words: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
-    """Whether the ``length`` (8 at least) bytes from a and from b are equal."""
-    same = np.ones(len(a), bool)
-    for d in [*range(0, length - 7, 8), length - 8]:
-        at = np.flatnonzero(same)
-        same[at] = words[a[at] + d] == words[b[at] + d]
-    return same
+def common_prefixes(words: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """How many bytes the suffixes from a and from b (places of ``eight``'s numbers) have in common, ``most`` at most."""
+    out, alive, last = np.zeros(len(a), np.int64), np.arange(len(a)), len(words) - 1
+    for d in range(0, most, 8):
+        differ = words[np.minimum(a[alive] + d, last)] ^ words[np.minimum(b[alive] + d, last)]
+        out[alive] += sum((differ >> np.uint64(64 - 8 * n)) == 0 for n in range(1, 8)) + (differ == 0)
+        alive = alive[differ == 0]
+    return np.minimum(out, np.minimum(most, last - np.maximum(a, b)))

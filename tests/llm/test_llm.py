@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import functions as F
 
 from fablens.llm import bpe, chat, dac, decontaminate, embeddings, encode, langid, licenses, pii, registry, setjoin, substrings
-from fablens.llm.suffixes import suffix_array
+from fablens.llm.suffixes import common_prefixes, eight, suffix_array
 
 SF = "/root/testdata/sf0.001"
 TEXT = "doc_id long, text string, extra string"
@@ -94,6 +94,10 @@ def test_suffix_array():
         got = suffix_array(np.frombuffer(b, np.uint8), 40).tolist()
         assert sorted(got) == list(range(len(b)))
         assert [b[i : i + 40] for i in got] == sorted(b[i : i + 40] for i in range(len(b)))
+        pairs, array = list(zip(got, got[1:], strict=False)), np.frombuffer(b, np.uint8)
+        if pairs:
+            plain = [next((j for j in range(40) if b[x + j : x + j + 1] != b[y + j : y + j + 1] or max(x, y) + j >= len(b)), 40) for x, y in pairs]
+            assert common_prefixes(eight(array), *map(np.array, zip(*pairs, strict=True)), 40).tolist() == plain
 
 
 def plain_repeats(rows):
@@ -599,3 +603,27 @@ def test_redacting_takes_linear_time(spark):
     many = " ".join(f"u{i}@x.org a" for i in range(40_000))
     got = pii.redact(spark.createDataFrame([(1, many, ""), (2, "1.2.3.4 é🤦 " * 3, ""), (2, "1.2.3.4 é🤦 " * 3, "")], TEXT)).orderBy("doc_id").collect()
     assert got[0].text == " ".join(["[EMAIL] a"] * 40_000) and [g.text for g in got[1:]] == ["[IP] é🤦 " * 3] * 2
+
+
+def test_repeated_strings_in_pieces_and_hot_groups(spark, monkeypatch):
+    """Small limits, so that texts go in overlapping pieces and passages are dealt over blocks; one long log of a passage."""
+    for name, value in (("PIECE", 300), ("VARIANTS", 4), ("TEXT", 3000), ("FLUSH", 50)):
+        monkeypatch.setattr(substrings, name, value)
+    r = random.Random(12)
+    rows = fixture(seed=12, n=80)
+    passage = words(r, 30)
+    rows.append((1000, " ".join(passage + words(r, 4) for _ in range(150)), ""))
+    rows.append((-5, "é" * 700, ""))
+    got = {g.doc_id: (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in substrings.repeated_strings(spark.createDataFrame([(*x, 1, 2, 3) for x in rows], TEXT + ", z int, k long, h long")).collect()}
+    assert got == plain_repeats(rows)
+
+
+def test_repeated_strings_of_null_and_equal_ids(spark):
+    """Documents without an id are told apart by their texts; nothing of one is taken for another's."""
+    r = random.Random(13)
+    texts = [words(r, 60) for _ in range(40)]
+    rows = [(None, t, "") for t in texts] + [(-(1 << 63), texts[0], ""), (7, texts[1][:150] + words(r, 30), ""), (7, texts[2][:150] + words(r, 30), "")]
+    before = [x.name for x in spark.catalog.listTables()]
+    got = substrings.repeated_strings(spark.createDataFrame(rows, TEXT)).collect()
+    assert sorted(g.n_removed for g in got) == sorted([0] * 40 + [len(texts[0]), 150, 150]) and all(g.n_removed == 0 for g in got if g.doc_id is None)
+    assert [x.name for x in spark.catalog.listTables()] == before
