@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, release, ship, table
+from .common import checkpointed, fresh_name, release, ship, table
 from .components import components, joinable
 from .shingles import mix, shingle_set
 
@@ -472,5 +472,25 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return sized.join(joinable(found.withColumnRenamed("node", "doc_id"), "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each group that links connect: that of the smallest id; all columns as they are.
+
+    Rows with equal id and text are one document, of which one row stays, with the other columns of any of them. Documents
+    without an id, or with equal ids and different texts, take part under a number above 2^62 from a hash, so of a group they
+    stay only if no document of its own id is in it. Texts without words are in no group."""
+    h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    name, later_name = fresh_name(docs, "node"), fresh_name(docs, "later")
+    odd = docs.groupBy(F.col(id_col).alias(later_name)).agg(F.count("*").alias("n"), F.min(h).alias("lo"), F.max(h).alias("hi")).filter((F.col("n") > 1) | F.col(later_name).isNull())
+    odd = checkpointed(odd.select(later_name, (F.col(later_name).isNull() | (F.col("lo") < F.col("hi"))).alias(name)))
+    plain = odd.isEmpty()
+    rows = docs.withColumn(name, F.col(id_col))
+    if not plain:
+        own = F.shiftleft(F.lit(1).cast("long"), 62) + F.pmod(F.xxhash64(F.coalesce(F.col(id_col), F.lit(0)), F.col(id_col).isNull(), h), F.lit((1 << 62) - 1))
+        rows = docs.join(odd, F.col(id_col).eqNullSafe(F.col(later_name)), "left").withColumn(name, F.when(F.col(name), own).otherwise(F.col(id_col))).drop(later_name)
+    later = similar_sets(rows, name, text_col, k, percent).filter("component_id < doc_id").select(F.col("doc_id").alias(later_name)).distinct()
+    kept = rows.join(later, F.col(name) == F.col(later_name), "left_anti")
+    return (kept if plain else kept.dropDuplicates([name])).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
     return similar_sets(table(spark, sf_dir, "documents"))

@@ -285,21 +285,43 @@ def test_token_files(spark, docs, empty, tmp_path):
     assert dac.read_tokens(spark.read.schema(dac._DDL).parquet(str(tmp_path / "e"))).count() == 0
 
 
+def plain_redacted(texts):
+    """Texts with base spans and discoveries replaced."""
+    found, out = plain_discoveries(texts), []
+    for n, t in enumerate(texts):
+        marks = [x.split(":") for x in ",".join([plain_pii(t), found.get(n, "")]).split(",") if x]
+        marks = sorted((int(s), (list(PLAIN).index(kind) if kind in PLAIN else 9), int(e), kind) for kind, s, e in marks)
+        cut, at = "", 0
+        for s, _, e, kind in marks:
+            if s >= at:
+                cut += t[at:s] + f"[{kind.upper()}]"
+            at = max(at, e)
+        out.append(cut + t[at:])
+    return out
+
+
 def test_pipeline(spark):
-    """The stages against plain versions of what each decides."""
+    """The whole pipeline against plain versions of its stages: letters, five-word groups, windows, bootstrapping, the library."""
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
 
     out = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}
     docs = [(r.doc_id, r.text, "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     known = [x for x in docs if x[1] and any(c.isalpha() for c in x[1])]
-    groups = plain_groups(known)
-    first = [x for x in known if groups[x[0]][1] == x[0]]
-    bad = {r.doc_id for r in registry.QUERIES["op5_decontaminate"](spark, SF).filter("contaminated").collect()}
-    assert set(out) == {d for d, _, _ in first} - bad
-    own = bpe.load(encode.tokenizer_path())
-    for d, t, _ in first:
-        if d in out and not plain_pii(t) and not re.search("[0-9]", t):
-            assert out[d].n_tokens == len(own.encode(t))
+    groups = plain_near(known, 5, 80)[1]
+    windows = plain_windows([r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
+    first = []
+    for d, t, _ in known:
+        hit = sum(b - a for a, b in plain_spans(t, windows))
+        if groups[d] == d and not (hit and 20 * hit >= len(re.findall(decontaminate.ANY_WORD, t))):
+            first.append((d, t))
+    assert set(out) == {d for d, _ in first}
+    library = Tokenizer.from_file(encode.tokenizer_path())
+    for (d, _), t in zip(first, plain_redacted([t for _, t in first]), strict=True):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert (out[d].n_tokens, out[d].ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert out[d].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
 
 
 def plain_near(rows, k, percent):
@@ -627,3 +649,30 @@ def test_repeated_strings_of_null_and_equal_ids(spark):
     got = substrings.repeated_strings(spark.createDataFrame(rows, TEXT)).collect()
     assert sorted(g.n_removed for g in got) == sorted([0] * 40 + [len(texts[0]), 150, 150]) and all(g.n_removed == 0 for g in got if g.doc_id is None)
     assert [x.name for x in spark.catalog.listTables()] == before
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and long texts, ties, repeated rows, equal ids, clashing names and an empty table."""
+    import corpus_pipeline
+
+    r = random.Random(21)
+    base, long = words(r, 60), words(r, 40_000)
+    rows = [(1, base), (1, base), (2, base + " tail"), (None, base), (None, None), (None, None), (3, None), (4, ""), (5, "12 34"), (6, words(r, 50)), (6, words(r, 50)), (None, words(r, 50)), (7, long), (8, long + " end"), (9, "mail a@b.org now")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _id long, _hash string, node long, later string, runs int, spans string, doc int, rid int"
+    frame = spark.createDataFrame([(d, t, None, None, None, d, None, 5, "x", 1, "y", 2, 3) for d, t in rows], schema)
+    near = corpus_pipeline.near_duplicates(spark, frame, SF)
+    assert near.columns == frame.columns
+    kept = sorted(((x.doc_id, x.text) for x in near.collect()), key=str)
+    left = [x for x in dict.fromkeys(rows) if x not in [(2, base + " tail"), (None, base), (8, long + " end")]]
+    assert kept == sorted(left, key=str)
+    stages = {name: f for name, f in corpus_pipeline.STAGES}
+    for name in ("decontamination", "personal_data"):
+        got = stages[name](spark, frame, SF)
+        assert got.columns == frame.columns and got.count() == len(rows)
+    clean = {x.doc_id: x for x in stages["personal_data"](spark, frame, SF).collect()}
+    assert clean[9].text == "mail [EMAIL] now" and clean[9].n_chars == 16 and clean[3].n_chars is None
+    labelled = frame.withColumn("lang", F.lit("en"))
+    assert sorted((x.doc_id or 0) for x in stages["language"](spark, labelled, SF).collect()) == [0, 0, 1, 1, 2, 6, 6, 7, 8, 9]
+    assert stages["tokens"](spark, frame, SF).count() == len(rows)
+    for f in stages.values():
+        assert f(spark, frame.filter("false"), SF).count() == 0
