@@ -263,30 +263,35 @@ def sketch(d: np.ndarray, n: int, width: int = 0) -> np.ndarray:
     return np.packbits(odd.astype(bool))
 
 
-def hopeful_pairs(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``pairs`` without those that parity sketches rule out, whose differing bits are never more than the elements that differ.
-    So few of the pairs that share a signature by chance are met by their sets."""
+def sketches(sets: DataFrame) -> DataFrame:
+    """id, n (size), bits: parity sketches, a power of two of bytes wide, so that a wider one folds to a narrower one."""
 
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [x.values.to_numpy() for x in batch.column(1)]
-            # a power of two of bytes: a wider sketch folds to a narrower one
             bits = [sketch(v, 0, 1 << max(5, (len(v) // 4).bit_length())).tobytes() for v in values]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(v) for v in values], pa.int64()), pa.array(bits, pa.binary())], names=["id", "n", "bits"])
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return sets.mapInArrow(run, "id long, n long, bits binary")
+
+
+def judged(pairs: DataFrame, drawn: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b, large, nr and n (their sizes), maybe: whether sketches leave it open that the two are similar. Their differing bits
+    are never more than the elements that differ, so only open pairs are met by their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = []
-            for n, m, p, q in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "p", "q")), strict=True):
+            for nr, n, p, q in zip(*(batch.column(c).to_pylist() for c in ("nr", "n", "p", "q")), strict=True):
                 width = min(len(p), len(q))
                 x, y = (np.bitwise_xor.reduce(np.frombuffer(z, np.uint8).reshape(-1, width), axis=0) for z in (p, q))
-                held.append(bool(similar(int(_ONES[x ^ y].sum(dtype=np.int64)), n + m, percent)))
-            yield batch.select(["a", "b", "large"]).filter(pa.array(held, pa.bool_()))
+                held.append(bool(similar(int(_ONES[x ^ y].sum(dtype=np.int64)), n + nr, percent)))
+            columns = ["a", "b", "large", "nr", "n"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(held, pa.bool_())], names=[*columns, "maybe"])
 
-    drawn = checkpointed(sets.mapInArrow(draw, "id long, n long, bits binary"))
-    small = pairs.filter("NOT large").join(drawn.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("q")), "b")
-    small = small.join(drawn.select(F.col("id").alias("a"), "n", F.col("bits").alias("p")), "a")
-    return small.mapInArrow(keep, "a long, b long, large boolean").union(pairs.filter("large").select("a", "b", "large"))
+    both = pairs.join(drawn.select(F.col("id").alias("b"), "n", F.col("bits").alias("q")), "b")
+    both = both.join(drawn.select(F.col("id").alias("a"), F.col("n").alias("nr"), F.col("bits").alias("p")), "a")
+    return both.select("a", "b", "large", "nr", "n", "p", "q").mapInArrow(run, "a long, b long, large boolean, nr long, n long, maybe boolean")
 
 
 def with_label(rows: DataFrame, labels: DataFrame, key: str = "id") -> DataFrame:
@@ -407,27 +412,39 @@ def hopeful_partners(rows: DataFrame, drawn: DataFrame, labels: DataFrame, most:
     return dealt.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
-def settled(labels: DataFrame, led: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``labels`` with all links inside large buckets. led: the rows of ``entries``, each leader compared with its sets.
+def differences(led: DataFrame, sets: DataFrame) -> DataFrame:
+    """``led`` (r, id, n, nr, far) with extra and missing: what a set has and its leader lacks, and the other way round."""
+    both = with_sets(led.withColumnsRenamed({"r": "a", "id": "b"}), sets)
+    return both.select(F.col("a").alias("r"), F.col("b").alias("id"), "n", "nr", "far", F.array_except("y", "x").alias("extra"), F.array_except("x", "y").alias("missing"))
+
+
+def settled(labels: DataFrame, led: DataFrame, sets: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+    """``labels`` with all links inside large buckets. led: r, id, n, nr, far, each leader compared with its sets.
 
     Only sets of different labels are met, so a group is done once its sets have one. First a far set of each group becomes
     a second leader, which joins up a group whose first leader is the odd one. What is left meets by differences: each far
     set with its nearest partner, with eight times as many in the next round, until none has more.
     """
+    spark = led.sparkSession
     members = led.select("r", "id", "far")
     for _ in range(RELEADS):
         pairs = checkpointed(second_leaders(unsettled(members, labels)))
         if pairs.isEmpty():
             return labels
-        labels = relabelled(labels, checkpointed(verified(pairs, sets, percent)))
+        open_ = checkpointed(judged(pairs.withColumn("large", F.lit(True)), drawn, percent).filter("maybe").select("a", "b"))
+        release(spark)
+        labels = relabelled(labels, checkpointed(verified(open_, sets, percent)))
+        release(spark)
     open_groups = checkpointed(unsettled(members, labels).select("r").distinct())
     if open_groups.isEmpty():
         return labels
-    led = led.join(joinable(open_groups, "r"), "r", "left_semi")
-    rows, drawn, most = checkpointed(entries(led, percent)), checkpointed(difference_sketches(led)), 1
+    apart = checkpointed(differences(led.join(joinable(open_groups, "r"), "r", "left_semi"), sets))
+    release(spark)
+    rows, bits, most = checkpointed(entries(apart, percent)), checkpointed(difference_sketches(apart)), 1
+    del apart
     while True:
-        pairs = checkpointed(hopeful_partners(rows, drawn, labels, most, percent))
-        release(led.sparkSession)
+        pairs = checkpointed(hopeful_partners(rows, bits, labels, most, percent))
+        release(spark)
         more = pairs.agg(F.max("more")).first()[0]
         if more is None:
             return labels
@@ -439,36 +456,31 @@ def settled(labels: DataFrame, led: DataFrame, sets: DataFrame, percent: int) ->
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id; linked are sets of k-word shingles of Jaccard similarity percent / 100 or more."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = checkpointed(signed_sets(rows, k, percent, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    sized = signed.filter("part IS NULL").select("doc_id", "n_shingles", "digest")
+    signed = checkpointed(signed_sets(rows, k, percent, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    sized = checkpointed(signed.filter("part IS NULL").select("doc_id", "n_shingles", "digest"))
     nodes = sized.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
     first = nodes.groupBy("digest").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).filter("n > 1")
     first = first.select(F.concat("digest", F.lit(b"")).alias("digest"), "b")
     exact = nodes.select("digest", F.col("doc_id").alias("a")).join(first, "digest").select("a", "b")
 
     pairs = checkpointed(common_leaders(candidates(signed)))
-    release(docs.sparkSession)
+    del signed  # with its files, the signatures
+    release(spark)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = checkpointed(sets_of(rows, ids, k))
-    release(docs.sparkSession)
-    common = F.size(F.array_intersect("x", "y"))
-    sizes = F.size("x") + F.size("y")
-    pairs = checkpointed(hopeful_pairs(pairs, sets, percent))
-    release(docs.sparkSession)
-    checked = with_sets(pairs, sets).withColumn("far", ~similar(sizes - 2 * common, sizes, percent))
-    led = checked.select(
-        "a", "b", "far", "large",
-        F.size("y").alias("n"), F.size("x").alias("nr"),
-        F.when(F.col("large"), F.array_except("y", "x")).alias("extra"),
-        F.when(F.col("large"), F.array_except("x", "y")).alias("missing"),
-    )
-    led = checkpointed(led)
-    release(docs.sparkSession)
-    labels = components(exact.union(led.filter("NOT far").select("a", "b")))
-    groups = led.filter("large").select(F.col("a").alias("r"), F.col("b").alias("id"), "n", "nr", "extra", "missing", "far")
-    found = settled(labels, groups, sets, percent)
+    release(spark)
+    drawn = checkpointed(sketches(sets))
+    met = checkpointed(judged(pairs, drawn, percent))
+    release(spark)
+    links = checkpointed(verified(met.filter("maybe").select("a", "b"), sets, percent))
+    release(spark)
+    labels = components(exact.union(links))
+    led = met.filter("large").join(links.withColumns({"a": F.col("a") + 0, "near": F.lit(True)}), ["a", "b"], "left")
+    led = checkpointed(led.select(F.col("a").alias("r"), F.col("b").alias("id"), "n", "nr", F.col("near").isNull().alias("far")))
+    found = settled(labels, led, sets, drawn, percent)
     return sized.join(joinable(found.withColumnRenamed("node", "doc_id"), "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
