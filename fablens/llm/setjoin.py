@@ -12,8 +12,8 @@ A band whose similar sets are equal sets (k = 0) needs no signature.
 
 Signatures meet by hash, as packed binary blocks. A bucket of at most ``SMALL`` sets gives all its pairs. In a larger one
 every set is compared with the bucket's first, its leader. Links found so far label the sets, and only pairs of sets of
-different labels, of which one at least isn't similar to the leader, are still open. They are found exactly, by their
-differences from the leader: if D(x) is what x and the leader r do not share, then x and y differ in
+different labels, of which one at least isn't similar to the leader, are still open. A group of up to ``BLOCK`` sets meets in
+one task, by sketches. In larger ones pairs are found exactly by their differences from the leader: if D(x) is what x and the leader r do not share, then x and y differ in
 |D(x)| + |D(y)| - 2 |D(x) & D(y)| elements, so a similar pair must share so many elements of D that one of them lies in a
 short prefix of both (elements that r lacks come first, being rare). Of those that meet so, parity sketches (whose differing
 bits are never more than the elements that differ) rule out most, and each far set is compared with its nearest of the rest;
@@ -55,6 +55,8 @@ LEAST, PIECES = 1, 4
 SMALL = 8
 #: Sets of one meeting in a task; second leaders that a group gets.
 BLOCK, RELEADS = 2048, 2
+#: Ids (8 bytes each) up to which they are broadcast.
+BROADCAST_IDS = 1 << 17
 #: Signatures that a task holds before it sends them on.
 FLUSH = 1 << 20
 
@@ -308,7 +310,10 @@ def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The similar ones of ``pairs`` (a, b), by their sets."""
+    """The similar ones of ``pairs`` (a, b; written already), by their sets. Only the sets of few pairs are shuffled."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    if ids.count() <= BROADCAST_IDS:
+        sets = sets.join(F.broadcast(ids.distinct()), "id", "left_semi")
     return with_sets(pairs, sets).filter(similar(F.size("x") + F.size("y") - 2 * F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y"), percent)).select("a", "b")
 
 
@@ -350,40 +355,35 @@ def entries(led: DataFrame, percent: int) -> DataFrame:
     return led.select("r", "id", "n", "nr", "far", "extra", "missing").mapInArrow(run, "r long, e long, id long, n long, far boolean")
 
 
-def difference_sketches(led: DataFrame) -> DataFrame:
-    """r, id, bits: a parity sketch of a set's differences from its leader, of one width for each leader."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d = [np.concatenate([x.values.to_numpy(), y.values.to_numpy()]) for x, y in zip(batch.column("extra"), batch.column("missing"), strict=True)]
-            bits = [sketch(x, nr).tobytes() for x, nr in zip(d, batch.column("nr").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("r"), batch.column("id"), pa.array(bits, pa.binary())], names=["r", "id", "bits"])
-
-    return led.select("r", "id", "nr", "extra", "missing").mapInArrow(run, "r long, id long, bits binary")
-
-
 def hopeful_partners(rows: DataFrame, drawn: DataFrame, labels: DataFrame, most: int, percent: int) -> DataFrame:
     """a, b, more: for each far set its ``most`` nearest by sketch among the sets of other labels that share a prefix element
     and that sketches don't rule out; more says that there are others.
 
-    Only meetings of several labels go on. A meeting of more than ``BLOCK`` sets is dealt over blocks, each set at home in one;
-    far sets visit all of them.
+    rows: r, e, id, n, far; those that share r and e meet. Only meetings of several labels go on. A meeting of more than
+    ``BLOCK`` sets is dealt over blocks, each set at home in one; far sets visit all of them.
     """
 
     def meet(held: list[tuple]) -> pa.RecordBatch | None:
         ids, n, label = (np.array([x[c] for x in held], np.int64) for c in (0, 1, 3))
         far, home = (np.array([x[c] for x in held], bool) for c in (2, 4))
-        bits = np.stack([np.frombuffer(x[5], np.uint8) for x in held])
-        own = np.flatnonzero(home)
+        raw = [np.frombuffer(x[5], np.uint8) for x in held]
+        width = np.array([len(x) for x in raw])
+        fold = lambda x, w: np.bitwise_xor.reduce(x.reshape(-1, w), axis=0)
+        wide = {w: np.flatnonzero(width >= w) for w in np.unique(width)}
+        folded = {w: np.stack([fold(raw[j], w) for j in every]) for w, every in wide.items()}
         found: list[tuple] = []
         for i in np.flatnonzero(far):
-            others = own[label[own] != label[i]]
-            if len(others):
-                least = _ONES[bits[i] ^ bits[others]].sum(1, dtype=np.int64)
-                fine = similar(least, n[i] + n[others], percent)
-                others, least = others[fine], least[fine]
-                near = others[np.lexsort((ids[others], least))[:most]]
-                found += [(min(ids[i], x), max(ids[i], x), len(others) > most) for x in ids[near]]
+            other, least = [], []
+            for w, every in wide.items():  # two sets are compared at the narrower one's width
+                if w <= width[i]:
+                    some = np.flatnonzero((home & (label != label[i]))[every] & ((width[every] == w) | (w == width[i])))
+                    other.append(every[some])
+                    least.append(_ONES[fold(raw[i], w) ^ folded[w][some]].sum(1, dtype=np.int64))
+            others, least = np.concatenate(other), np.concatenate(least)
+            fine = similar(least, n[i] + n[others], percent)
+            others, least = others[fine], least[fine]
+            near = others[np.lexsort((ids[others], least))[:most]]
+            found += [(min(ids[i], x), max(ids[i], x), len(others) > most) for x in ids[near]]
         if not found:
             return None
         a, b, more = zip(*found, strict=True)
@@ -407,7 +407,7 @@ def hopeful_partners(rows: DataFrame, drawn: DataFrame, labels: DataFrame, most:
     met = joinable(joinable(met.select("r", "e", F.ceil(F.col("sets") / BLOCK).cast("int").alias("blocks")), "r"), "e")
     dealt = named.join(met, ["r", "e"]).withColumn("home", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("block", F.explode(F.when(F.col("far"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))))
-    dealt = dealt.join(joinable(joinable(drawn, "r"), "id"), ["r", "id"]).select("r", "e", "block", "id", "n", "far", "label", "home", "bits")
+    dealt = dealt.join(joinable(drawn.select("id", "bits"), "id"), "id").select("r", "e", "block", "id", "n", "far", "label", "home", "bits")
     dealt = dealt.repartition("r", "e", "block").sortWithinPartitions("r", "e", "block")
     return dealt.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
@@ -422,8 +422,9 @@ def settled(labels: DataFrame, led: DataFrame, sets: DataFrame, drawn: DataFrame
     """``labels`` with all links inside large buckets. led: r, id, n, nr, far, each leader compared with its sets.
 
     Only sets of different labels are met, so a group is done once its sets have one. First a far set of each group becomes
-    a second leader, which joins up a group whose first leader is the odd one. What is left meets by differences: each far
-    set with its nearest partner, with eight times as many in the next round, until none has more.
+    a second leader, which joins up a group whose first leader is the odd one. What is left meets in its group, or by differences
+    from the leader if the group is larger than a block: each far set with its nearest partner, with eight times as many in the
+    next round, until none has more.
     """
     spark = led.sparkSession
     members = led.select("r", "id", "far")
@@ -435,15 +436,16 @@ def settled(labels: DataFrame, led: DataFrame, sets: DataFrame, drawn: DataFrame
         release(spark)
         labels = relabelled(labels, checkpointed(verified(open_, sets, percent)))
         release(spark)
-    open_groups = checkpointed(unsettled(members, labels).select("r").distinct())
-    if open_groups.isEmpty():
+    groups = checkpointed(unsettled(members, labels).groupBy("r").agg(F.count("*").alias("sets")))
+    if groups.isEmpty():
         return labels
-    apart = checkpointed(differences(led.join(joinable(open_groups, "r"), "r", "left_semi"), sets))
+    of = lambda some: led.join(joinable(groups.filter(some), "r"), "r", "left_semi")
+    # a group that fits in a block meets as one; of a larger one only sets that share a prefix element do
+    whole = of(F.col("sets") <= BLOCK).select("r", F.lit(0).cast("long").alias("e"), "id", "n", "far")
+    rows, most = checkpointed(whole.union(entries(differences(of(F.col("sets") > BLOCK), sets), percent))), 1
     release(spark)
-    rows, bits, most = checkpointed(entries(apart, percent)), checkpointed(difference_sketches(apart)), 1
-    del apart
     while True:
-        pairs = checkpointed(hopeful_partners(rows, bits, labels, most, percent))
+        pairs = checkpointed(hopeful_partners(rows, drawn, labels, most, percent))
         release(spark)
         more = pairs.agg(F.max("more")).first()[0]
         if more is None:
