@@ -12,8 +12,8 @@ A band whose similar sets are equal sets (k = 0) needs no signature.
 
 Signatures meet by hash, as packed binary blocks. A bucket of at most ``SMALL`` sets gives all its pairs. In a larger one
 every set is compared with the bucket's first, its leader. Links found so far label the sets, and only pairs of sets of
-different labels, of which one at least isn't similar to the leader, are still open. A group of up to ``BLOCK`` sets meets in
-one task, by sketches. In larger ones pairs are found exactly by their differences from the leader: if D(x) is what x and the leader r do not share, then x and y differ in
+different labels, of which one at least isn't similar to the leader, are still open. A group of up to ``WHOLE`` sets meets
+by sketches, in blocks. In larger ones pairs are found exactly by their differences from the leader: if D(x) is what x and the leader r do not share, then x and y differ in
 |D(x)| + |D(y)| - 2 |D(x) & D(y)| elements, so a similar pair must share so many elements of D that one of them lies in a
 short prefix of both (elements that r lacks come first, being rare). Of those that meet so, parity sketches (whose differing
 bits are never more than the elements that differ) rule out most, and each far set is compared with its nearest of the rest;
@@ -38,6 +38,7 @@ from math import gcd
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +56,8 @@ LEAST, PIECES = 1, 4
 SMALL = 8
 #: Sets of one meeting in a task; second leaders that a group gets.
 BLOCK, RELEADS = 2048, 2
+#: Sets up to which a group meets whole, in blocks; in larger ones only sets that share a prefix element meet.
+WHOLE = 16 * BLOCK
 #: Ids (8 bytes each) up to which they are broadcast.
 BROADCAST_IDS = 1 << 17
 #: Signatures that a task holds before it sends them on.
@@ -129,11 +132,11 @@ def _digest(elements: np.ndarray) -> bytes:
 
 def signed_sets(docs: DataFrame, k: int = K, percent: int = PERCENT, parts: int = 1) -> DataFrame:
     """Of one pass over the texts: a row for each document (doc_id, n_shingles, digest, null for an empty set), and rows of
-    signatures (part, block), the part being a signature's remainder by ``parts``."""
+    signatures (block), in the part that is a signature's remainder by ``parts``. Documents go to the parts in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        sigs, ids, held = [], [], 0
+        sigs, ids, held, turn = [], [], 0, TaskContext.get().partitionId() * 7919
         schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("part", pa.int32()), ("block", pa.binary())])
 
         def packed() -> pa.RecordBatch:
@@ -164,8 +167,9 @@ def signed_sets(docs: DataFrame, k: int = K, percent: int = PERCENT, parts: int
                 if held >= FLUSH:
                     yield packed()
                     sigs, ids, held = [], [], 0
-            none = [pa.nulls(batch.num_rows, f.type) for f in list(schema)[3:]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), *none], schema=schema)
+            part = (turn + np.arange(batch.num_rows)) % parts
+            turn += batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(part, pa.int32()), pa.nulls(batch.num_rows, pa.binary())], schema=schema)
         if sigs:
             yield packed()
 
@@ -173,7 +177,9 @@ def signed_sets(docs: DataFrame, k: int = K, percent: int = PERCENT, parts: int
 
 
 def candidates(signed: DataFrame) -> DataFrame:
-    """a, b, large: pairs of ids that share a signature; in a large bucket, its leader a with each other set b."""
+    """The documents of ``signed`` as they are, and rows of a, b, large: pairs of ids that share a signature; in a large bucket,
+    its leader a with each other set b. The signatures end here."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("large", pa.bool_())])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, blocks = None, []
@@ -208,10 +214,16 @@ def candidates(signed: DataFrame) -> DataFrame:
                 if len(a):
                     both = np.unique(np.stack([a, b], 1), axis=0)
                     for i in range(0, len(both), 100_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(both[i : i + 100_000, 0]), pa.array(both[i : i + 100_000, 1]), pa.array(np.full(len(both[i : i + 100_000]), large))], names=["a", "b", "large"])
+                        x = both[i : i + 100_000]
+                        none = [pa.nulls(len(x), f.type) for f in list(schema)[:3]]
+                        yield pa.RecordBatch.from_arrays([*none, pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(np.full(len(x), large))], schema=schema)
 
         for batch in batches:
-            for p, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = batch.filter(batch.column(4).is_null())
+            if own.num_rows:
+                yield pa.RecordBatch.from_arrays([*(own.column(i) for i in range(3)), *(pa.nulls(own.num_rows, f.type) for f in list(schema)[3:])], schema=schema)
+            sent = batch.filter(batch.column(4).is_valid())
+            for p, block in zip(sent.column(3).to_pylist(), sent.column(4).to_pylist(), strict=True):
                 if p != part and blocks:
                     yield from pairs()
                     blocks = []
@@ -220,8 +232,8 @@ def candidates(signed: DataFrame) -> DataFrame:
         if blocks:
             yield from pairs()
 
-    dealt = signed.select("part", "block").filter("part IS NOT NULL").repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(meet, "a long, b long, large boolean").groupBy("a", "b").agg(F.max("large").alias("large"))
+    dealt = signed.repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(meet, "doc_id long, n_shingles long, digest binary, a long, b long, large boolean")
 
 
 def common_leaders(pairs: DataFrame) -> DataFrame:
@@ -423,7 +435,7 @@ def settled(labels: DataFrame, led: DataFrame, sets: DataFrame, drawn: DataFrame
 
     Only sets of different labels are met, so a group is done once its sets have one. First a far set of each group becomes
     a second leader, which joins up a group whose first leader is the odd one. What is left meets in its group, or by differences
-    from the leader if the group is larger than a block: each far set with its nearest partner, with eight times as many in the
+    from the leader if the group is larger than ``WHOLE``: each far set with its nearest partner, with eight times as many in the
     next round, until none has more.
     """
     spark = led.sparkSession
@@ -440,9 +452,8 @@ def settled(labels: DataFrame, led: DataFrame, sets: DataFrame, drawn: DataFrame
     if groups.isEmpty():
         return labels
     of = lambda some: led.join(joinable(groups.filter(some), "r"), "r", "left_semi")
-    # a group that fits in a block meets as one; of a larger one only sets that share a prefix element do
-    whole = of(F.col("sets") <= BLOCK).select("r", F.lit(0).cast("long").alias("e"), "id", "n", "far")
-    rows, most = checkpointed(whole.union(entries(differences(of(F.col("sets") > BLOCK), sets), percent))), 1
+    whole = of(F.col("sets") <= WHOLE).select("r", F.lit(0).cast("long").alias("e"), "id", "n", "far")
+    rows, most = checkpointed(whole.union(entries(differences(of(F.col("sets") > WHOLE), sets), percent))), 1
     release(spark)
     while True:
         pairs = checkpointed(hopeful_partners(rows, drawn, labels, most, percent))
@@ -461,15 +472,16 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = checkpointed(signed_sets(rows, k, percent, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    sized = checkpointed(signed.filter("part IS NULL").select("doc_id", "n_shingles", "digest"))
+    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = checkpointed(candidates(signed_sets(rows, k, percent, parts)))
+    release(spark)
+    sized = found.filter("a IS NULL").select("doc_id", "n_shingles", "digest")
+    pairs = checkpointed(common_leaders(found.filter("a IS NOT NULL").groupBy("a", "b").agg(F.max("large").alias("large"))))
     nodes = sized.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
     first = nodes.groupBy("digest").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).filter("n > 1")
     first = first.select(F.concat("digest", F.lit(b"")).alias("digest"), "b")
     exact = nodes.select("digest", F.col("doc_id").alias("a")).join(first, "digest").select("a", "b")
 
-    pairs = checkpointed(common_leaders(candidates(signed)))
-    del signed  # with its files, the signatures
     release(spark)
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = checkpointed(sets_of(rows, ids, k))

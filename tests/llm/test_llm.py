@@ -399,6 +399,7 @@ def test_every_label_is_learned(spark):
 def test_jaccard_join_of_short_texts_and_wide_groups(spark, monkeypatch):
     """Many short sets, and a group of long texts whose smallest id, the leader, is far from most of the others."""
     monkeypatch.setattr(setjoin, "BLOCK", 16)
+    monkeypatch.setattr(setjoin, "WHOLE", 48)
     r = random.Random(4)
     rows = [(i, words(r, r.randint(1, 14), "ab"), "") for i in range(1500)]
     got = {g.doc_id: g.component_id for g in setjoin.similar_sets(spark.createDataFrame(rows, TEXT)).collect()}
