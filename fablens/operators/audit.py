@@ -34,7 +34,10 @@ def missing_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """n_duplicates: rows beyond the first of each set of equal rows."""
-    return df.groupBy(*map(col_ref, df.columns)).agg(F.count(F.lit(1)).alias("_n")).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("long").alias("n_duplicates"))
+    copies = "copies"
+    while copies.lower() in {c.lower() for c in df.columns}:
+        copies += "_"
+    return df.groupBy(*map(col_ref, df.columns)).agg(F.count(F.lit(1)).alias(copies)).agg(F.coalesce(F.sum(F.col(copies) - 1), F.lit(0)).cast("long").alias("n_duplicates"))
 
 
 def value_shares(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -71,11 +71,9 @@ def scatter(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def binned(df: DataFrame, params: list[str], target: str, k: int = 10, by: str | None = None) -> DataFrame:
     """(category,) param, bin, lo, hi, n, mean_y over equal-width bins; with ``by``, bins are those of each category."""
-    keep = [by, target] if by else [target]
-    x = long_form(df, params, keep).withColumn("_y", present(col_ref(target)))
-    keys = ["param"]
-    if by:
-        x, keys = x.withColumn("category", col_ref(by)), ["category", "param"]
+    keep, names = ([by, target], ["category", "_y"]) if by else ([target], ["_y"])
+    x = long_form(df, params, keep, names).withColumn("_y", present(F.col("_y")))
+    keys = names[:-1] + ["param"]
     x = _binned(x.select(*keys, "value", "_y"), keys, {"value": k}).withColumnRenamed("_bin_value", "bin")
     return x.groupBy(*keys, "bin").agg(*_bounds("value", k, "bin"), F.count(F.lit(1)).alias("n"), F.avg("_y").alias("mean_y"))
 

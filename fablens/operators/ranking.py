@@ -47,7 +47,7 @@ def parameter_table(correlations: DataFrame, top: int | None = None) -> DataFram
 
 
 def insights(found: DataFrame, stages: dict[str, str] | None = None) -> DataFrame:
-    """param, stage, direction, threshold, best_range, text from ``discovery`` rows (and best_lo, best_hi, if there)."""
+    """param, stage, direction, form, threshold, strength, text from ``discovery`` rows."""
     from itertools import chain
 
     stage = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in stages.items()))[F.col("param")] if stages else F.lit(None).cast("string")

@@ -12,14 +12,21 @@ from pyspark.sql import functions as F
 from ..functions.columns import col_ref, numeric_columns, present
 
 
-def long_form(df: DataFrame, params: list[str] | None = None, keep: list[str] | None = None) -> DataFrame:
-    """keep..., param, value (double; NaN and null are null). Only the named columns are read."""
+def long_form(df: DataFrame, params: list[str] | None = None, keep: list[str] | None = None, names: list[str] | None = None) -> DataFrame:
+    """keep... (called ``names``, if given), param, value (double; NaN and null are null). Only the named columns are read,
+    whatever their names: a kept column may be called value or param if ``names`` says otherwise."""
     keep = keep or []
+    names = names or keep
     params = [c for c in (params if params is not None else numeric_columns(df)) if c not in keep]
+    kept = [col_ref(c).alias(n) for c, n in zip(keep, names, strict=True)]
     if not params:
-        return df.select(*map(col_ref, keep), F.lit(None).cast("string").alias("param"), F.lit(None).cast("double").alias("value")).limit(0)
-    narrow = df.select(*map(col_ref, keep), *[present(col_ref(c)).alias(c) for c in params])
-    return narrow.unpivot([col_ref(c) for c in keep], [col_ref(c) for c in params], "param", "value")
+        return df.select(*kept, F.lit(None).cast("string").alias("param"), F.lit(None).cast("double").alias("value")).limit(0)
+    mark = "kept"
+    while any(c.lower().startswith(mark) for c in params):
+        mark = "_" + mark
+    inner = [f"{mark}{i}" for i in range(len(keep))]
+    narrow = df.select(*[col_ref(c).alias(n) for c, n in zip(keep, inner, strict=True)], *[present(col_ref(c)).alias(c) for c in params])
+    return narrow.unpivot([col_ref(c) for c in inner], [col_ref(c) for c in params], "param", "value").withColumnsRenamed(dict(zip(inner, names, strict=True)))
 
 
 def text_form(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

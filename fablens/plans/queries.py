@@ -96,9 +96,9 @@ def _(spark, d):
     return audit.missing_values(line(spark, d))
 
 
-@query("audit_duplicates", "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n_duplicates FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)")
+@query("audit_duplicates", "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS n_duplicates FROM (SELECT count(*) AS n FROM lineitem GROUP BY " + ", ".join(LINE_COLUMNS) + ")")
 def _(spark, d):
-    return audit.duplicate_rows(line(spark, d).select("l_orderkey", "l_linenumber"))
+    return audit.duplicate_rows(line(spark, d))
 
 
 @query("audit_constant", "SELECT 'one' AS \"column\", CAST(1 AS BIGINT) AS n_distinct WHERE (SELECT count(*) FROM lineitem) > 0")
@@ -261,13 +261,13 @@ def _(spark, d):
     return rounded(bins.binned(u, ["delta"], Y), mean_y=3)
 
 
-_SIGNED = f"SELECT 'signed' AS param, l_tax - 0.04 AS x, {Y} AS y FROM u UNION ALL SELECT 'absolute', abs(l_tax - 0.04), {Y} FROM u"
+_SIGNED = f"SELECT 'signed' AS param, round(l_tax - 0.04, 6) AS x, {Y} AS y FROM u UNION ALL SELECT 'absolute', abs(round(l_tax - 0.04, 6)), {Y} FROM u"
 
 
-@query("abs_vs_signed", f"{_spearman(_SIGNED)}, p AS (SELECT param, count(*) AS n, {r(corr_sql(), 4)} AS r FROM l GROUP BY param) SELECT param, n, r FROM p")
+@query("abs_vs_signed", f"{_spearman(_SIGNED)}, p AS (SELECT param, count(*) AS n, {r(corr_sql(), 4)} AS r FROM l GROUP BY param), q AS (SELECT param, {r(corr_sql(), 4)} AS rho FROM k GROUP BY param) SELECT param, n, r, rho FROM p JOIN q USING (param)")
 def _(spark, d):
-    u = read_units(spark, d).withColumn("alignment", F.col("l_tax") - 0.04)
-    return rounded(association.abs_and_signed(u, "alignment", Y).drop("rho"), 4)
+    u = read_units(spark, d).withColumn("alignment", F.round(F.col("l_tax") - 0.04, 6))
+    return rounded(association.abs_and_signed(u, "alignment", Y), 4)
 
 
 @query("monotonic", f"{_spearman(long_sql())}, a AS (SELECT param, {corr_sql()} AS r FROM l GROUP BY param), b AS (SELECT param, {corr_sql()} AS rho FROM k GROUP BY param) SELECT param, {r('r')} AS r, {r('rho')} AS rho, abs(rho) > abs(r) AS bent FROM a JOIN b USING (param)")

@@ -120,3 +120,14 @@ def test_csv_round_trip(wafers, tmp_path):
     tables.write_csv(wafers, str(tmp_path / "w.csv"))
     back = tables.read_wafers(wafers.sparkSession, str(tmp_path / "w.csv"), wafers.schema)
     assert back.count() == 1500 and rows(audit.missing_values(back, ["NOISE_0"]), "column")["NOISE_0"].n_missing == 150
+
+
+def test_constant_target_and_clashing_names(spark):
+    flat = spark.createDataFrame([(float(i), 0.1) for i in range(50)], "x double, y double")
+    assert association.eta_squared(flat, ["x"], "y").first().eta2 is None
+    assert association.threshold_split(flat, ["x"], "y").count() == 0
+    odd = spark.createDataFrame([(float(i), 2.0 * i, "a" if i % 2 else "b", i % 3, i) for i in range(60)], "kept0 double, value double, param string, _n int, copies int")
+    assert math.isclose(association.pearson_summary(odd, ["kept0"], "value").first().r, 1.0)
+    assert {x.category for x in association.spearman_summary(odd, ["kept0", "_n"], "value", by="param").collect()} == {"a", "b"}
+    assert bins.binned(odd, ["kept0"], "value", 4, by="param").count() == 8
+    assert audit.duplicate_rows(odd.union(odd)).first().n_duplicates == 60
