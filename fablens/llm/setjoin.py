@@ -55,9 +55,9 @@ LEAST, PIECES = 1, 4
 #: A bucket of so many sets or fewer gives all its pairs.
 SMALL = 8
 #: Sets of one meeting in a task; second leaders that a group gets.
-BLOCK, RELEADS = 2048, 2
+BLOCK, RELEADS = 8192, 2
 #: Sets up to which a group meets whole, in blocks; in larger ones only sets that share a prefix element meet.
-WHOLE = 16 * BLOCK
+WHOLE = 4 * BLOCK
 #: Ids (8 bytes each) up to which they are broadcast.
 BROADCAST_IDS = 1 << 17
 #: Signatures that a task holds before it sends them on.
