@@ -453,7 +453,10 @@ def settled(labels: DataFrame, led: DataFrame, sets: DataFrame, drawn: DataFrame
         return labels
     of = lambda some: led.join(joinable(groups.filter(some), "r"), "r", "left_semi")
     whole = of(F.col("sets") <= WHOLE).select("r", F.lit(0).cast("long").alias("e"), "id", "n", "far")
-    rows, most = checkpointed(whole.union(entries(differences(of(F.col("sets") > WHOLE), sets), percent))), 1
+    if not groups.filter(F.col("sets") > WHOLE).isEmpty():  # else the sets needn't be shuffled
+        whole = whole.union(entries(differences(of(F.col("sets") > WHOLE), sets), percent))
+    rows, most = checkpointed(whole), 1
+    del whole
     release(spark)
     while True:
         pairs = checkpointed(hopeful_partners(rows, drawn, labels, most, percent))
