@@ -131,13 +131,13 @@ def _digest(elements: np.ndarray) -> bytes:
 
 
 def signed_sets(docs: DataFrame, k: int = K, percent: int = PERCENT, parts: int = 1) -> DataFrame:
-    """Of one pass over the texts: a row for each document (doc_id, n_shingles, digest, null for an empty set), and rows of
-    signatures (block), in the part that is a signature's remainder by ``parts``. Documents go to the parts in turn."""
+    """Of one pass over the texts: a row for each document (doc_id, n_shingles, digest and bits, its sketch, both null for an
+    empty set), and rows of signatures (block), in the part that is a signature's remainder by ``parts``. Documents go to the parts in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         sigs, ids, held, turn = [], [], 0, TaskContext.get().partitionId() * 7919
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("part", pa.int32()), ("block", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bits", pa.binary()), ("part", pa.int32()), ("block", pa.binary())])
 
         def packed() -> pa.RecordBatch:
             s, d = np.concatenate(sigs), np.concatenate(ids)
@@ -147,15 +147,16 @@ def signed_sets(docs: DataFrame, k: int = K, percent: int = PERCENT, parts: int
             ends = np.searchsorted(part, np.arange(parts + 1))
             some = np.flatnonzero(np.diff(ends))
             blobs = [s[ends[p] : ends[p + 1]].tobytes() + d[ends[p] : ends[p + 1]].tobytes() for p in some]
-            none = [pa.nulls(len(some), f.type) for f in list(schema)[:3]]
+            none = [pa.nulls(len(some), f.type) for f in list(schema)[:4]]
             return pa.RecordBatch.from_arrays([*none, pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
         for batch in batches:
-            sizes, digests = [], []
+            sizes, digests, bits = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = shingle_set(text.as_py(), k)
                 sizes.append(len(s))
                 digests.append(_digest(s) if len(s) else None)
+                bits.append(sketch(s).tobytes() if len(s) else None)
                 if doc is None or not len(s) or digests[-1] in seen:
                     continue
                 seen.add(digests[-1])
@@ -169,17 +170,17 @@ def signed_sets(docs: DataFrame, k: int = K, percent: int = PERCENT, parts: int
                     sigs, ids, held = [], [], 0
             part = (turn + np.arange(batch.num_rows)) % parts
             turn += batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(part, pa.int32()), pa.nulls(batch.num_rows, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.binary()), pa.array(part, pa.int32()), pa.nulls(batch.num_rows, pa.binary())], schema=schema)
         if sigs:
             yield packed()
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, part int, block binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bits binary, part int, block binary")
 
 
 def candidates(signed: DataFrame) -> DataFrame:
     """The documents of ``signed`` as they are, and rows of a, b, large: pairs of ids that share a signature; in a large bucket,
     its leader a with each other set b. The signatures end here."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("large", pa.bool_())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bits", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("large", pa.bool_())])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, blocks = None, []
@@ -215,15 +216,15 @@ def candidates(signed: DataFrame) -> DataFrame:
                     both = np.unique(np.stack([a, b], 1), axis=0)
                     for i in range(0, len(both), 100_000):
                         x = both[i : i + 100_000]
-                        none = [pa.nulls(len(x), f.type) for f in list(schema)[:3]]
+                        none = [pa.nulls(len(x), f.type) for f in list(schema)[:4]]
                         yield pa.RecordBatch.from_arrays([*none, pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(np.full(len(x), large))], schema=schema)
 
         for batch in batches:
-            own = batch.filter(batch.column(4).is_null())
+            own = batch.filter(batch.column("block").is_null())
             if own.num_rows:
-                yield pa.RecordBatch.from_arrays([*(own.column(i) for i in range(3)), *(pa.nulls(own.num_rows, f.type) for f in list(schema)[3:])], schema=schema)
-            sent = batch.filter(batch.column(4).is_valid())
-            for p, block in zip(sent.column(3).to_pylist(), sent.column(4).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([*(own.column(i) for i in range(4)), *(pa.nulls(own.num_rows, f.type) for f in list(schema)[4:])], schema=schema)
+            sent = batch.filter(batch.column("block").is_valid())
+            for p, block in zip(sent.column("part").to_pylist(), sent.column("block").to_pylist(), strict=True):
                 if p != part and blocks:
                     yield from pairs()
                     blocks = []
@@ -233,7 +234,7 @@ def candidates(signed: DataFrame) -> DataFrame:
             yield from pairs()
 
     dealt = signed.repartition("part").sortWithinPartitions("part")
-    return dealt.mapInArrow(meet, "doc_id long, n_shingles long, digest binary, a long, b long, large boolean")
+    return dealt.mapInArrow(meet, "doc_id long, n_shingles long, digest binary, bits binary, a long, b long, large boolean")
 
 
 def common_leaders(pairs: DataFrame) -> DataFrame:
@@ -270,25 +271,13 @@ def similar(differences, sizes, percent: int = PERCENT):
     return up * differences <= down * sizes
 
 
-def sketch(d: np.ndarray, n: int, width: int = 0) -> np.ndarray:
-    """Parities of the elements in ``width`` bytes, which follow from the leader's size n if not given."""
-    width = width or 32 + n // 4
-    odd = np.bincount((mix(d.view(np.uint64)) % np.uint64(8 * width)).astype(np.int64), minlength=8 * width) & 1
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """Parities of the elements, a power of two of bytes wide, so that a wider sketch folds to a narrower one."""
+    width = 1 << max(5, (len(elements) // 4).bit_length())
+    odd = np.bincount((mix(elements) % np.uint64(8 * width)).astype(np.int64), minlength=8 * width) & 1
     return np.packbits(odd.astype(bool))
 
 
-def sketches(sets: DataFrame) -> DataFrame:
-    """id, n (size), bits: parity sketches, a power of two of bytes wide, so that a wider one folds to a narrower one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [x.values.to_numpy() for x in batch.column(1)]
-            bits = [sketch(v, 0, 1 << max(5, (len(v) // 4).bit_length())).tobytes() for v in values]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(v) for v in values], pa.int64()), pa.array(bits, pa.binary())], names=["id", "n", "bits"])
-
-    return sets.mapInArrow(run, "id long, n long, bits binary")
-
-
 def judged(pairs: DataFrame, drawn: DataFrame, percent: int = PERCENT) -> DataFrame:
     """a, b, large, nr and n (their sizes), maybe: whether sketches leave it open that the two are similar. Their differing bits
     are never more than the elements that differ, so only open pairs are met by their sets."""
@@ -321,12 +310,29 @@ def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(joinable(several, "r"), "r", "left_semi")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The similar ones of ``pairs`` (a, b; written already), by their sets. Only the sets of few pairs are shuffled."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """The similar ones of ``pairs`` (a, b; written already), by the sets of their texts in ``rows`` (doc_id, text). Texts are
+    shuffled, being a fraction of their sets; of few pairs only theirs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, x = None, None
+        for batch in batches:
+            held = []
+            for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
+                text = left.as_py()
+                if x is None or text != of:  # rows come by their a
+                    of, x = text, shingle_set(text, k)
+                y = shingle_set(right.as_py(), k)
+                n = len(x) + len(y)
+                held.append(bool(similar(n - 2 * len(np.intersect1d(x, y, assume_unique=True)), n, percent)))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(held, pa.bool_()))
+
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     if ids.count() <= BROADCAST_IDS:
-        sets = sets.join(F.broadcast(ids.distinct()), "id", "left_semi")
-    return with_sets(pairs, sets).filter(similar(F.size("x") + F.size("y") - 2 * F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y"), percent)).select("a", "b")
+        rows = rows.join(F.broadcast(ids), "doc_id", "left_semi")
+    both = pairs.join(rows.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
+    both = both.join(rows.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
+    return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long").distinct()
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -430,7 +436,7 @@ def differences(led: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select(F.col("a").alias("r"), F.col("b").alias("id"), "n", "nr", "far", F.array_except("y", "x").alias("extra"), F.array_except("x", "y").alias("missing"))
 
 
-def settled(labels: DataFrame, led: DataFrame, sets: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+def settled(labels: DataFrame, led: DataFrame, texts: DataFrame, drawn: DataFrame, k: int, percent: int) -> DataFrame:
     """``labels`` with all links inside large buckets. led: r, id, n, nr, far, each leader compared with its sets.
 
     Only sets of different labels are met, so a group is done once its sets have one. First a far set of each group becomes
@@ -446,15 +452,19 @@ def settled(labels: DataFrame, led: DataFrame, sets: DataFrame, drawn: DataFrame
             return labels
         open_ = checkpointed(judged(pairs.withColumn("large", F.lit(True)), drawn, percent).filter("maybe").select("a", "b"))
         release(spark)
-        labels = relabelled(labels, checkpointed(verified(open_, sets, percent)))
+        labels = relabelled(labels, checkpointed(verified(open_, texts, k, percent)))
         release(spark)
     groups = checkpointed(unsettled(members, labels).groupBy("r").agg(F.count("*").alias("sets")))
     if groups.isEmpty():
         return labels
     of = lambda some: led.join(joinable(groups.filter(some), "r"), "r", "left_semi")
     whole = of(F.col("sets") <= WHOLE).select("r", F.lit(0).cast("long").alias("e"), "id", "n", "far")
-    if not groups.filter(F.col("sets") > WHOLE).isEmpty():  # else the sets needn't be shuffled
-        whole = whole.union(entries(differences(of(F.col("sets") > WHOLE), sets), percent))
+    if not groups.filter(F.col("sets") > WHOLE).isEmpty():  # else no sets are needed
+        wide = checkpointed(of(F.col("sets") > WHOLE))
+        sets = checkpointed(sets_of(texts, wide.select("id").union(wide.select("r")).distinct(), k))
+        release(spark)
+        whole = whole.union(entries(differences(wide, sets), percent))
+        del sets
     rows, most = checkpointed(whole), 1
     del whole
     release(spark)
@@ -464,7 +474,7 @@ def settled(labels: DataFrame, led: DataFrame, sets: DataFrame, drawn: DataFrame
         more = pairs.agg(F.max("more")).first()[0]
         if more is None:
             return labels
-        labels = relabelled(labels, checkpointed(verified(pairs.select("a", "b"), sets, percent)))
+        labels = relabelled(labels, checkpointed(verified(pairs.select("a", "b"), texts, k, percent)))
         if not more:
             return labels
         most *= 8
@@ -486,19 +496,16 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     exact = nodes.select("digest", F.col("doc_id").alias("a")).join(first, "digest").select("a", "b")
 
     release(spark)
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = checkpointed(sets_of(rows, ids, k))
-    release(spark)
-    drawn = checkpointed(sketches(sets))
+    drawn = found.filter("a IS NULL AND bits IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bits")
     met = checkpointed(judged(pairs, drawn, percent))
     release(spark)
-    links = checkpointed(verified(met.filter("maybe").select("a", "b"), sets, percent))
+    links = checkpointed(verified(met.filter("maybe").select("a", "b"), rows, k, percent))
     release(spark)
     labels = components(exact.union(links))
     led = met.filter("large").join(links.withColumns({"a": F.col("a") + 0, "near": F.lit(True)}), ["a", "b"], "left")
     led = checkpointed(led.select(F.col("a").alias("r"), F.col("b").alias("id"), "n", "nr", F.col("near").isNull().alias("far")))
-    found = settled(labels, led, sets, drawn, percent)
-    return sized.join(joinable(found.withColumnRenamed("node", "doc_id"), "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    labels = settled(labels, led, rows, drawn, k, percent)
+    return sized.join(joinable(labels.withColumnRenamed("node", "doc_id"), "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
