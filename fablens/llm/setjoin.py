@@ -46,7 +46,6 @@ from .common import checkpointed, fresh_name, release, ship, table
 from .components import components, joinable
 from .shingles import mix, shingle_set
 
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 #: op9's shingles and similarity: three words, a Jaccard similarity of at least 0.9.
 K = 3
 PERCENT = 90
@@ -287,8 +286,8 @@ def judged(pairs: DataFrame, drawn: DataFrame, percent: int = PERCENT) -> DataFr
             held = []
             for nr, n, p, q in zip(*(batch.column(c).to_pylist() for c in ("nr", "n", "p", "q")), strict=True):
                 width = min(len(p), len(q))
-                x, y = (np.bitwise_xor.reduce(np.frombuffer(z, np.uint8).reshape(-1, width), axis=0) for z in (p, q))
-                held.append(bool(similar(int(_ONES[x ^ y].sum(dtype=np.int64)), n + nr, percent)))
+                x, y = (np.bitwise_xor.reduce(np.frombuffer(z, np.uint64).reshape(-1, width // 8), axis=0) for z in (p, q))
+                held.append(bool(similar(int(np.bitwise_count(x ^ y).sum(dtype=np.int64)), n + nr, percent)))
             columns = ["a", "b", "large", "nr", "n"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(held, pa.bool_())], names=[*columns, "maybe"])
 
@@ -382,21 +381,27 @@ def hopeful_partners(rows: DataFrame, drawn: DataFrame, labels: DataFrame, most:
     """
 
     def meet(held: list[tuple]) -> pa.RecordBatch | None:
+        held.sort(key=lambda x: x[1])  # by size: those that may be similar to a set by their sizes stand together
         ids, n, label = (np.array([x[c] for x in held], np.int64) for c in (0, 1, 3))
         far, home = (np.array([x[c] for x in held], bool) for c in (2, 4))
-        raw = [np.frombuffer(x[5], np.uint8) for x in held]
+        raw = [np.frombuffer(x[5], np.uint64) for x in held]
         width = np.array([len(x) for x in raw])
         fold = lambda x, w: np.bitwise_xor.reduce(x.reshape(-1, w), axis=0)
         wide = {w: np.flatnonzero(width >= w) for w in np.unique(width)}
         folded = {w: np.stack([fold(raw[j], w) for j in every]) for w, every in wide.items()}
+        up, down = bounds(percent)
+        # two sizes differ by no more than the sets do
+        low, high = np.searchsorted(n, -(-n * (up - down) // (up + down))), np.searchsorted(n, n * (up + down) // (up - down), "right")
         found: list[tuple] = []
         for i in np.flatnonzero(far):
             other, least = [], []
             for w, every in wide.items():  # two sets are compared at the narrower one's width
                 if w <= width[i]:
-                    some = np.flatnonzero((home & (label != label[i]))[every] & ((width[every] == w) | (w == width[i])))
-                    other.append(every[some])
-                    least.append(_ONES[fold(raw[i], w) ^ folded[w][some]].sum(1, dtype=np.int64))
+                    lo, hi = np.searchsorted(every, (low[i], high[i]))
+                    near = every[lo:hi]
+                    some = np.flatnonzero(home[near] & (label[near] != label[i]) & ((width[near] == w) | (w == width[i])))
+                    other.append(near[some])
+                    least.append(np.bitwise_count(fold(raw[i], w) ^ folded[w][lo:hi][some]).sum(1, dtype=np.int64))
             others, least = np.concatenate(other), np.concatenate(least)
             fine = similar(least, n[i] + n[others], percent)
             others, least = others[fine], least[fine]
