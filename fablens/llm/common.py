@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +14,8 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+#: Most rows of an Arrow batch in a step that is written at once: Spark's own 10,000 may hold gigabytes of long texts.
+BATCH_ROWS = 500
 #: A word: ASCII digits and letters (after lower-casing) and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -54,10 +58,26 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of ``BATCH_ROWS`` rows at most for what runs inside; the session's own setting is put back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if 0 < int(before) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(key, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder, its lineage cut."""
     checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    with small_batches(df.sparkSession):
+        return df.checkpoint()
 
 
 def delete_folder(spark: SparkSession, folder: str) -> None:
