@@ -13,6 +13,7 @@ import regex
 from pyspark.sql import functions as F
 
 from fablens.llm import bpe, chat, dac, decontaminate, embeddings, encode, langid, licenses, pii, registry, setjoin, substrings
+from fablens.llm.shingles import word_hashes
 from fablens.llm.suffixes import common_prefixes, eight, suffix_array
 
 SF = "/root/testdata/sf0.001"
@@ -677,3 +678,20 @@ def test_pipeline_stages_on_odd_rows(spark):
     assert stages["tokens"](spark, frame, SF).count() == len(rows)
     for f in stages.values():
         assert f(spark, frame.filter("false"), SF).count() == 0
+
+
+def test_words_of_any_form_hash_apart(spark):
+    """Thue-Morse words and their complements: sums of powers modulo 2**64 take them for the same."""
+    flip = str.maketrans("ab", "ba")
+    rows = []
+    for i, n in enumerate((64, 1024, 2048, 4096)):
+        word = "a"
+        while len(word) < n:
+            word += word.translate(flip)
+        rows += [(2 * i, f"{word} {word} x", ""), (2 * i + 1, f"{word.translate(flip)} {word.translate(flip)} x", "")]
+    docs = spark.createDataFrame(rows, TEXT)
+    got = {r.doc_id: r.component_id for r in setjoin.similar_sets(docs).collect()}
+    assert got == {i: i for i in range(8)}
+    assert setjoin.first_of_groups(docs, k=5, percent=80).count() == 8
+    h = word_hashes(" ".join(f"w{i}" for i in range(50_000)) + " " + " ".join("x" * i for i in range(1, 300)))
+    assert len(np.unique(h)) == 50_299 and word_hashes("Ab")[0] == word_hashes("ab  c")[0] != word_hashes("ab\0")[0]
