@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, dac, decontaminate, embeddings, encode, langid, licenses, pii, setjoin, substrings
+from . import chat, dac, decontaminate, embeddings, encode, langid, licenses, pii, runs, setjoin, substrings
 
 QUERIES = {
     "op1_chat_format": chat.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_bpe_encode": encode.op8,
     "op9_jaccard_join": setjoin.op9,
     "op10_token_binary": dac.op10,
+    "op11_periodic_runs": runs.op11,
 }
 ORACLE_SQL = {
     "op1_chat_format": chat.OP1_SQL,
