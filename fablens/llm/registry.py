@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, dac, decontaminate, embeddings, encode, langid, licenses, pii, runs, setjoin, substrings
+from . import chat, dac, decontaminate, divergence, embeddings, encode, langid, licenses, pii, runs, setjoin, substrings
 
 QUERIES = {
     "op1_chat_format": chat.op1,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_jaccard_join": setjoin.op9,
     "op10_token_binary": dac.op10,
     "op11_periodic_runs": runs.op11,
+    "op12_source_divergence": divergence.op12,
 }
 ORACLE_SQL = {
     "op1_chat_format": chat.OP1_SQL,
     "op3_embedding_dedup": embeddings.OP3_SQL,
     "op4_license_scan": licenses.OP4_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
 }
