@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, dac, decontaminate, divergence, embeddings, encode, langid, licenses, pii, runs, setjoin, substrings
+from . import chat, dac, decontaminate, divergence, embeddings, encode, langid, licenses, pii, runs, setjoin, substrings, warc
 
 QUERIES = {
     "op1_chat_format": chat.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_token_binary": dac.op10,
     "op11_periodic_runs": runs.op11,
     "op12_source_divergence": divergence.op12,
+    "op13_warc_zip": warc.op13,
 }
 ORACLE_SQL = {
     "op1_chat_format": chat.OP1_SQL,
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op4_license_scan": licenses.OP4_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
     "op12_source_divergence": divergence.OP12_SQL,
+    "op13_warc_zip": warc.OP13_SQL,
 }

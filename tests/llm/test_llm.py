@@ -58,7 +58,7 @@ def empty(spark):
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "embeddings"):
+    for t in ("documents", "benchmark", "conversations", "embeddings", "pages"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = registry.QUERIES[name](spark, SF).toPandas(), con.execute(registry.ORACLE_SQL[name]).df()
     norm = lambda f: sorted(tuple("" if pd.isna(x) else str(float(x)) if not isinstance(x, str) else x for x in r) for r in f[sorted(f.columns)].itertuples(index=False))
