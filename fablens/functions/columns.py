@@ -19,9 +19,9 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def present(value: Column) -> Column:
-    """The value as a double, NaN taken as missing."""
+    """The value as a double; NaN and infinite values are taken as missing, as no bin or sum can hold them."""
     x = value.cast("double")
-    return F.when(~F.isnan(x), x)
+    return F.when(F.abs(x) < float("inf"), x)
 
 
 def bucket(value: Column, lo: Column, hi: Column, k: int) -> Column:

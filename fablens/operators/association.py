@@ -14,12 +14,21 @@ from ..plans.longform import long_form
 from .bins import _binned
 
 
-def pairs(df: DataFrame, params: list[str] | None, target: str, by: str | None = None) -> tuple[DataFrame, list[str]]:
-    """(category,) param, x, y of complete pairs, and the key columns."""
+def pairs(df: DataFrame, params: list[str] | None, target: str, by: str | None = None, held: str | None = None) -> tuple[DataFrame, list[str]]:
+    """(category,) param, x, y of complete pairs, and the key columns; and test, if ``held`` names a boolean column."""
     keep, names = ([by, target], ["category", "y"]) if by else ([target], ["y"])
-    rows = long_form(df, params, keep, names).withColumn("y", present(F.col("y"))).withColumnRenamed("value", "x")
     keys = names[:-1] + ["param"]
-    return rows.select(*keys, "x", "y").dropna(subset=["x", "y"]), keys
+    if held:
+        keep, names = [*keep, held], [*names, "test"]
+    rows = long_form(df, params, keep, names).withColumn("y", present(F.col("y"))).withColumnRenamed("value", "x")
+    rows = rows.select(*keys, "x", "y", *(["test"] if held else [F.lit(False).alias("test")]))
+    return rows.dropna(subset=["x", "y"]), keys
+
+
+def centred(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with mean_y of their key, and y less that mean: sums of squares of a target far from zero lose its digits."""
+    means = rows.groupBy(*keys).agg(F.avg("y").alias("mean_y"))
+    return rows.join(means, keys).withColumn("y", F.col("y") - F.col("mean_y"))
 
 
 def pearson_summary(df: DataFrame, params: list[str] | None, target: str, by: str | None = None) -> DataFrame:
@@ -60,7 +69,7 @@ def eta_squared(df: DataFrame, params: list[str] | None, target: str, k: int = 1
     """(category,) param, n, eta2: share of the target's variance between equal-width bins, whatever their order, so a process
     window shows where a correlation is near zero."""
     rows, keys = pairs(df, params, target, by)
-    cells = _binned(rows, keys, {"x": k}).groupBy(*keys, "_bin_x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss"), F.min("y").alias("lo"), F.max("y").alias("hi"))
+    cells = _binned(centred(rows, keys), keys, {"x": k}).groupBy(*keys, "_bin_x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss"), F.min("y").alias("lo"), F.max("y").alias("hi"))
     out = cells.groupBy(*keys).agg(F.sum("n").cast("long").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between"))
     mean = F.col("s") * F.col("s") / F.col("n")
     return out.select(*keys, "n", F.when(F.col("lo") < F.col("hi"), (F.col("between") - mean) / F.nullif(F.col("ss") - mean, F.lit(0.0))).alias("eta2"))
@@ -70,15 +79,15 @@ def threshold_split(df: DataFrame, params: list[str] | None, target: str, by: st
     """(category,) param, cut, gain, mean_low, mean_high: the split x <= cut that lowers the squared error most, its share of
     the total. Learned from the data over distinct values; of equal gains, the least cut."""
     rows, keys = pairs(df, params, target, by)
-    cells = rows.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss"), F.min("y").alias("lo"), F.max("y").alias("hi"))
+    cells = centred(rows, keys).groupBy(*keys, "x").agg(F.first("mean_y").alias("m"), F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss"), F.min("y").alias("lo"), F.max("y").alias("hi"))
     upto, whole = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
-    cells = cells.select(*keys, "x", F.sum("n").over(upto).alias("nl"), F.sum("s").over(upto).alias("sl"), F.sum("n").over(whole).alias("n"), F.sum("s").over(whole).alias("s"), F.sum("ss").over(whole).alias("ss"), (F.min("lo").over(whole) < F.max("hi").over(whole)).alias("varies"))
+    cells = cells.select(*keys, "x", "m", F.sum("n").over(upto).alias("nl"), F.sum("s").over(upto).alias("sl"), F.sum("n").over(whole).alias("n"), F.sum("s").over(whole).alias("s"), F.sum("ss").over(whole).alias("ss"), (F.min("lo").over(whole) < F.max("hi").over(whole)).alias("varies"))
     nr, sr = F.col("n") - F.col("nl"), F.col("s") - F.col("sl")
     split = cells.filter(F.col("varies") & (F.col("nl") >= min_side) & (nr >= min_side))  # a constant target has no split
     mean = F.col("s") * F.col("s") / F.col("n")
     total = F.nullif(F.col("ss") - mean, F.lit(0.0))
     gain = (F.col("sl") * F.col("sl") / F.col("nl") + sr * sr / nr - mean) / total
-    best = split.select(*keys, F.struct(F.round(gain, 9).alias("gain"), (-F.col("x")).alias("minus"), (F.col("sl") / F.col("nl")).alias("low"), (sr / nr).alias("high")).alias("b")).groupBy(*keys).agg(F.max("b").alias("b"))
+    best = split.select(*keys, F.struct(F.round(gain, 9).alias("gain"), (-F.col("x")).alias("minus"), (F.col("m") + F.col("sl") / F.col("nl")).alias("low"), (F.col("m") + sr / nr).alias("high")).alias("b")).groupBy(*keys).agg(F.max("b").alias("b"))
     return best.select(*keys, (-F.col("b.minus")).alias("cut"), F.col("b.gain").alias("gain"), F.col("b.low").alias("mean_low"), F.col("b.high").alias("mean_high"))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import association, audit, bins, derive, interaction, model, ranking, screening
+from ..operators import association, audit, bins, derive, interaction, model, ranking, screening, windows
 from ..sources.tables import read_units
 
 Y, CAT = "l_extendedprice", "p_type"
@@ -49,7 +49,7 @@ def r(x: str, digits: int = 6) -> str:
 
 
 def long_sql(params: list[str] = PARAMS, by: str | None = None, source: str = "u", y: str = Y) -> str:
-    key = f"{by} AS category, " if by else ""
+    key = f"{by} AS category, " if by else ""  # by may begin with other columns
     return " UNION ALL ".join(f"SELECT {key}'{p}' AS param, CAST({p} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM {source}" for p in params)
 
 
@@ -304,6 +304,28 @@ def _(spark, d):
     return rounded(out, 6, mean_low=3, mean_high=3)
 
 
+WINDOW_PARAMS = ["l_quantity", "l_discount", "l_tax", "p_size"]
+
+
+@query(
+    "process_windows",
+    f"""WITH {U}, l AS ({long_sql(WINDOW_PARAMS, "l_orderkey % 5 = 0 AS test, " + CAT)}), t AS (SELECT category, param, avg(y) AS m, min(x) AS xl, max(x) AS xh, var_pop(y) * count(*) AS total, count(*) AS rows FROM l WHERE NOT test GROUP BY 1, 2),
+c AS (SELECT l.category, l.param, x, any_value(total) AS total, any_value(rows) AS rows, count(*) AS n, sum(y - m) AS s FROM l JOIN t USING (category, param) WHERE NOT test GROUP BY 1, 2, 3),
+p AS (SELECT *, sum(n) OVER w AS nn, sum(s) OVER w AS ss FROM c WINDOW w AS (PARTITION BY category, param ORDER BY x)),
+i AS (SELECT a.category, a.param, a.x AS lo, b.x AS hi, b.nn - a.nn + a.n AS inside, a.rows, a.total, b.ss - a.ss + a.s AS s FROM p a JOIN p b ON a.category = b.category AND a.param = b.param AND a.x <= b.x),
+g AS (SELECT category, param, lo, hi, round(s * s * rows / inside / (rows - inside) / total, 9) AS gain FROM i WHERE least(inside, rows - inside) >= ceil({windows.MIN_SHARE} * rows) AND total > 0
+      QUALIFY row_number() OVER (PARTITION BY category, param ORDER BY gain DESC, lo, hi) = 1),
+e AS (SELECT l.category, l.param, lo, hi, gain, xl, xh, test, x BETWEEN lo AND hi AS inside, y, m FROM l JOIN g USING (category, param) JOIN t USING (category, param)),
+a AS (SELECT category, param, any_value(lo) AS lo, any_value(hi) AS hi, any_value(gain) AS gain, any_value(xl) AS xl, any_value(xh) AS xh, any_value(m) AS m,
+ {", ".join(f"{f} FILTER ({c}) AS {k}_{n}" for n, c in (("in", "inside AND NOT test"), ("out", "NOT inside AND NOT test"), ("tin", "inside AND test"), ("tout", "NOT inside AND test")) for k, f in (("n", "count(*)"), ("m", "avg(y)"), ("v", "var_pop(y)")))} FROM e GROUP BY 1, 2),
+z AS (SELECT *, 1 - (n_tin * (v_tin + (m_tin - m_in) ** 2) + n_tout * (v_tout + (m_tout - m_out) ** 2)) / (n_tin * (v_tin + (m_tin - m) ** 2) + n_tout * (v_tout + (m_tout - m) ** 2)) AS held_gain, sign(m_in - m_out) * (m_tin - m_tout) / sqrt(v_tin / (n_tin - 1) + v_tout / (n_tout - 1)) AS z FROM a)
+SELECT category, param, n_in + n_out AS n, lo, hi, n_in, {r("m_in", 3)} AS mean_in, {r("m_out", 3)} AS mean_out, {r("gain")} AS gain, CASE WHEN lo <= xl THEN 'low' WHEN hi >= xh THEN 'high' ELSE 'window' END AS side, n_tin + n_tout AS held_n, {r("held_gain")} AS held_gain, {r("z", 4)} AS z, z >= {windows.Z} AS found FROM z""",
+)
+def _(spark, d):
+    u = read_units(spark, d).withColumn("held", F.col("l_orderkey") % 5 == 0)
+    return rounded(windows.process_windows(u, WINDOW_PARAMS, Y, CAT, "held"), 6, mean_in=3, mean_out=3, z=4)
+
+
 @query("interaction_excess", f"WITH {U}, e AS (SELECT min(l_tax) AS xl, max(l_tax) AS xh, min(l_discount) AS yl, max(l_discount) AS yh FROM u), c AS (SELECT {bin_sql('l_tax', 'xl', 'xh', 5)} AS xbin, {bin_sql('l_discount', 'yl', 'yh', 5)} AS ybin, count(*) AS n, sum({Y}) AS s FROM u, e GROUP BY 1, 2) SELECT xbin, ybin, n, {r('s / n', 3)} AS mean_y, {r('s / n - sum(s) OVER (PARTITION BY xbin) / sum(n) OVER (PARTITION BY xbin) - sum(s) OVER (PARTITION BY ybin) / sum(n) OVER (PARTITION BY ybin) + sum(s) OVER () / sum(n) OVER ()', 3)} AS excess, n < 5 AS low_support FROM c")
 def _(spark, d):
     return rounded(interaction.interaction_excess(read_units(spark, d), "l_tax", "l_discount", Y), 3)
