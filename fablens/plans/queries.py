@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import association, audit, bins, derive, interaction, model, ranking, screening, windows
+from ..operators import association, audit, bins, derive, interaction, model, ranking, screening, shapley, subgroups, windows
 from ..sources.tables import read_units
 
 Y, CAT = "l_extendedprice", "p_type"
@@ -336,6 +336,60 @@ def _(spark, d):
     return interaction.interaction_strength(read_units(spark, d), [("l_tax", "l_discount"), ("l_quantity", "p_size")], Y)
 
 
+def _cells(params: list[str], k: int) -> str:
+    """Rows' bins b (id, d: the centred target, p: the parameter's number, v: its bin), ranges r of bins, cells of pairs c2."""
+    long = " UNION ALL ".join(f"SELECT id, d, {i} AS p, CAST({c} AS DOUBLE) AS x FROM i" for i, c in enumerate(params))
+    return f"""WITH {U}, i AS (SELECT row_number() OVER () AS id, *, {Y} - avg({Y}) OVER () AS d FROM u), l AS ({long}), e AS (SELECT p, min(x) AS lo, max(x) AS hi FROM l GROUP BY p),
+b AS (SELECT id, d, p, {bin_sql('x', 'lo', 'hi', k)} AS v FROM l JOIN e USING (p)), r AS (SELECT a, z FROM range({k}) t(a), range({k}) s(z) WHERE z >= a AND z - a < {k - 1}),
+c2 AS (SELECT x.p AS p, x.v AS v, y.p AS q, y.v AS w, count(*) AS n, sum(x.d) AS s, sum(x.d * x.d) AS ss FROM b x JOIN b y ON x.id = y.id AND x.p < y.p GROUP BY 1, 2, 3, 4)"""
+
+
+def _name(p: str, params: list[str]) -> str:
+    return "CASE " + p + " " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(params)) + " END"
+
+
+_END = "(SELECT lo + (hi - lo) / {k} * ({at}) FROM e WHERE e.p = f.{p})"
+
+
+@query(
+    "subgroups",
+    f"""{_cells(WINDOW_PARAMS, 4)}, c1 AS (SELECT p, v, count(*) AS n, sum(d) AS s FROM b GROUP BY 1, 2),
+s1 AS (SELECT p, a, z, sum(n) AS n, sum(s) AS s FROM c1 JOIN r ON v BETWEEN a AND z GROUP BY 1, 2, 3),
+s2 AS (SELECT p, r.a, r.z, q, t.a AS a2, t.z AS z2, sum(n) AS n, sum(s) AS s FROM c2 JOIN r ON v BETWEEN r.a AND r.z JOIN r t ON w BETWEEN t.a AND t.z GROUP BY 1, 2, 3, 4, 5, 6),
+o AS (SELECT p, a, z, NULL AS q, NULL AS a2, NULL AS z2, n, s FROM s1 UNION ALL SELECT * FROM s2),
+k AS (SELECT *, round(abs(s) / sqrt(n), 9) AS quality FROM o WHERE n >= 20 QUALIFY row_number() OVER (PARTITION BY p, q ORDER BY quality DESC, n, a, z, a2, z2) = 1),
+f AS (SELECT k.*, s / n - (SELECT s / n FROM s1 WHERE s1.p = k.p AND s1.a = k.a AND s1.z = k.z) - coalesce((SELECT s / n FROM s1 WHERE s1.p = k.q AND s1.a = k.a2 AND s1.z = k.z2), 0) AS excess, row_number() OVER (ORDER BY quality DESC, q NULLS FIRST, p) AS rank FROM k)
+SELECT rank, {_name('p', WINDOW_PARAMS)} AS x, {r(_END.format(k=4, at='a', p='p'))} AS x_lo, {r(_END.format(k=4, at='z + 1', p='p'))} AS x_hi, {_name('q', WINDOW_PARAMS)} AS y, {r(_END.format(k=4, at='a2', p='q'))} AS y_lo, {r(_END.format(k=4, at='z2 + 1', p='q'))} AS y_hi,
+ CAST(n AS BIGINT) AS n, {r(f's / n + (SELECT avg({Y}) FROM u)', 3)} AS mean, {r('quality', 3)} AS quality, {r('excess', 3)} AS excess FROM f WHERE rank <= 8""",
+)
+def _(spark, d):
+    found = subgroups.subgroups(read_units(spark, d), WINDOW_PARAMS, Y, k=4, depth=2, top=8)
+    ends = [F.get("ranges", F.lit(i))[f].alias(f"{x}{s}") for i, x in enumerate("xy") for f, s in (("param", ""), ("lo", "_lo"), ("hi", "_hi"))]
+    return rounded(found.select("rank", *ends, "n", "mean", "quality", "excess"), 6, mean=3, quality=3, excess=3)
+
+
+@query(
+    "pair_cuts",
+    f"""{_cells(PARAMS, 6)}, g AS (SELECT p, q, i, j, sum(n) AS nt, sum(s) AS st, sum(ss) AS ss, {", ".join(f"sum({c}) FILTER ({f}) AS {c}{m}" for m, f in enumerate(("v <= i AND w <= j", "v <= i AND w > j", "v > i AND w <= j", "v > i AND w > j")) for c in ("n", "s"))} FROM c2, range(5) t(i), range(5) s(j) GROUP BY 1, 2, 3, 4),
+k AS (SELECT *, round((s0 * s0 / n0 + s1 * s1 / n1 + s2 * s2 / n2 + s3 * s3 / n3 - st * st / nt) / (ss - st * st / nt), 9) AS gain FROM g WHERE least(n0, n1, n2, n3) >= 5 QUALIFY row_number() OVER (PARTITION BY p, q ORDER BY gain DESC, i, j) = 1),
+f AS (SELECT *, {_name('p', PARAMS)} AS x, {_name('q', PARAMS)} AS y FROM k)
+SELECT x, y, {r(_END.format(k=6, at='i + 1', p='p'))} AS cut_x, {r(_END.format(k=6, at='j + 1', p='q'))} AS cut_y, CAST(nt AS BIGINT) AS n, {r('gain')} AS gain, {r('s0 / n0 - s1 / n1 - s2 / n2 + s3 / n3', 3)} AS contrast, row_number() OVER (ORDER BY gain DESC, x, y) AS rank FROM f""",
+)
+def _(spark, d):
+    return rounded(interaction.pair_cuts(read_units(spark, d), PARAMS, Y, k=6), 6, contrast=3)
+
+
+@query("interaction_pairs")
+def _(spark, d):
+    return interaction.interaction_pairs(read_units(spark, d), PARAMS, Y)
+
+
+@query("tree_attributions")
+def _(spark, d):
+    u = read_units(spark, d)
+    return shapley.attribution_summary(model.fit_trees(u, PARAMS, Y), u, PARAMS)
+
+
 @query("three_way", f"WITH {U}, e AS (SELECT min(l_tax) AS al, max(l_tax) AS ah, min(l_discount) AS bl, max(l_discount) AS bh, min(l_quantity) AS cl, max(l_quantity) AS ch FROM u) SELECT {bin_sql('l_tax', 'al', 'ah', 3)} AS xbin, {bin_sql('l_discount', 'bl', 'bh', 3)} AS ybin, {bin_sql('l_quantity', 'cl', 'ch', 3)} AS zbin, count(*) AS n, {r(f'avg({Y})', 3)} AS mean_y, count(*) < 5 AS low_support FROM u, e GROUP BY 1, 2, 3")
 def _(spark, d):
     return rounded(interaction.three_way(read_units(spark, d), "l_tax", "l_discount", "l_quantity", Y), 3)

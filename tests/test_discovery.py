@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fablens import fixtures
-from fablens.operators import association, bins, derive, interaction, model, subgroups, windows
+from fablens.operators import association, bins, derive, interaction, model, shapley, subgroups, windows
 
 Y = "SortingYield"
 
@@ -214,3 +214,99 @@ def test_planted_combinations_are_found(spark, wafers):
     assert all(r.hi > r.lo for r in rc.ranges) and abs(rc.excess) > 0.3
     assert subgroups.subgroups(d.withColumn(Y, F.lit(1.0)), EIGHT[:3], Y).count() == 0
     assert subgroups.subgroups(d.filter("false"), EIGHT[:3], Y).count() == 0
+
+
+# pairs
+
+
+def plain_cuts(frame, params, target, k, min_n):
+    """{(x, y): (gain, cut_x, cut_y)} by trying every cut of every pair."""
+    t = frame[target].to_numpy(float)
+    t = t - t.mean()
+    binned, out = {p: plain_bins(frame[p].to_numpy(float), k) for p in params}, {}
+    for x, y in combinations(params, 2):
+        ok = (binned[x] >= 0) & (binned[y] >= 0)
+        a, b, d = binned[x][ok], binned[y][ok], t[ok]
+        total = ((d - d.mean()) ** 2).sum()
+        for i in range(k - 1):
+            for j in range(k - 1):
+                parts = [d[(a <= i) == u, ...][((b <= j) == v)[(a <= i) == u]] for u in (True, False) for v in (True, False)]
+                if min(map(len, parts)) >= min_n:
+                    gain = sum(p.sum() ** 2 / len(p) for p in parts) - d.sum() ** 2 / len(d)
+                    ends = [np.nanmin(frame[c]) + (np.nanmax(frame[c]) - np.nanmin(frame[c])) / k * (v + 1) for c, v in ((x, i), (y, j))]
+                    if (x, y) not in out or gain / total > out[x, y][0] + 1e-9:
+                        out[x, y] = (gain / total, *ends)
+    return out
+
+
+def test_pair_cuts_equal_a_plain_search(spark, wafers):
+    params = ["OHMIC_ET_Rc_an_ct2", "OHMIC_ET_Rsh_an_ct2", "NOISE_0", "NOISE_3", "TOPSIN_ET_DC_PIV_Drain_Lag_1"]
+    got = {(r.x, r.y): r for r in interaction.pair_cuts(wafers, params, Y, k=6).collect()}
+    want = plain_cuts(wafers.select(*params, Y).toPandas(), params, Y, 6, 5)
+    assert got.keys() == want.keys() and sorted(r["rank"] for r in got.values()) == list(range(1, 11))
+    for pair, (gain, cut_x, cut_y) in want.items():
+        assert abs(got[pair].gain - gain) < 1e-7 and math.isclose(got[pair].cut_x, cut_x, abs_tol=1e-9) and math.isclose(got[pair].cut_y, cut_y, abs_tol=1e-9)
+    assert interaction.pair_cuts(wafers.withColumn(Y, F.lit(2.0)), params, Y).count() == 0
+    assert interaction.pair_cuts(wafers.filter("false"), params, Y).count() == 0
+
+
+def test_planted_pairs_rank_first_of_a_thousand(spark, wafers):
+    d = deviations(wafers)
+    params = [*EIGHT[:6], *[f"NOISE_{i}" for i in range(40)]]
+    top = interaction.interaction_pairs(d, params, Y).filter("rank <= 2 OR rank = 1035").collect()
+    first = {(r.x, r.y): r for r in top if r["rank"] <= 2}
+    assert len(top) == 3 and set(first) == {("OHMIC_ET_Rc_an_ct2", "OHMIC_ET_Rsh_an_ct2"), ("cd_dev", "sin_dev")}
+    assert all(r.contrast < 0 for r in first.values())
+    few = interaction.interaction_pairs(d, params, Y, among=6).count()
+    assert few == 15
+
+
+# attributions
+
+
+def test_shapley_values_equal_enumeration(spark):
+    r = np.random.default_rng(3)
+    names = ["a", "b.c", "d e", "f", "g", "h"]
+    frame = pd.DataFrame(np.round(r.normal(0, 1, (400, 6)), 2), columns=names)
+    frame["y"] = 2 * frame["a"] + frame["a"] * frame["b.c"] + np.maximum(0, frame["d e"]) + r.normal(0, 0.1, 400)
+    df = spark.createDataFrame(frame)
+    fitted = model.fit_trees(df, names, "y")
+    rows = shapley.tree_shapley(fitted, df, names).toPandas()
+    phi = np.vstack(rows.attributions)
+    assert len(rows) == 400 and np.abs(phi.sum(axis=1) + rows.expected - rows.prediction).max() < 1e-9
+    found = shapley.leaves(fitted[1])
+
+    def value(x, known):
+        return sum(v * np.prod([float(above < x[f] <= upto) if f in known else share for f, above, upto, share in path]) for v, path in found)
+
+    for i in (0, 17):
+        x = rows[names].to_numpy()[i]
+        sets = {s: value(x, s) for n in range(7) for s in combinations(range(6), n)}
+        for f in range(6):
+            want = sum(math.factorial(len(s)) * math.factorial(5 - len(s)) / 720 * (sets[tuple(sorted((*s, f)))] - v) for s, v in sets.items() if f not in s)
+            assert math.isclose(phi[i, f], want, abs_tol=1e-9)
+    summary = {r.feature: r for r in shapley.attribution_summary(fitted, df, names).collect()}
+    assert set(summary) == set(names) and summary["a"].mean_size == max(s.mean_size for s in summary.values()) and summary["h"].mean_size < 0.1
+    assert shapley.tree_shapley(fitted, df.filter("false"), names).count() == 0
+
+
+def test_trees_predict_unseen_rows(spark, wafers):
+    """Held-out lots of the planted table; the negative control has nothing to predict."""
+    features = [*EIGHT[:6], "NOISE_1", "NOISE_2"]
+    for effect, good in ((1.0, True), (0.0, False)):
+        d = model.with_split(deviations(spark.createDataFrame(fixtures.planted(effect=effect))), "LotName").cache()
+        fitted = model.fit_trees(d.filter("NOT is_test"), features, Y)
+        score = model.metrics(model.predict_trees(fitted, d.filter("is_test"), features), Y, "prediction").first()
+        assert (score.r2 > 0.5) == good and (good or score.r2 < 0.1)
+
+
+def test_permutation_importance_is_the_same_in_any_order(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    frame = pd.DataFrame({"k": r.integers(0, 20, 300), "x": np.round(r.normal(0, 1, 300), 1), "z": np.round(r.normal(0, 1, 300), 1)})
+    frame["y"] = 3 * frame.x + r.normal(0, 0.1, 300)
+    df = spark.createDataFrame(pd.concat([frame, frame[:30]]))
+    fitted = model.fit_additive(df, ["x", "z"], "y", k=8)
+    for dealt in (1000, 60):
+        monkeypatch.setattr(model, "DEALT", dealt)
+        one, two = (sorted((v.feature, round(v.rise, 9)) for v in model.permutation_importance(fitted.predict, df.repartition(n), ["x", "z"], "y", "k").collect()) for n in (3, 17))
+        assert one == two and dict(one)["x"] > 5 > 0.5 > dict(one)["z"]
