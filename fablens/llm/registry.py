@@ -24,6 +24,8 @@ ORACLE_SQL = {
     "op3_embedding_dedup": embeddings.OP3_SQL,
     "op4_license_scan": licenses.OP4_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,
+    "op9_jaccard_join": setjoin.OP9_SQL,
+    "op11_periodic_runs": runs.OP11_SQL,
     "op12_source_divergence": divergence.OP12_SQL,
     "op13_warc_zip": warc.OP13_SQL,
 }

@@ -287,3 +287,23 @@ def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
 
 def op11(spark, sf_dir: str) -> DataFrame:
     return run_digests(word_runs(table(spark, sf_dir, "documents"), rewrite=planted))
+
+
+#: crc32 of an ASCII string, a bit at a time.
+_CRC = "xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(1, length(t) + 1), lambda k: ascii(substr(t, k, 1))::BIGINT), lambda c, b: list_reduce([xor(c, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"
+#: Every stretch of every period, those that hold a shorter period left out: for small tables.
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT doc_id, w, len(w) AS n, {_CRC} AS h FROM d),
+a AS (SELECT *, h % 10 = 0 AND n > 0 AS odd, CASE WHEN n > 0 THEN (h // 10) % n ELSE 0 END AS a FROM h),
+p AS (SELECT doc_id, n, CASE WHEN odd THEN list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) ELSE w END AS w FROM a),
+o AS (SELECT doc_id, n, unnest(w) AS x, unnest(range(n)) AS i FROM p WHERE n >= 6),
+m AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.x = b.x AND b.i > a.i AND 4 * (b.i - a.i) <= a.n),
+g AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS m FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m) GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM g f WHERE f.doc_id = g.doc_id AND f.q < g.q AND f.s <= g.s AND f.s + f.m >= g.s + g.m)),
+z AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || m || ',' || q || chr(10), '' ORDER BY s, q) AS runs, list(s + q ORDER BY s, q) AS lo, list(s + m ORDER BY s, q) AS hi FROM r GROUP BY 1),
+b AS (SELECT doc_id, s, m, q FROM r k WHERE NOT EXISTS (SELECT 1 FROM r f WHERE f.doc_id = k.doc_id AND (f.m * k.q > k.m * f.q OR f.m * k.q = k.m * f.q AND (f.s, f.q) < (k.s, k.q))))
+SELECT p.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.m AS length, b.q AS period, 1000 * b.m // b.q AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256,
+ sha256(array_to_string(CASE WHEN n_runs IS NULL THEN w ELSE list_filter(w, lambda x, i: len(list_filter(range(1, n_runs + 1), lambda k: lo[k] <= i - 1 AND i - 1 < hi[k])) = 0) END, ' ')) AS collapsed_sha256
+FROM p LEFT JOIN z ON z.doc_id = p.doc_id LEFT JOIN b ON b.doc_id = p.doc_id
+"""

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh_name, release, ship, table
+from .common import LOWER, UPPER, checkpointed, fresh_name, release, ship, table
 from .components import components, joinable
 from .shingles import mix, shingle_set
 
@@ -535,3 +535,16 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op9(spark, sf_dir: str) -> DataFrame:
     return similar_sets(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, and the links walked: for small tables.
+OP9_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS x FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+c AS (SELECT doc_id AS node, doc_id AS seen FROM documents WHERE doc_id IN (SELECT a FROM e) UNION SELECT c.node, e.b FROM c JOIN e ON e.a = c.seen)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce((SELECT min(seen) FROM c WHERE c.node = d.doc_id), d.doc_id) AS component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+"""
