@@ -115,3 +115,46 @@ def interaction_pairs(df: DataFrame, params: list[str], target: str, k: int = 8,
         name += "_"
     left = fitted.predict(df, f"{name}p").withColumn(name, present(col_ref(target)) - F.col(f"{name}p"))
     return pair_cuts(left, params, name, k, min_n)
+
+
+def three_way_effects(df: DataFrame, triples: list[tuple[str, str, str]], target: str, k: int = 3, min_n: int = 5) -> DataFrame:
+    """x, y, z, xbin, ybin, zbin, n, mean_y, excess, low_support: what a cell's mean has beyond all effects of two parameters.
+
+    The excess is the residual of cell means after the best fit, weighted by the cells' rows, of a sum of three functions of two
+    parameters each (which hold the main effects). It is reached by taking out weighted means along one axis after another
+    until nothing changes, so cells may be as unevenly filled as they are. Cells of fewer than ``min_n`` rows are marked and
+    take no part in the fit; their excess is null. All triples are one plan; a task has the k³ sums of one triple at a time.
+    """
+    import pandas as pd
+
+    names = list(dict.fromkeys(c for t in triples for c in t))
+    edges = fit_edges(df, names, k)
+    rows, mean = vector_form(df, edges, target)
+    listed = F.lit([names.index(c) for t in triples for c in t]) if triples else F.array().cast("array<int>")
+    held = rows.select("y", "b", F.explode(F.sequence(F.lit(0), F.lit(len(triples) - 1)) if triples else F.array().cast("array<int>")).alias("t"))
+    at = [F.get("b", F.get(listed, 3 * F.col("t") + i)) for i in range(3)]
+    cells = held.select("t", "y", *[c.alias(f"{v}bin") for c, v in zip(at, "xyz", strict=True)]).filter("xbin >= 0 AND ybin >= 0 AND zbin >= 0")
+    cells = cells.groupBy("t", "xbin", "ybin", "zbin").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("m"))
+
+    def purified(frame: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        f = frame.copy()
+        place = tuple(f[c].to_numpy() for c in ("xbin", "ybin", "zbin"))
+        enough = f["n"].to_numpy() >= min_n
+        n, left = np.zeros((k, k, k)), np.zeros((k, k, k))
+        n[place], left[place] = np.where(enough, f["n"], 0), np.where(enough, f["m"], 0.0)
+        for _ in range(1000):
+            most = 0.0
+            for axis in range(3):
+                total = n.sum(axis=axis, keepdims=True)
+                part = np.divide((n * left).sum(axis=axis, keepdims=True), total, out=np.zeros_like(total), where=total > 0)
+                left, most = left - part, max(most, float(np.abs(part).max()))
+            if most < 1e-10:
+                break
+        f["excess"] = np.where(enough, left[place], np.nan)
+        return f[["t", "xbin", "ybin", "zbin", "n", "m", "excess"]]
+
+    out = cells.groupBy("t").applyInPandas(purified, "t int, xbin int, ybin int, zbin int, n long, m double, excess double")
+    who = [F.get(F.lit(names), F.get(listed, 3 * F.col("t") + i)).alias(v) for i, v in enumerate("xyz")]
+    return out.select(*who, "xbin", "ybin", "zbin", "n", (F.col("m") + F.lit(mean)).alias("mean_y"), F.when(~F.isnan("excess"), F.col("excess")).alias("excess"), (F.col("n") < min_n).alias("low_support"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fablens import fixtures
-from fablens.operators import association, bins, derive, interaction, model, shapley, subgroups, windows
+from fablens.operators import association, bins, derive, interaction, model, resampling, screening, shapley, subgroups, windows
 
 Y = "SortingYield"
 
@@ -310,3 +310,85 @@ def test_permutation_importance_is_the_same_in_any_order(spark, monkeypatch):
         monkeypatch.setattr(model, "DEALT", dealt)
         one, two = (sorted((v.feature, round(v.rise, 9)) for v in model.permutation_importance(fitted.predict, df.repartition(n), ["x", "z"], "y", "k").collect()) for n in (3, 17))
         assert one == two and dict(one)["x"] > 5 > 0.5 > dict(one)["z"]
+
+
+# resampling
+
+
+def test_poisson_weights(spark):
+    w = spark.range(4000).select(F.col("id").cast("string").alias("k")).select(F.posexplode(resampling.poisson_weights(5, 1)("k")).alias("d", "w")).toPandas()
+    shares = w.w.value_counts(normalize=True)
+    assert abs(w.w.mean() - 1) < 0.03 and abs(w.w.var() - 1) < 0.06 and all(abs(shares[n] - math.exp(-1) / math.factorial(n)) < 0.015 for n in range(4))
+
+
+def test_stable_parameters_are_selected(spark, wafers):
+    d = derive.with_abs(derive.with_delta(deviations(wafers), "TOPSIN_ET_Gm_max", "FIC_ET_Gm_max", "Delta_Gm"), "GATE2_Ali_Litho_Gate_to_recess_alignment", "Abs_Alignment")
+    d = d.withColumn("wafer", F.concat_ws("-", "LotName", "WaferNum"))
+    planted = ["cd_dev", "TOPSIN_ET_Load_Pull_P.A.E_Last", "TOPSIN_ET_DC_PIV_Drain_Lag_1", "Abs_Alignment"]
+    params = [*planted, *[f"NOISE_{i}" for i in range(20)]]
+    select = lambda df, seed=0: {(r.param, r.measure): r for r in resampling.stability_selection(df, params, Y, "wafer", top=4, draws=40, seed=seed).collect()}
+    got = select(d)
+    assert len(got) == 2 * len(params)
+    for (param, measure), r in got.items():
+        assert r.frequency > 0.9 if param in planted else r.frequency < 0.2
+        assert r.same_sign is None if measure == "eta2" else r.same_sign or param not in planted
+    again, other = select(d.repartition(5)), select(d, 1)
+    assert all(math.isclose(again[k].mean, got[k].mean, abs_tol=1e-12) and again[k].frequency == got[k].frequency for k in got)
+    assert any(other[k].mean != got[k].mean for k in got)
+    flat = resampling.stability_selection(d.withColumn(Y, F.lit(1.0)), params[:2], Y, "wafer", top=1, draws=3)
+    assert flat.count() == 0 and resampling.stability_selection(d.filter("false"), params[:2], Y, "wafer", top=1, draws=3).count() == 0
+
+
+def test_error_rate_over_all_parameters(spark, wafers):
+    """200 negative controls of 12 related parameters each: a false finding in about one of twenty; planted ones are found."""
+    r = np.random.default_rng(12)
+    n, m = 50, 12
+    frame = pd.DataFrame(r.normal(0, 1, (200 * n, m)), columns=[f"x{i}" for i in range(m)])
+    frame["x1"] = frame.x0 + 0.3 * frame.x1
+    frame["c"], frame["k"], frame["y"] = np.repeat(np.arange(200), n), np.arange(200 * n), r.exponential(1, 200 * n)
+    calm = resampling.max_statistic_test(spark.createDataFrame(frame), [f"x{i}" for i in range(m)], "y", "k", draws=99, by="c").toPandas()
+    assert len(calm) == 200 * m and (calm.p_adjusted >= calm.p_single).all()
+    false = calm[calm.p_adjusted <= 0.05].category.nunique() / 200
+    assert false <= 0.08 and abs((calm.p_single <= 0.05).mean() - 0.05) < 0.02
+    d = wafers.withColumn("wafer", F.concat_ws("-", "LotName", "WaferNum"))
+    params = ["TOPSIN_ET_Load_Pull_P.A.E_Last", "TOPSIN_ET_DC_PIV_Drain_Lag_1", *[f"NOISE_{i}" for i in range(30)]]
+    found = {x.param for x in resampling.max_statistic_test(d, params, Y, "wafer").filter("p_adjusted <= 0.05").collect()}
+    assert set(params[:2]) <= found and len(found) <= 3
+    one, two = (sorted(map(tuple, resampling.max_statistic_test(d.repartition(p), params[:4], Y, "wafer", draws=19).select("param", "p_adjusted").collect())) for p in (2, 9))
+    assert one == two
+
+
+# leakage and three-way effects
+
+
+def test_columns_that_leak_the_target_are_candidates(spark):
+    """Six copies of the target under other names; none of the planted causes, and nothing is excluded."""
+    r = np.random.default_rng(2)
+    frame = fixtures.planted().drop(columns=["Actual Sorting Yield (%)"])
+    y = frame[Y]
+    leaks = {"other a.b": y + r.normal(0, 0.1, len(y)), "Loss %": 100 - y, "coarse": y.round(0), "bent": np.exp(y / 20), "grade": "g" + (y // 0.5).astype(int).astype(str), "late": y.where(r.random(len(y)) < 0.9)}
+    df = spark.createDataFrame(frame.assign(**leaks))
+    found = {x.column: x for x in screening.leakage_candidates(df, Y).collect()}
+    assert set(found) == set(leaks) and found["grade"].rho is None and "values fix" in found["grade"].evidence and "ranks" in found["Loss %"].evidence
+    assert screening.leakage_candidates(df.filter("false"), Y).count() == 0 and screening.leakage_candidates(df, Y, []).count() == 0
+
+
+def test_three_way_effects(spark):
+    r = np.random.default_rng(9)
+    x = r.beta(2, 5, (6000, 3))
+    b = [plain_bins(x[:, i], 3) for i in range(3)]
+    two = 5.0 * b[0] + b[0] * b[1] - 2 * b[1] * b[2] + 1e3
+    frame = pd.DataFrame(x, columns=["a", "b.c", "d"])
+    frame["flat"], frame["deep"] = two, two + 4.0 * ((b[0] == 1) & (b[1] == 1) & (b[2] == 1))
+    df = spark.createDataFrame(frame)
+    triples = [("a", "b.c", "d"), ("d", "a", "b.c")]
+    flat = interaction.three_way_effects(df, triples, "flat").collect()
+    assert len(flat) > 40 and all(abs(c.excess) < 1e-6 for c in flat if not c.low_support) and all(c.excess is None for c in flat if c.low_support)
+    deep = interaction.three_way_effects(df, triples[:1], "deep").toPandas()
+    # the plain answer: the weighted residual of cell means on all two-way dummies
+    d = deep[~deep.low_support]
+    columns = [(d[p] == i) & (d[q] == j) for p, q in (("xbin", "ybin"), ("xbin", "zbin"), ("ybin", "zbin")) for i in range(3) for j in range(3)]
+    design, w = np.array(columns, float).T, np.sqrt(d.n.to_numpy())
+    fit = design @ np.linalg.lstsq(design * w[:, None], d.mean_y.to_numpy() * w, rcond=None)[0]
+    assert np.abs(d.mean_y - fit - d.excess).max() < 1e-6 and d.excess.abs().max() > 0.3
+    assert interaction.three_way_effects(df, [], "deep").count() == 0
