@@ -6,12 +6,12 @@ pairs of each parameter. What a constant parameter leaves undefined is null.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col_ref, pearson, present
 from ..plans.longform import long_form
-from .bins import _binned
+from .bins import _binned, running_sums
 
 
 def pairs(df: DataFrame, params: list[str] | None, target: str, by: str | None = None, held: str | None = None) -> tuple[DataFrame, list[str]]:
@@ -40,8 +40,7 @@ def pearson_summary(df: DataFrame, params: list[str] | None, target: str, by: st
 def average_ranks(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """Average-tie ranks within keys. Ranks are worked out over distinct values with counts and joined back."""
     counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.select(*keys, value, (F.sum("_n").over(upto) - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(out))
+    ranks = running_sums(counts, keys, value, {"_upto": "_n"}).select(*keys, value, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(out))
     return rows.join(ranks, [*keys, value])
 
 
@@ -80,8 +79,9 @@ def threshold_split(df: DataFrame, params: list[str] | None, target: str, by: st
     the total. Learned from the data over distinct values; of equal gains, the least cut."""
     rows, keys = pairs(df, params, target, by)
     cells = centred(rows, keys).groupBy(*keys, "x").agg(F.first("mean_y").alias("m"), F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss"), F.min("y").alias("lo"), F.max("y").alias("hi"))
-    upto, whole = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
-    cells = cells.select(*keys, "x", "m", F.sum("n").over(upto).alias("nl"), F.sum("s").over(upto).alias("sl"), F.sum("n").over(whole).alias("n"), F.sum("s").over(whole).alias("s"), F.sum("ss").over(whole).alias("ss"), (F.min("lo").over(whole) < F.max("hi").over(whole)).alias("varies"))
+    cells = running_sums(cells.withColumnsRenamed({"n": "n1", "s": "s1", "ss": "ss1"}), keys, "x", {"nl": "n1", "sl": "s1"}, {"n": "n1", "s": "s1", "ss": "ss1"})
+    ends = cells.groupBy(*keys).agg((F.min("lo") < F.max("hi")).alias("varies"))
+    cells = cells.join(ends, keys)
     nr, sr = F.col("n") - F.col("nl"), F.col("s") - F.col("sl")
     split = cells.filter(F.col("varies") & (F.col("nl") >= min_side) & (nr >= min_side))  # a constant target has no split
     mean = F.col("s") * F.col("s") / F.col("n")

@@ -38,6 +38,29 @@ def _bounds(v: str, k: int, bin_: str) -> list:
     return [(lo + width * F.col(bin_)).alias("lo"), (lo + width * (F.col(bin_) + 1)).alias("hi")]
 
 
+#: Ranges that a parameter's values are dealt into for running sums.
+PARTS = 64
+
+
+def running_sums(cells: DataFrame, keys: list[str], value: str, sums: dict[str, str], totals: dict[str, str] | None = None) -> DataFrame:
+    """``cells`` with running sums in the order of ``value`` within keys: sums maps new columns to summed ones, totals likewise
+    for the sums over all of a key.
+
+    Values are dealt into PARTS equal ranges of a key, so a window's task sorts one range; what lies before a range is the sum
+    of the ranges' totals, PARTS rows a key. Results don't depend on how evenly ranges are filled.
+    """
+    totals = totals or {}
+    part = "_bin_" + value
+    dealt = _binned(cells, keys, {value: PARTS})
+    own = list(dict.fromkeys([*sums.values(), *totals.values()]))
+    ranges = dealt.groupBy(*keys, part).agg(*[F.sum(c).alias(f"_{c}") for c in own])
+    before, all_ = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    ranges = ranges.select(*keys, part, *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_before_{o}") for o, c in sums.items()], *[F.sum(f"_{c}").over(all_).alias(o) for o, c in totals.items()])
+    within = Window.partitionBy(*keys, part).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    local = dealt.select(*cells.columns, part, *[F.sum(c).over(within).alias(f"_within_{o}") for o, c in sums.items()])
+    return local.join(ranges, [*keys, part]).select(*cells.columns, *[(F.col(f"_before_{o}") + F.col(f"_within_{o}")).alias(o) for o in sums], *totals)
+
+
 def histogram(df: DataFrame, value: str, k: int = 10) -> DataFrame:
     """bin, lo, hi, n: exact equal-width counts; empty bins have no row."""
     x = _binned(df.select(present(col_ref(value)).alias("x")), [], {"x": k}).withColumnRenamed("_bin_x", "bin")
@@ -83,9 +106,8 @@ def binned_quantile(df: DataFrame, param: str, target: str, k: int = 10) -> Data
     equal values are in one bin and the sort is over distinct values."""
     rows = df.select(present(col_ref(param)).alias("x"), present(col_ref(target)).alias("y")).dropna(subset=["x"])
     per = rows.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.count("y").alias("ny"), F.sum("y").alias("sy"))
-    order = Window.orderBy("x")
-    ranked = per.withColumn("before", F.sum("n").over(order) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy()))
-    ranked = ranked.withColumn("bin", F.floor(F.col("before") * k / F.col("all")).cast("int"))
+    ranked = running_sums(per, [], "x", {"upto": "n"}, {"all": "n"})
+    ranked = ranked.withColumn("bin", F.floor((F.col("upto") - F.col("n")) * k / F.col("all")).cast("int"))
     return ranked.groupBy("bin").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").cast("long").alias("n"), (F.sum("sy") / F.nullif(F.sum("ny"), F.lit(0))).alias("mean_y"))
 
 

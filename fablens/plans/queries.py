@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import association, audit, bins, derive, interaction, model, ranking, screening, shapley, subgroups, windows
+from ..operators import association, audit, bins, derive, interaction, model, ranking, resampling, screening, shapley, subgroups, windows
 from ..sources.tables import read_units
 
 Y, CAT = "l_extendedprice", "p_type"
@@ -270,6 +270,28 @@ def _(spark, d):
     return rounded(association.abs_and_signed(u, "alignment", Y), 4)
 
 
+_DELTA = f"SELECT 'delta' AS param, o_totalprice - p_retailprice AS x, {Y} AS y FROM u"
+
+
+def _delta(spark, d):
+    return derive.with_delta(read_units(spark, d), "o_totalprice", "p_retailprice", "delta")
+
+
+@query("delta_pearson", f"WITH {U}, l AS ({_DELTA}) SELECT param, count(*) AS n, {r(corr_sql())} AS r FROM l GROUP BY param")
+def _(spark, d):
+    return rounded(association.pearson_summary(_delta(spark, d), ["delta"], Y))
+
+
+@query("delta_spearman", f"{_spearman(_DELTA)} SELECT param, count(*) AS n, {r(corr_sql())} AS rho FROM k GROUP BY param")
+def _(spark, d):
+    return rounded(association.spearman_summary(_delta(spark, d), ["delta"], Y))
+
+
+@query("delta_scatter", f"WITH {U}, l AS ({_DELTA}) SELECT {r('x', 2)} AS x, y FROM l")
+def _(spark, d):
+    return rounded(bins.scatter(_delta(spark, d), "delta", Y), 2)
+
+
 @query("monotonic", f"{_spearman(long_sql())}, a AS (SELECT param, {corr_sql()} AS r FROM l GROUP BY param), b AS (SELECT param, {corr_sql()} AS rho FROM k GROUP BY param) SELECT param, {r('r')} AS r, {r('rho')} AS rho, abs(rho) > abs(r) AS bent FROM a JOIN b USING (param)")
 def _(spark, d):
     return rounded(association.monotonic(read_units(spark, d), PARAMS, Y))
@@ -402,7 +424,49 @@ def _(spark, d):
 
 @query("insight_records")
 def _(spark, d):
-    return ranking.insights(association.discovery(read_units(spark, d), PARAMS, Y), {"l_tax": "LINE"})
+    u = read_units(spark, d).withColumn("held", F.col("l_orderkey") % 5 == 0)
+    return ranking.insights(association.discovery(u, PARAMS, Y), {"l_tax": "LINE"}, windows.process_windows(u, PARAMS, Y, held="held"))
+
+
+@query("insight_combinations")
+def _(spark, d):
+    return ranking.combination_insights(subgroups.subgroups(read_units(spark, d), WINDOW_PARAMS, Y, k=4), {"l_tax": "LINE"})
+
+
+@query("three_way_effects")
+def _(spark, d):
+    return interaction.three_way_effects(read_units(spark, d), [("l_tax", "l_discount", "l_quantity"), ("l_quantity", "p_size", "p_retailprice")], Y)
+
+
+@query("stability_selection")
+def _(spark, d):
+    return resampling.stability_selection(read_units(spark, d), PARAMS, Y, "l_orderkey", top=2)
+
+
+@query("max_statistic_test")
+def _(spark, d):
+    return resampling.max_statistic_test(read_units(spark, d), PARAMS, Y, "l_orderkey")
+
+
+_LEAKS = {"coarse": f"round({Y} / 500)", "part": "p_retailprice", "quantity": "l_quantity", "grade": f"'g' || CAST(CAST(floor({Y} / 2000) AS BIGINT) AS VARCHAR)"}
+_LEAK_NUMBERS = " UNION ALL ".join(f"SELECT '{c}' AS param, CAST({e} AS DOUBLE) AS x, {Y} AS y FROM u" for c, e in _LEAKS.items() if c != "grade")
+
+
+@query(
+    "leakage_candidates",
+    f"""{_spearman(_LEAK_NUMBERS)}, t AS ({" UNION ALL ".join(f"SELECT '{c}' AS param, CAST({e} AS VARCHAR) AS v, {Y} - (SELECT avg({Y}) FROM u) AS y FROM u" for c, e in _LEAKS.items())}),
+g AS (SELECT param, v, count(*) AS n, avg(y) AS m, var_pop(y) AS s FROM t GROUP BY 1, 2),
+f AS (SELECT param, sum(n) AS n, CASE WHEN sum(n) >= 2 * count(*) THEN 1 - (sum(n * s) / (sum(n) - count(*))) / ((sum(n * s) + sum(n * m * m)) / (sum(n) - 1)) END AS fixed FROM g GROUP BY 1),
+b AS (SELECT param, y, {bin_sql('x', 'lo', 'hi', 50)} AS bin FROM l JOIN (SELECT param, min(x) AS lo, max(x) AS hi FROM l GROUP BY 1) USING (param)),
+e AS (SELECT param, sum(n * (m - (SELECT avg({Y}) FROM u)) ** 2) / (SELECT var_pop({Y}) * count(*) FROM u) AS eta2 FROM (SELECT param, bin, count(*) AS n, avg(y) AS m FROM b GROUP BY 1, 2) GROUP BY 1),
+h AS (SELECT param, {corr_sql()} AS rho FROM k GROUP BY 1)
+SELECT param AS "column", CAST(n AS BIGINT) AS n, {r('rho', 4)} AS rho, {r('eta2', 4)} AS eta2, {r('fixed', 4)} AS fixed, concat_ws('; ', CASE WHEN abs(rho) >= 0.98 THEN 'its ranks are nearly the target''s' END, CASE WHEN eta2 >= 0.95 THEN 'its bins part the target' END, CASE WHEN fixed >= 0.95 THEN 'its values fix the target' END) AS evidence
+FROM f LEFT JOIN h USING (param) LEFT JOIN e USING (param) WHERE evidence <> ''""",
+)
+def _(spark, d):
+    grade = F.concat(F.lit("g"), F.floor(F.col(Y) / 2000).cast("string"))
+    u = read_units(spark, d).select(Y, F.round(F.col(Y) / 500).alias("coarse"), F.col("p_retailprice").alias("part"), F.col("l_quantity").alias("quantity"), grade.alias("grade"))
+    return rounded(screening.leakage_candidates(u, Y), 4)
 
 
 # screening
@@ -493,13 +557,10 @@ def _(spark, d):
     return rounded(ranking.parameter_table(association.pearson_summary(read_units(spark, d), PARAMS, Y)))
 
 
-# The dashboard's two simulated series and its parameter records are inputs of the caller; these stand in.
-TREND = [88.0, 89.5, 90.0, 91.0, 92.0]
-
-
-@query("trend_points", f"SELECT 'T' || (i + 1) AS label, CAST(i AS BIGINT) AS seq, v AS value, {r('(96 - v) / 12')} AS height FROM (SELECT unnest(range(0, 5)) AS i, unnest({TREND}) AS v)")
+@query("trend_points", f"WITH p AS (SELECT event_type AS category, CAST(ts AS DATE) AS day, avg(value) AS value FROM events GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY day) - 1 AS seq FROM p WHERE value IS NOT NULL) SELECT category, 'T' || (seq + 1) AS label, seq, {r('value')} AS value, {r('(100 - value) / 100')} AS height FROM n")
 def _(spark, d):
-    return rounded(ranking.trend_points(spark.createDataFrame([(TREND,)], "v array<double>"), "v"))
+    events = spark.read.parquet(f"{d}/events.parquet").withColumn("day", F.to_date("ts"))
+    return rounded(ranking.trend_points(ranking.trend_series(events, "event_type", "day", "value"), "values", 0.0, 100.0, "category"))
 
 
 @query("headline", "SELECT l_returnflag AS category, max(k) % 100000 AS value FROM (SELECT l_returnflag, l_orderkey * 100000 + l_partkey AS k FROM lineitem) GROUP BY 1")

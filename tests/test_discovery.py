@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fablens import fixtures
-from fablens.operators import association, bins, derive, interaction, model, resampling, screening, shapley, subgroups, windows
+from fablens.operators import association, bins, derive, interaction, model, ranking, resampling, screening, shapley, subgroups, windows
 
 Y = "SortingYield"
 
@@ -392,3 +392,29 @@ def test_three_way_effects(spark):
     fit = design @ np.linalg.lstsq(design * w[:, None], d.mean_y.to_numpy() * w, rcond=None)[0]
     assert np.abs(d.mean_y - fit - d.excess).max() < 1e-6 and d.excess.abs().max() > 0.3
     assert interaction.three_way_effects(df, [], "deep").count() == 0
+
+
+def test_insights_name_ranges_and_combinations(spark, wafers):
+    params = ["TOPSIN_ET_DC_PIV_Drain_Lag_1", "TOPSIN_ET_Load_Pull_P.A.E_Last", "NOISE_1"]
+    found = association.discovery(wafers, params, Y)
+    got = {x.param: x for x in ranking.insights(found, {params[0]: "TOPSIN"}, windows.process_windows(wafers, params, Y, held="held")).collect()}
+    drain, pae, noise = (got[p] for p in params)
+    assert drain.stage == "TOPSIN" and drain.best_lo is None and 5 < drain.best_hi < 10 and "best up to" in drain.text
+    assert pae.best_lo is not None and pae.best_hi is None and "best from" in pae.text
+    assert noise.best_lo is None and noise.best_hi is None and "best" not in noise.text
+    both = ranking.combination_insights(subgroups.subgroups(deviations(wafers), EIGHT, Y, top=30), {"sin_dev": "SIN"}).collect()
+    pair = next(x for x in both if x.params == ["cd_dev", "sin_dev"])
+    assert pair.stages == [None, "SIN"] and pair.direction == "lower" and "cd_dev in [" in pair.text
+
+
+def test_running_sums_in_ranges(spark, monkeypatch):
+    """The same sums for any number of ranges, for far-out values, ties of keys and an empty table."""
+    r = np.random.default_rng(7)
+    x = np.unique(np.concatenate([r.normal(0, 1, 300), [1e9, -1e12]]))
+    frame = pd.DataFrame({"c": np.repeat(["a", "b"], len(x)), "x": np.tile(x, 2), "n": r.integers(1, 9, 2 * len(x))})
+    df = spark.createDataFrame(frame)
+    for parts in (1, 7, 64):
+        monkeypatch.setattr(bins, "PARTS", parts)
+        got = bins.running_sums(df, ["c"], "x", {"upto": "n"}, {"all": "n"}).toPandas().sort_values(["c", "x"])
+        assert (got.upto.to_numpy() == frame.groupby("c").n.cumsum().to_numpy()).all() and got["all"].nunique() <= 2
+    assert bins.running_sums(df.filter("false"), ["c"], "x", {"upto": "n"}).count() == 0
