@@ -38,6 +38,7 @@ from math import gcd
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -309,19 +310,32 @@ def unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(joinable(several, "r"), "r", "left_semi")
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """doc_id and text, packed by Zstandard text by text: about two thirds of what Spark's block compression leaves of prose."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            texts = [pack((t.as_py() or "").encode()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+
+    return rows.select("doc_id", "text").mapInArrow(run, "doc_id long, text binary")
+
+
 def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
     """The similar ones of ``pairs`` (a, b; written already), by the sets of their texts in ``rows`` (doc_id, text). Texts are
-    shuffled, being a fraction of their sets; of few pairs only theirs."""
+    shuffled, packed, being a fraction of their sets; of few pairs only theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         of, x = None, None
         for batch in batches:
             held = []
             for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
                 text = left.as_py()
                 if x is None or text != of:  # rows come by their a
-                    of, x = text, shingle_set(text, k)
-                y = shingle_set(right.as_py(), k)
+                    of, x = text, shingle_set(unpack(text).decode(), k)
+                y = shingle_set(unpack(right.as_py()).decode(), k)
                 n = len(x) + len(y)
                 held.append(bool(similar(n - 2 * len(np.intersect1d(x, y, assume_unique=True)), n, percent)))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(held, pa.bool_()))
@@ -329,6 +343,7 @@ def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFra
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     if ids.count() <= BROADCAST_IDS:
         rows = rows.join(F.broadcast(ids), "doc_id", "left_semi")
+    rows = packed(rows)
     both = pairs.join(rows.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
     both = both.join(rows.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
     return both.select("a", "b", "left", "right").mapInArrow(run, "a long, b long").distinct()
