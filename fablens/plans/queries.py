@@ -61,6 +61,11 @@ def corr_sql(x: str = "x", y: str = "y") -> str:
     return f"covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0)"
 
 
+def crc_sql(t: str) -> str:
+    """crc32 of an ASCII string, a bit at a time."""
+    return f"xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(1, length({t}) + 1), lambda place: ascii(substr({t}, place, 1))::BIGINT), lambda c, b: list_reduce([xor(c, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"
+
+
 def line(spark, d):
     return spark.read.parquet(f"{d}/lineitem.parquet")
 
@@ -353,9 +358,9 @@ def _(spark, d):
     return rounded(interaction.interaction_excess(read_units(spark, d), "l_tax", "l_discount", Y), 3)
 
 
-@query("interaction_strength")
+@query("interaction_strength", f"""WITH {U}, s AS (SELECT 'l_tax' AS x, 'l_discount' AS y, sum(n * e * e) / sum(n) AS strength, count(*) AS cells FROM (SELECT n, s / n - sum(s) OVER (PARTITION BY a) / sum(n) OVER (PARTITION BY a) - sum(s) OVER (PARTITION BY b) / sum(n) OVER (PARTITION BY b) + sum(s) OVER () / sum(n) OVER () AS e FROM (SELECT {bin_sql('l_tax', 'xl', 'xh', 5)} AS a, {bin_sql('l_discount', 'yl', 'yh', 5)} AS b, count(*) AS n, sum({Y}) AS s FROM u, (SELECT min(l_tax) AS xl, max(l_tax) AS xh, min(l_discount) AS yl, max(l_discount) AS yh FROM u) GROUP BY 1, 2)) WHERE n >= 5 UNION ALL SELECT 'l_quantity' AS x, 'p_size' AS y, sum(n * e * e) / sum(n) AS strength, count(*) AS cells FROM (SELECT n, s / n - sum(s) OVER (PARTITION BY a) / sum(n) OVER (PARTITION BY a) - sum(s) OVER (PARTITION BY b) / sum(n) OVER (PARTITION BY b) + sum(s) OVER () / sum(n) OVER () AS e FROM (SELECT {bin_sql('l_quantity', 'xl', 'xh', 5)} AS a, {bin_sql('p_size', 'yl', 'yh', 5)} AS b, count(*) AS n, sum({Y}) AS s FROM u, (SELECT min(l_quantity) AS xl, max(l_quantity) AS xh, min(p_size) AS yl, max(p_size) AS yh FROM u) GROUP BY 1, 2)) WHERE n >= 5) SELECT x, y, {r('strength', 2)} AS strength, cells FROM s""")
 def _(spark, d):
-    return interaction.interaction_strength(read_units(spark, d), [("l_tax", "l_discount"), ("l_quantity", "p_size")], Y)
+    return rounded(interaction.interaction_strength(read_units(spark, d), [("l_tax", "l_discount"), ("l_quantity", "p_size")], Y), 2)
 
 
 def _cells(params: list[str], k: int) -> str:
@@ -417,9 +422,16 @@ def _(spark, d):
     return rounded(interaction.three_way(read_units(spark, d), "l_tax", "l_discount", "l_quantity", Y), 3)
 
 
-@query("discovery")
+@query(
+    "discovery",
+    f"""{_spearman(long_sql())}, {_ETA}, a AS (SELECT param, count(*) AS n, {corr_sql()} AS r FROM l GROUP BY 1), b AS (SELECT param, {corr_sql()} AS rho FROM k GROUP BY 1),
+e AS (SELECT param, (sum(s * s / n) - sum(s) * sum(s) / sum(n)) / nullif(sum(ss) - sum(s) * sum(s) / sum(n), 0) AS eta2 FROM c GROUP BY 1),
+v AS (SELECT param, x, count(*) AS n, sum(y) AS s, sum(y * y) AS ss FROM l GROUP BY 1, 2), w AS (SELECT param, x, sum(n) OVER o AS nl, sum(s) OVER o AS sl, sum(n) OVER p AS n, sum(s) OVER p AS s, sum(ss) OVER p AS ss FROM v WINDOW o AS (PARTITION BY param ORDER BY x ROWS UNBOUNDED PRECEDING), p AS (PARTITION BY param)),
+t AS (SELECT param, x AS cut, round((sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n) / nullif(ss - s * s / n, 0), 9) AS gain FROM w WHERE nl < n QUALIFY row_number() OVER (PARTITION BY param ORDER BY gain DESC, x) = 1)
+SELECT param, n, {r('r')} AS r, {r('rho')} AS rho, {r('eta2')} AS eta2, cut, {r('gain')} AS gain, {r('greatest(r * r, rho * rho, eta2, gain)')} AS strength FROM a JOIN b USING (param) JOIN e USING (param) JOIN t USING (param)""",
+)
 def _(spark, d):
-    return association.discovery(read_units(spark, d), PARAMS, Y)
+    return rounded(association.discovery(read_units(spark, d), PARAMS, Y))
 
 
 @query("insight_records")
@@ -488,7 +500,7 @@ def _(spark, d):
 # evaluation and models
 
 
-@query("split_sizes")
+@query("split_sizes", f"SELECT {crc_sql('k')} % 1000 < 200 AS is_test, count(*) AS n FROM (SELECT CAST(l_orderkey AS VARCHAR) AS k FROM lineitem) GROUP BY 1")
 def _(spark, d):
     return model.with_split(line(spark, d), "l_orderkey").groupBy("is_test").agg(F.count(F.lit(1)).alias("n"))
 
@@ -524,12 +536,13 @@ def _(spark, d):
     return model.permutation_importance(fitted.predict, u, PARAMS, Y, "l_orderkey")
 
 
-@query("stability")
+@query("stability", f"""WITH {U}, f AS (SELECT o, {crc_sql('CAST(o AS VARCHAR)')} % 5 AS fold FROM (SELECT DISTINCT l_orderkey AS o FROM u)), l AS ({long_sql(by="(SELECT fold FROM f WHERE o = l_orderkey)")}),
+p AS (SELECT category, param, {corr_sql()} AS r FROM l GROUP BY 1, 2) SELECT param, {r('avg(r)')} AS mean_r, {r('stddev_pop(r)')} AS std_r, abs(sum(sign(r))) = count(r) AS same_sign FROM p GROUP BY 1""")
 def _(spark, d):
-    return model.stability(read_units(spark, d), PARAMS, Y, "l_orderkey")
+    return rounded(model.stability(read_units(spark, d), PARAMS, Y, "l_orderkey"))
 
 
-@query("rediscovery")
+@query("rediscovery", f"WITH {U}, l AS ({long_sql()}), f AS (SELECT param FROM (SELECT param, {corr_sql()} AS r FROM l GROUP BY 1) ORDER BY abs(r) DESC, param LIMIT 2), h AS (SELECT count(*) AS n FROM f WHERE param IN ('l_quantity', 'p_retailprice')) SELECT n / 2.0::DOUBLE AS recall, n / 2.0::DOUBLE AS precision FROM h")
 def _(spark, d):
     found = ranking.parameter_table(association.pearson_summary(read_units(spark, d), PARAMS, Y), 2)
     return model.rediscovery(found, spark.createDataFrame([("l_quantity",), ("p_retailprice",)], "param string"))
