@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import col_ref, present
 from ..plans.longform import text_form
+from .bins import quantiles
 
 NEAR_CONSTANT = 0.99
 
@@ -21,10 +22,12 @@ def target_exists(df: DataFrame, target: str) -> bool:
 
 
 def target_stats(df: DataFrame, target: str) -> DataFrame:
+    """n, n_missing, mean, std, min, q1, median, q3, max; quartiles are exact."""
     y = present(col_ref(target))
-    quartile = F.percentile(y, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.agg(F.count(y).alias("n"), F.count_if(y.isNull()).alias("n_missing"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), F.min(y).alias("min"), quartile.alias("q"), F.max(y).alias("max"))
-    return out.select("n", "n_missing", "mean", "std", "min", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("q1", "median", "q3"))], "max")
+    out = df.agg(F.count(y).alias("n"), F.count_if(y.isNull()).alias("n_missing"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), F.min(y).alias("min"), F.max(y).alias("max"))
+    quartiles = quantiles(df.select(y.alias("y")), [], "y", [0.25, 0.5, 0.75])
+    both = out.crossJoin(F.broadcast(quartiles))  # one row each
+    return both.select("n", "n_missing", "mean", "std", "min", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("q1", "median", "q3"))], "max")
 
 
 def missing_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ That side is of one row per parameter or category at most; where it is joined by
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import bucket, col_ref, present
@@ -61,6 +61,23 @@ def running_sums(cells: DataFrame, keys: list[str], value: str, sums: dict[str,
     return local.join(ranges, [*keys, part]).select(*cells.columns, *[(F.col(f"_before_{o}") + F.col(f"_within_{o}")).alias(o) for o in sums], *totals)
 
 
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """keys, q: the exact quantiles of a value, between two neighbours in proportion. Null where a key has no value.
+
+    They are read off running counts of distinct values, so no task holds all values of a key, as an aggregate would.
+    """
+    counts = rows.select(*keys, F.col(value).alias("_v")).dropna(subset=["_v", *keys]).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    run = running_sums(counts, keys, "_v", {"_upto": "_n"}, {"_all": "_n"})
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((F.col("_upto") - F.col("_n") <= place) & (place < F.col("_upto")), F.col("_v")))
+
+    places = [F.lit(float(p)) * (F.col("_all") - 1) for p in shares]
+    picked = [f(p).alias(f"_{n}{i}") for i, p in enumerate(places) for n, f in (("lo", lambda p: at(F.floor(p))), ("hi", lambda p: at(F.ceil(p))), ("part", lambda p: F.first(p - F.floor(p))))]
+    found = run.groupBy(*keys).agg(*picked)
+    return found.select(*keys, F.array(*[F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_part{i}") for i in range(len(shares))]).alias("q"))
+
+
 def histogram(df: DataFrame, value: str, k: int = 10) -> DataFrame:
     """bin, lo, hi, n: exact equal-width counts; empty bins have no row."""
     x = _binned(df.select(present(col_ref(value)).alias("x")), [], {"x": k}).withColumnRenamed("_bin_x", "bin")
@@ -71,8 +88,7 @@ def box_stats(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     """by..., n, q1, median, q3, whisker_lo, whisker_hi, n_outliers; whiskers are the outermost values within 1.5 IQR."""
     by = list(by)
     x = df.select(*[col_ref(c).alias(c) for c in by], present(col_ref(value)).alias("x")).dropna(subset=["x"])
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    quart = (x.groupBy(*by) if by else x).agg(q.alias("q"))
+    quart = quantiles(x, by, "x", [0.25, 0.5, 0.75])
     quart = quart.select(*by, *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("q1", "median", "q3"))])
     joined = x.join(quart, by) if by else x.crossJoin(F.broadcast(quart))  # one row
     reach = 1.5 * (F.col("q3") - F.col("q1"))
@@ -122,5 +138,9 @@ def heatmap(df: DataFrame, x: str, y: str, target: str, kx: int = 5, ky: int = 5
 
 def summary_by(df: DataFrame, category: str, target: str) -> DataFrame:
     """category, n, mean, std, min, median, max."""
-    y = present(col_ref(target))
-    return df.groupBy(col_ref(category).alias("category")).agg(F.count(y).alias("n"), F.avg(y).alias("mean"), F.stddev_samp(y).alias("std"), F.min(y).alias("min"), F.percentile(y, F.lit(0.5)).alias("median"), F.max(y).alias("max"))
+    named = col_ref(category)
+    rows = df.select(named.alias("category"), F.coalesce(named.cast("string"), F.lit("")).alias("_k"), named.isNull().alias("_none"), present(col_ref(target)).alias("y"))
+    keys = ["_k", "_none"]  # a null category is one too
+    out = rows.groupBy("category", *keys).agg(F.count("y").alias("n"), F.avg("y").alias("mean"), F.stddev_samp("y").alias("std"), F.min("y").alias("min"), F.max("y").alias("max"))
+    middle = quantiles(rows, keys, "y", [0.5]).select(*keys, F.get("q", F.lit(0)).alias("median"))
+    return out.join(middle, keys, "left").select("category", "n", "mean", "std", "min", "median", "max")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fablens import fixtures
-from fablens.operators import association, bins, derive, interaction, model, ranking, resampling, screening, shapley, subgroups, windows
+from fablens.operators import association, audit, bins, derive, interaction, model, ranking, resampling, screening, shapley, subgroups, windows
 
 Y = "SortingYield"
 
@@ -418,3 +418,20 @@ def test_running_sums_in_ranges(spark, monkeypatch):
         got = bins.running_sums(df, ["c"], "x", {"upto": "n"}, {"all": "n"}).toPandas().sort_values(["c", "x"])
         assert (got.upto.to_numpy() == frame.groupby("c").n.cumsum().to_numpy()).all() and got["all"].nunique() <= 2
     assert bins.running_sums(df.filter("false"), ["c"], "x", {"upto": "n"}).count() == 0
+
+
+def test_exact_quantiles(spark):
+    r = np.random.default_rng(13)
+    frame = pd.DataFrame({"c": r.choice(["a", "b", None], 500), "y": np.round(r.standard_cauchy(500), 1)})
+    frame.loc[::40, "y"] = np.nan
+    df = spark.createDataFrame(frame)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    got = {x.c: x.q for x in bins.quantiles(df.filter("c IS NOT NULL AND NOT isnan(y)"), ["c"], "y", shares).collect()}
+    for c in ("a", "b"):
+        assert np.allclose(got[c], np.nanquantile(frame[frame.c == c].y, shares))
+    medians = {x.category: x.median for x in bins.summary_by(df, "c", "y").collect()}
+    assert set(medians) == {"a", "b", None} and all(math.isclose(v, np.nanmedian(frame[frame.c.isna() if c is None else frame.c == c].y)) for c, v in medians.items())
+    stats = audit.target_stats(df, "y").first()
+    assert (stats.n, stats.n_missing) == (frame.y.notna().sum(), frame.y.isna().sum()) and np.allclose([stats.q1, stats.median, stats.q3], np.nanquantile(frame.y, [0.25, 0.5, 0.75]))
+    none = audit.target_stats(df.filter("false"), "y").first()
+    assert none.n == 0 and none.median is None and bins.box_stats(df.filter("false"), "y").count() == 0
