@@ -43,13 +43,18 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     return df.groupBy(*map(col_ref, df.columns)).agg(F.count(F.lit(1)).alias(copies)).agg(F.coalesce(F.sum(F.col(copies) - 1), F.lit(0)).cast("long").alias("n_duplicates"))
 
 
-def value_shares(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column, n, n_distinct, top_n, top_share over present values. Two levels of aggregation, so a value that most rows
-    hold is combined before it is shuffled."""
+def _value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """column, n_missing, n, n_distinct, top_n. Two levels of aggregation, so a value that most rows hold is combined before it
+    is shuffled."""
     counts = text_form(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"))
     has = F.when(F.col("value").isNotNull(), F.col("_n"))
-    out = counts.groupBy("column").agg(F.coalesce(F.sum(has), F.lit(0)).cast("long").alias("n"), F.count(has).alias("n_distinct"), F.coalesce(F.max(has), F.lit(0)).cast("long").alias("top_n"))
-    return out.withColumn("top_share", F.col("top_n") / F.nullif("n", F.lit(0)))
+    missing = F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("_n"))), F.lit(0)).cast("long")
+    return counts.groupBy("column").agg(missing.alias("n_missing"), F.coalesce(F.sum(has), F.lit(0)).cast("long").alias("n"), F.count(has).alias("n_distinct"), F.coalesce(F.max(has), F.lit(0)).cast("long").alias("top_n"))
+
+
+def value_shares(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """column, n, n_distinct, top_n, top_share over present values."""
+    return _value_counts(df, columns).drop("n_missing").withColumn("top_share", F.col("top_n") / F.nullif("n", F.lit(0)))
 
 
 def constant_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -88,5 +93,7 @@ def column_audit(df: DataFrame, leakage: list[str] = (), identifiers: list[str]
     """One row per column, for export: kind, missing values, distinct values, top share, flags."""
     kinds = [(f.name, "numeric" if isinstance(f.dataType, T.NumericType) else "non_numeric", f.name in leakage, f.name in identifiers) for f in df.schema.fields]
     catalogue = df.sparkSession.createDataFrame(kinds, "column string, kind string, leakage boolean, identifier boolean")
-    missing = missing_values(df)
-    return catalogue.join(missing, "column").join(value_shares(df), "column").withColumn("constant", F.col("n_distinct") <= 1).withColumn("near_constant", F.coalesce(F.col("top_share") >= NEAR_CONSTANT, F.lit(False)))
+    counts = _value_counts(df)  # one pass
+    share = F.col("n_missing") / F.nullif(F.col("n_missing") + F.col("n"), F.lit(0))
+    counts = counts.select("column", "n_missing", share.alias("share"), "n", "n_distinct", "top_n", (F.col("top_n") / F.nullif("n", F.lit(0))).alias("top_share"))
+    return catalogue.join(counts, "column").withColumn("constant", F.col("n_distinct") <= 1).withColumn("near_constant", F.coalesce(F.col("top_share") >= NEAR_CONSTANT, F.lit(False)))

@@ -36,11 +36,13 @@ class Roles:
 
 
 def screen(df: DataFrame, roles: Roles, share: float = NEAR_CONSTANT) -> DataFrame:
-    """column, role (target, excluded, eligible), reason."""
+    """column, role (target, excluded, eligible), reason. Values are counted only in columns that no list decides."""
     kinds = {f.name: isinstance(f.dataType, T.NumericType) for f in df.schema.fields}
     catalogue = [(c, c == roles.target, c in roles.leakage, c in roles.identifiers, c in roles.metadata, roles.downstream(c), not numeric) for c, numeric in kinds.items()]
     flags = df.sparkSession.createDataFrame(catalogue, "column string, target boolean, target_leakage boolean, identifier boolean, metadata boolean, downstream boolean, categorical boolean")
-    shares = value_shares(df).select("column", (F.col("n_distinct") <= 1).alias("constant"), F.coalesce(F.col("top_share") >= share, F.lit(False)).alias("near_constant"))
+    undecided = [c for c, *listed, _ in catalogue if not any(listed)]
+    counted = value_shares(df, undecided) if undecided else df.sparkSession.createDataFrame([], "column string, n_distinct long, top_share double")
+    shares = counted.select("column", (F.col("n_distinct") <= 1).alias("constant"), F.coalesce(F.col("top_share") >= share, F.lit(False)).alias("near_constant"))
     both = flags.join(shares, "column", "left").fillna(False, ["constant"]).fillna(False, ["near_constant"])
     reason = F.lit(None).cast("string")
     for name in reversed(PRECEDENCE):
