@@ -18,23 +18,31 @@ def interaction_excess(df: DataFrame, x: str, y: str, target: str, k: int = 5, m
     keys = ["category"] if by else []
     rows = df.select(*([col_ref(by).alias("category")] if by else []), present(col_ref(x)).alias("x"), present(col_ref(y)).alias("y"), present(col_ref(target)).alias("t")).dropna()
     cells = _binned(rows, keys, {"x": k, "y": k}).groupBy(*keys, F.col("_bin_x").alias("xbin"), F.col("_bin_y").alias("ybin")).agg(F.count(F.lit(1)).alias("n"), F.sum("t").alias("s"))
-    margin = lambda on, name: cells.groupBy(*keys, *on).agg((F.sum("s") / F.sum("n")).alias(name))
-    out = cells.join(margin(["xbin"], "mx"), [*keys, "xbin"]).join(margin(["ybin"], "my"), [*keys, "ybin"])
-    whole = margin([], "m")
-    out = out.join(whole, keys) if keys else out.crossJoin(F.broadcast(whole))  # one row
-    mean = F.col("s") / F.col("n")
-    return out.select(*keys, "xbin", "ybin", "n", mean.alias("mean_y"), (mean - F.col("mx") - F.col("my") + F.col("m")).alias("excess"), (F.col("n") < min_n).alias("low_support"))
+    return _with_excess(cells, keys).select(*keys, "xbin", "ybin", "n", (F.col("s") / F.col("n")).alias("mean_y"), "excess", (F.col("n") < min_n).alias("low_support"))
+
+
+def _with_excess(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """``cells`` (keys, xbin, ybin, n, s) with excess; margins are windows over the cells, k * k of them a key."""
+
+    def mean(*on: str) -> Column:
+        over = Window.partitionBy(*keys, *on)
+        return F.sum("s").over(over) / F.sum("n").over(over)
+
+    return cells.withColumn("excess", F.col("s") / F.col("n") - mean("xbin") - mean("ybin") + mean())
 
 
 def interaction_strength(df: DataFrame, candidates: list[tuple[str, str]], target: str, k: int = 5, min_n: int = 5) -> DataFrame:
     """x, y, strength, cells: share-free size of the interaction, the weighted mean square of excess over cells with enough
-    rows. Candidate pairs are given, since all pairs of a thousand parameters are half a million."""
-    out = None
-    for x, y in candidates:
-        cells = interaction_excess(df, x, y, target, k, min_n).filter("NOT low_support")
-        one = cells.agg((F.sum(F.col("n") * F.col("excess") * F.col("excess")) / F.sum("n")).alias("strength"), F.count(F.lit(1)).alias("cells")).select(F.lit(x).alias("x"), F.lit(y).alias("y"), "strength", "cells")
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows. Candidate pairs (one at least) are given and make one plan; bins are over each parameter's own values. ``pair_cuts``
+    tries all pairs."""
+    names = list(dict.fromkeys(c for pair in candidates for c in pair))
+    edges = fit_edges(df, names, k)
+    rows, _ = vector_form(df, edges, target)
+    places = F.array(*[F.struct(F.lit(i).alias("pair"), F.get("b", F.lit(names.index(x))).alias("xbin"), F.get("b", F.lit(names.index(y))).alias("ybin")) for i, (x, y) in enumerate(candidates)])
+    cells = rows.select("y", F.inline(places)).filter("xbin >= 0 AND ybin >= 0").groupBy("pair", "xbin", "ybin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
+    told = _with_excess(cells, ["pair"]).filter(F.col("n") >= min_n).groupBy("pair").agg((F.sum(F.col("n") * F.col("excess") * F.col("excess")) / F.sum("n")).alias("strength"), F.count(F.lit(1)).alias("cells"))
+    name = lambda i: F.get(F.lit([c[i] for c in candidates]), F.col("pair"))
+    return told.select(name(0).alias("x"), name(1).alias("y"), "strength", "cells")
 
 
 def three_way(df: DataFrame, x: str, y: str, z: str, target: str, k: int = 3, min_n: int = 5) -> DataFrame:
