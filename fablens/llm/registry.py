@@ -21,6 +21,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_chat_format": chat.OP1_SQL,
+    "op2_suffix_dedup": substrings.OP2_SQL,
     "op3_embedding_dedup": embeddings.OP3_SQL,
     "op4_license_scan": licenses.OP4_SQL,
     "op5_decontaminate": decontaminate.OP5_SQL,

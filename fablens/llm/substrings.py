@@ -368,3 +368,18 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def op2(spark, sf_dir: str) -> DataFrame:
     return repeated_strings(table(spark, sf_dir, "documents")).drop("spans")
+
+
+#: All windows of 100 bytes, by digest: for small tables.
+OP2_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, md5(array_slice(b, i + 1, i + 100)) AS k FROM (SELECT doc_id, b, unnest(range(octet_length(b) - 99)) AS i FROM d WHERE octet_length(b) >= 100)),
+f AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+g AS (SELECT doc_id, i, sum(CASE WHEN i > p + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM f)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM g GROUP BY doc_id, run),
+t AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS e FROM s),
+k AS (SELECT doc_id, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(hex(array_slice(b, e + 1, a)), '' ORDER BY a) AS head, max(z) AS last FROM t JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+ sha256(unhex(coalesce(head, '') || hex(array_slice(b, coalesce(last, 0) + 1, octet_length(b))))) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
