@@ -60,7 +60,7 @@ WHOLE = 4 * BLOCK
 #: Ids (8 bytes each) up to which they are broadcast.
 BROADCAST_IDS = 1 << 17
 #: Signatures that a task holds before it sends them on.
-FLUSH = 1 << 18
+FLUSH = 1 << 20
 
 
 _LAST: dict[int, list[int]] = {}  # by percent, largest size of each band: the largest that a set of its smallest size may match
