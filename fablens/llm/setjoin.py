@@ -61,6 +61,8 @@ WHOLE = 4 * BLOCK
 BROADCAST_IDS = 1 << 17
 #: Signatures that a task holds before it sends them on.
 FLUSH = 1 << 20
+#: Bytes of a signature that are sent, and the kinds of steps between ids.
+_KEPT, _STEPS = 5, (np.int8, np.int16, np.int32, np.int64)
 
 
 _LAST: dict[int, list[int]] = {}  # by percent, largest size of each band: the largest that a set of its smallest size may match
@@ -125,6 +127,24 @@ def signatures(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def pack(s: np.ndarray, d: np.ndarray) -> bytes:
+    """Signatures with their ids: the upper 40 bits of each (two that agree by chance only make one more pair to verify), and
+    the ids' steps in as few bytes as all of them fit in."""
+    steps = np.diff(d)
+    kind = next(k for k in _STEPS if not len(steps) or (steps.min() >= np.iinfo(k).min and steps.max() <= np.iinfo(k).max))
+    upper = (s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_KEPT]
+    return b"".join((len(s).to_bytes(4, "little"), d[:1].tobytes(), steps.astype(kind).tobytes(), upper.tobytes()))
+
+
+def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int.from_bytes(block[:4], "little")
+    upper = np.zeros((n, 8), np.uint8)
+    at = len(block) - _KEPT * n
+    upper[:, :_KEPT] = np.frombuffer(block, np.uint8, _KEPT * n, at).reshape(n, _KEPT)
+    steps = np.frombuffer(block, f"i{(at - 12) // (n - 1)}", n - 1, 12) if n > 1 else np.zeros(0, np.int64)
+    return upper.view("<u8").ravel(), np.cumsum(np.concatenate([np.frombuffer(block, np.int64, 1, 4), steps]), dtype=np.int64)
+
+
 def _digest(elements: np.ndarray) -> bytes:
     return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
 
@@ -145,7 +165,7 @@ def signed_sets(docs: DataFrame, k: int = K, percent: int = PERCENT, parts: int
             s, d, part = s[order], d[order], part[order]
             ends = np.searchsorted(part, np.arange(parts + 1))
             some = np.flatnonzero(np.diff(ends))
-            blobs = [s[ends[p] : ends[p + 1]].tobytes() + d[ends[p] : ends[p + 1]].tobytes() for p in some]
+            blobs = [pack(s[ends[p] : ends[p + 1]], d[ends[p] : ends[p + 1]]) for p in some]
             none = [pa.nulls(len(some), f.type) for f in list(schema)[:4]]
             return pa.RecordBatch.from_arrays([*none, pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
 
@@ -185,9 +205,7 @@ def candidates(signed: DataFrame) -> DataFrame:
         part, blocks = None, []
 
         def pairs() -> Iterator[pa.RecordBatch]:
-            half = [len(x) // 16 for x in blocks]
-            s = np.concatenate([np.frombuffer(x, np.uint64, n) for x, n in zip(blocks, half, strict=True)])
-            d = np.concatenate([np.frombuffer(x, np.int64, n, 8 * n) for x, n in zip(blocks, half, strict=True)])
+            s, d = (np.concatenate(x) for x in zip(*map(unpack, blocks), strict=True))
             order = np.lexsort((d, s))
             s, d = s[order], d[order]
             fresh = np.ones(len(s), bool)

@@ -695,3 +695,16 @@ def test_words_of_any_form_hash_apart(spark):
     assert setjoin.first_of_groups(docs, k=5, percent=80).count() == 8
     h = word_hashes(" ".join(f"w{i}" for i in range(50_000)) + " " + " ".join("x" * i for i in range(1, 300)))
     assert len(np.unique(h)) == 50_299 and word_hashes("Ab")[0] == word_hashes("ab  c")[0] != word_hashes("ab\0")[0]
+
+
+@pytest.mark.parametrize("top", [40, 1 << 20, (1 << 63) - 1])
+def test_signatures_are_packed(top):
+    r = np.random.default_rng(3)
+    for n in (1, 2, 5000):
+        s, d = r.integers(0, 1 << 64, n, dtype=np.uint64), np.sort(r.integers(0, top, n))
+        if n == 2:
+            d = d[::-1]
+        block = setjoin.pack(s, d)
+        upper, ids = setjoin.unpack(block)
+        assert (upper == s >> np.uint64(24)).all() and (ids == d).all()
+        assert top > 1 << 20 or len(block) <= 12 + 7 * n  # 16 bytes each before
