@@ -9,8 +9,13 @@ from ..functions.columns import col_ref, present
 
 
 def pareto(df: DataFrame, group: str, amount: str, top: int | None = None) -> DataFrame:
-    """group, amount, rank, pct, cum_pct by falling amount, ties by name. A top-k's shares need not total 100."""
+    """group, amount, rank, pct, cum_pct by falling amount, ties by name. A top-k's shares need not total 100.
+
+    Amounts are taken to 13 digits, as the order in which a sum is made changes those behind them: groups of equal amounts
+    would be ranked by chance.
+    """
     sums = df.groupBy(col_ref(group).cast("string").alias("group")).agg(F.sum(present(col_ref(amount))).alias("amount")).dropna()
+    sums = sums.withColumn("amount", F.format_string("%.12e", "amount").cast("double"))
     order = Window.orderBy(F.desc("amount"), "group")  # over groups, not rows
     out = sums.withColumn("rank", F.row_number().over(order)).withColumn("pct", 100 * F.col("amount") / F.nullif(F.sum("amount").over(Window.partitionBy()), F.lit(0.0)))
     out = out.withColumn("cum_pct", F.sum("pct").over(order.rowsBetween(Window.unboundedPreceding, 0)))

@@ -131,3 +131,13 @@ def test_constant_target_and_clashing_names(spark):
     assert {x.category for x in association.spearman_summary(odd, ["kept0", "_n"], "value", by="param").collect()} == {"a", "b"}
     assert bins.binned(odd, ["kept0"], "value", 4, by="param").count() == 8
     assert audit.duplicate_rows(odd.union(odd)).first().n_duplicates == 60
+
+
+def test_groups_of_equal_amounts_are_ranked_by_name(spark):
+    amounts = [0.1, 0.7, 5748.67, 1e-3, 33.33, 20000.01, 0.2, 1e7 / 3] * 25
+    rows = [(f"g{g:02}", x) for g in range(40) for x in (amounts if g % 3 == 0 else amounts[::-1] if g % 3 == 1 else sorted(amounts))]
+    df = spark.createDataFrame(rows, "g string, a double").coalesce(1)
+    sums = {r.g: r.s for r in df.groupBy("g").agg(F.sum("a").alias("s")).collect()}
+    assert len(set(sums.values())) > 1  # the order of a sum shows in its last digits
+    found = [r.group for r in ranking.pareto(df, "g", "a").orderBy("rank").collect()]
+    assert found == sorted(found)
