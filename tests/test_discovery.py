@@ -358,6 +358,16 @@ def test_error_rate_over_all_parameters(spark, wafers):
     assert one == two
 
 
+def test_resampling_moves_sums_only(spark, wafers):
+    """No row is shuffled with its draws, and tasks' weights are poisson_weights'."""
+    d = wafers.withColumn("wafer", F.concat_ws("-", "LotName", "WaferNum"))
+    for op in (lambda: resampling.stability_selection(d, ["NOISE_0", "NOISE_1"], Y, "wafer", top=1, draws=5), lambda: resampling.max_statistic_test(d, ["NOISE_0", "NOISE_1"], Y, "wafer", draws=9)):
+        plan = op()._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" in plan and "Join" not in plan and "xxhash64" not in plan[: plan.index("MapInArrow")]
+    u = spark.range(500).select(F.col("id").cast("string").alias("k")).select(resampling.hashes(20, 3)("k").alias("u"), resampling.poisson_weights(20, 3)("k").alias("w")).toPandas()
+    assert (np.searchsorted(resampling.poisson_steps(), np.stack(u.u) & (1 << 40) - 1, "right") == np.stack(u.w)).all()
+
+
 # leakage and three-way effects
 
 
