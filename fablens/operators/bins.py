@@ -1,7 +1,8 @@
 """Histograms, box plots, binned responses and heatmaps.
 
 Bin edges come from a one-row aggregate (one row per group) that is joined back, so the whole operator is one lazy plan.
-That side is of one row per parameter or category at most; where it is joined by key, Spark decides by its size.
+That side has one row a parameter and category and is broadcast, as a shuffle by so few keys would bring all rows of a key into
+one task.
 """
 
 from __future__ import annotations
@@ -18,9 +19,8 @@ LOW_SUPPORT = 5
 def _edges(df: DataFrame, by: list[str], values: list[str]) -> DataFrame:
     stats = [f(v).alias(f"_{e}_{v}") for v in values for e, f in (("lo", F.min), ("hi", F.max))]
     if not by:
-        return df.crossJoin(F.broadcast(df.agg(*stats)))  # one row
-    edges = df.groupBy(*by).agg(*stats)
-    return df.join(edges, by)
+        return df.crossJoin(F.broadcast(df.agg(*stats)))
+    return df.join(F.broadcast(df.groupBy(*by).agg(*stats)), by)
 
 
 def _binned(df: DataFrame, by: list[str], values: dict[str, int]) -> DataFrame:
@@ -58,7 +58,7 @@ def running_sums(cells: DataFrame, keys: list[str], value: str, sums: dict[str,
     ranges = ranges.select(*keys, part, *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_before_{o}") for o, c in sums.items()], *[F.sum(f"_{c}").over(all_).alias(o) for o, c in totals.items()])
     within = Window.partitionBy(*keys, part).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     local = dealt.select(*cells.columns, part, *[F.sum(c).over(within).alias(f"_within_{o}") for o, c in sums.items()])
-    return local.join(ranges, [*keys, part]).select(*cells.columns, *[(F.col(f"_before_{o}") + F.col(f"_within_{o}")).alias(o) for o in sums], *totals)
+    return local.join(F.broadcast(ranges), [*keys, part]).select(*cells.columns, *[(F.col(f"_before_{o}") + F.col(f"_within_{o}")).alias(o) for o in sums], *totals)
 
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
@@ -90,7 +90,7 @@ def box_stats(df: DataFrame, value: str, by: list[str] = ()) -> DataFrame:
     x = df.select(*[col_ref(c).alias(c) for c in by], present(col_ref(value)).alias("x")).dropna(subset=["x"])
     quart = quantiles(x, by, "x", [0.25, 0.5, 0.75])
     quart = quart.select(*by, *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(("q1", "median", "q3"))])
-    joined = x.join(quart, by) if by else x.crossJoin(F.broadcast(quart))  # one row
+    joined = x.join(F.broadcast(quart), by) if by else x.crossJoin(F.broadcast(quart))  # a row a group
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("x") >= F.col("q1") - reach) & (F.col("x") <= F.col("q3") + reach)
     keys = [*by, "q1", "median", "q3"]
