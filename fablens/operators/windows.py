@@ -62,9 +62,9 @@ def process_windows(df: DataFrame, params: list[str] | None, target: str, by: st
     kinds = dict(rows.dtypes)
     learn = rows.filter("NOT test")
     first = learn.groupBy(*keys).agg(F.avg("y").alias("mean"), F.min("x").alias("min"), F.max("x").alias("max"), (F.var_pop("y") * F.count(F.lit(1))).alias("total"), F.count(F.lit(1)).alias("rows"))
-    values = learn.join(first, keys).groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y") - F.col("mean")).alias("s"), *[F.first(c).alias(c) for c in ("min", "max", "total")])
+    values = learn.join(F.broadcast(first), keys).groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y") - F.col("mean")).alias("s"), *[F.first(c).alias(c) for c in ("min", "max", "total")])
     distinct = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("distinct"))
-    values = values.join(distinct, keys)
+    values = values.join(F.broadcast(distinct), keys)
     step = (F.col("max") - F.col("min")) / cells
     coarse = F.least(F.floor((F.col("x") - F.col("min")) / step).cast("double"), F.lit(cells - 1.0))
 
@@ -75,7 +75,7 @@ def process_windows(df: DataFrame, params: list[str] | None, target: str, by: st
     varied = values.filter("distinct > 1")
     rough = _searched(merged(varied, F.when(exact, F.col("x")).otherwise(coarse)), keys, kinds, min_share)
     # a second search opens two cells at each end, numbered within by their share of the width
-    near = varied.filter(~exact).join(rough.select(*keys, "cell_lo", "cell_hi"), keys).withColumn("cell", coarse)
+    near = varied.filter(~exact).join(F.broadcast(rough.select(*keys, "cell_lo", "cell_hi")), keys).withColumn("cell", coarse)
     part = max(2, (cells - 3) // 6)  # up to six steps are opened
     place = (F.col("x") - F.col("min")) / step
     opened = (F.abs(F.col("cell") - F.col("cell_lo")) <= 1) | (F.abs(F.col("cell") - F.col("cell_hi")) <= 1)
@@ -89,7 +89,7 @@ def process_windows(df: DataFrame, params: list[str] | None, target: str, by: st
 def _judged(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
     inside = (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi"))
     y = F.col("y") - F.col("mean")
-    each = rows.join(found, keys).select(*keys, "test", "lo", "hi", "gain", "min", "max", "mean", inside.alias("inside"), y.alias("d"))
+    each = rows.join(F.broadcast(found), keys).select(*keys, "test", "lo", "hi", "gain", "min", "max", "mean", inside.alias("inside"), y.alias("d"))
     marks = ["lo", "hi", "gain", "min", "max", "mean"]
     parts = {"in": F.col("inside") & ~F.col("test"), "out": ~F.col("inside") & ~F.col("test"), "tin": F.col("inside") & F.col("test"), "tout": ~F.col("inside") & F.col("test")}
     sums = [f(F.when(c, F.col("d"))).alias(f"{k}_{name}") for name, c in parts.items() for k, f in (("n", F.count), ("m", F.avg), ("v", F.var_pop))]
