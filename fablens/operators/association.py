@@ -28,7 +28,7 @@ def pairs(df: DataFrame, params: list[str] | None, target: str, by: str | None =
 def centred(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``rows`` with mean_y of their key, and y less that mean: sums of squares of a target far from zero lose its digits."""
     means = rows.groupBy(*keys).agg(F.avg("y").alias("mean_y"))
-    return rows.join(means, keys).withColumn("y", F.col("y") - F.col("mean_y"))
+    return rows.join(F.broadcast(means), keys).withColumn("y", F.col("y") - F.col("mean_y"))
 
 
 def pearson_summary(df: DataFrame, params: list[str] | None, target: str, by: str | None = None) -> DataFrame:
@@ -37,18 +37,34 @@ def pearson_summary(df: DataFrame, params: list[str] | None, target: str, by: st
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson(F.col("x"), F.col("y")).alias("r"))
 
 
-def average_ranks(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Average-tie ranks within keys. Ranks are worked out over distinct values with counts and joined back."""
-    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranks = running_sums(counts, keys, value, {"_upto": "_n"}).select(*keys, value, (F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(out))
-    return rows.join(ranks, [*keys, value])
+#: Distinct values up to which a parameter's ranks are broadcast.
+FEW = 256
+
+
+def ranks(counts: DataFrame, keys: list[str], value: str, n: str, out: str) -> DataFrame:
+    """``counts`` of distinct values with their average-tie ranks less the ranks' mean, which is half a row's number."""
+    upto = running_sums(counts, keys, value, {"_upto": n}, {"_all": n})
+    return upto.select(*counts.columns, (F.col("_upto") - F.col(n) / 2.0 - F.col("_all") / 2.0).alias(out))
 
 
 def spearman_summary(df: DataFrame, params: list[str] | None, target: str, by: str | None = None) -> DataFrame:
-    """(category,) param, n, rho: Pearson correlation of average ranks."""
+    """(category,) param, n, rho: Pearson correlation of average ranks.
+
+    Ranks are worked out over distinct values with counts. Rows meet the parameter's ranks only, by broadcast where it has at
+    most ``FEW`` values, and are added up by the target's values, which are ranked then.
+    """
     rows, keys = pairs(df, params, target, by)
-    ranked = average_ranks(average_ranks(rows, keys, "x", "rx"), keys, "y", "ry")
-    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), pearson(F.col("rx"), F.col("ry")).alias("rho"))
+    counts = rows.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("_n"))
+    own = ranks(counts, keys, "x", "_n", "rx").select(*keys, "x", "rx")
+    sizes = counts.groupBy(*keys).agg((F.count(F.lit(1)) <= FEW).alias("few"))
+    few, many = (F.broadcast(sizes.filter(c).select(*keys)) for c in ("few", "NOT few"))
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("rx").alias("s"), F.sum(F.col("rx") * F.col("rx")).alias("xx")]
+    met = [rows.join(F.broadcast(own.join(few, keys)), [*keys, "x"]), rows.join(many, keys).join(own.join(many, keys), [*keys, "x"])]
+    cells = met[0].select(*keys, "y", "rx").union(met[1].select(*keys, "y", "rx")).groupBy(*keys, "y").agg(*sums)
+    each = ranks(cells, keys, "y", "n", "ry")
+    both = [F.sum(F.col("s") * F.col("ry")).alias("xy"), F.sum("xx").alias("xx"), F.sum(F.col("n") * F.col("ry") * F.col("ry")).alias("yy")]
+    out = each.groupBy(*keys).agg(F.sum("n").cast("long").alias("n"), *both)
+    return out.select(*keys, "n", (F.col("xy") / F.nullif(F.sqrt("xx") * F.sqrt("yy"), F.lit(0.0))).alias("rho"))
 
 
 def regression_lines(df: DataFrame, params: list[str] | None, target: str, by: str | None = None) -> DataFrame:
@@ -81,7 +97,7 @@ def threshold_split(df: DataFrame, params: list[str] | None, target: str, by: st
     cells = centred(rows, keys).groupBy(*keys, "x").agg(F.first("mean_y").alias("m"), F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("ss"), F.min("y").alias("lo"), F.max("y").alias("hi"))
     cells = running_sums(cells.withColumnsRenamed({"n": "n1", "s": "s1", "ss": "ss1"}), keys, "x", {"nl": "n1", "sl": "s1"}, {"n": "n1", "s": "s1", "ss": "ss1"})
     ends = cells.groupBy(*keys).agg((F.min("lo") < F.max("hi")).alias("varies"))
-    cells = cells.join(ends, keys)
+    cells = cells.join(F.broadcast(ends), keys)
     nr, sr = F.col("n") - F.col("nl"), F.col("s") - F.col("sl")
     split = cells.filter(F.col("varies") & (F.col("nl") >= min_side) & (nr >= min_side))  # a constant target has no split
     mean = F.col("s") * F.col("s") / F.col("n")

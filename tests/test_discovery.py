@@ -445,3 +445,18 @@ def test_exact_quantiles(spark):
     assert (stats.n, stats.n_missing) == (frame.y.notna().sum(), frame.y.isna().sum()) and np.allclose([stats.q1, stats.median, stats.q3], np.nanquantile(frame.y, [0.25, 0.5, 0.75]))
     none = audit.target_stats(df.filter("false"), "y").first()
     assert none.n == 0 and none.median is None and bins.box_stats(df.filter("false"), "y").count() == 0
+
+
+@pytest.mark.parametrize("op", ["eta_squared", "threshold_split", "binned", "distributions", "process_windows"])
+def test_rows_are_not_shuffled_by_parameter(spark, wafers, op):
+    """Tables of a row a parameter are broadcast: a join by so few keys has all rows of a parameter in one task."""
+    args = {"distributions": ()}.get(op, (Y,))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        module = bins if op in ("binned", "distributions") else windows if op == "process_windows" else association
+        plan = getattr(module, op)(wafers, ["NOISE_0", "NOISE_1"], *args)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and (op == "process_windows" or "SortMergeJoin" not in plan)
+    assert plan.count("SortMergeJoin") <= 2  # of windows' own rows
