@@ -36,7 +36,7 @@ def interaction_strength(df: DataFrame, candidates: list[tuple[str, str]], targe
     rows. Candidate pairs (one at least) are given and make one plan; bins are over each parameter's own values. ``pair_cuts``
     tries all pairs."""
     names = list(dict.fromkeys(c for pair in candidates for c in pair))
-    edges = fit_edges(df, names, k)
+    edges = fit_edges(df, names, k, target)
     rows, _ = vector_form(df, edges, target)
     places = F.array(*[F.struct(F.lit(i).alias("pair"), F.get("b", F.lit(names.index(x))).alias("xbin"), F.get("b", F.lit(names.index(y))).alias("ybin")) for i, (x, y) in enumerate(candidates)])
     cells = rows.select("y", F.inline(places)).filter("xbin >= 0 AND ybin >= 0").groupBy("pair", "xbin", "ybin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("s"))
@@ -61,7 +61,7 @@ def pair_cuts(df: DataFrame, params: list[str], target: str, k: int = 8, min_n:
     (k - 1)² cuts of a pair, so the work beyond one pass over rows * pairs doesn't grow with the rows. Rows that lack one of
     the two values or the target are left out; equal gains (nine digits) go to the least cuts; a pair without a cut has no row.
     """
-    edges = fit_edges(df, params, k)
+    edges = fit_edges(df, params, k, target)
     rows, _ = vector_form(df, edges, target)
     conditions = F.filter(F.transform("b", lambda v, p: F.struct(p.alias("p"), v.alias("v"))), lambda c: c["v"] >= 0)
     first = rows.select("y", conditions.alias("c")).select("y", "c", F.explode("c").alias("a"))
@@ -136,7 +136,7 @@ def three_way_effects(df: DataFrame, triples: list[tuple[str, str, str]], target
     import pandas as pd
 
     names = list(dict.fromkeys(c for t in triples for c in t))
-    edges = fit_edges(df, names, k)
+    edges = fit_edges(df, names, k, target)
     rows, mean = vector_form(df, edges, target)
     listed = F.lit([names.index(c) for t in triples for c in t]) if triples else F.array().cast("array<int>")
     held = rows.select("y", "b", F.explode(F.sequence(F.lit(0), F.lit(len(triples) - 1)) if triples else F.array().cast("array<int>")).alias("t"))

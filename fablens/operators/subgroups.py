@@ -39,7 +39,7 @@ def _beyond(last: str) -> Column:
 def subgroups(df: DataFrame, params: list[str], target: str, k: int = 5, depth: int = 2, top: int = 20, min_n: int = 20) -> DataFrame:
     """rank, params, ranges (param, lo, hi), n, mean, quality, excess: for each of the best ``top`` sets of parameters its best
     ranges. ``excess`` is what the mean has beyond the overall mean and the sum of what each range has alone."""
-    edges = fit_edges(df, params, k)
+    edges = fit_edges(df, params, k, target)
     rows, mean = vector_form(df, edges, target)
     spark = df.sparkSession
     ranges = spark.range(k).select(F.col("id").cast("int").alias("a")).select("a", F.explode(F.sequence("a", F.lit(k - 1))).alias("z")).filter(F.col("z") - F.col("a") < k - 1)

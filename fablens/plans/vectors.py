@@ -32,6 +32,7 @@ class Edges:
     k: int
     lo: list[float]
     hi: list[float]
+    mean: float | None = None  # the target's, if they were fitted with one
 
     def bins(self) -> Column:
         width = [(h - a) / self.k for a, h in zip(self.lo, self.hi, strict=True)]
@@ -45,16 +46,18 @@ class Edges:
         return self.lo[p] + width * first, self.lo[p] + width * ((first if last is None else last) + 1)
 
 
-def fit_edges(df: DataFrame, params: list[str], k: int) -> Edges:
-    """Equal-width bins over each parameter's values: one aggregate, two numbers a parameter. (0, 0) where all are missing."""
-    cells = df.select(F.posexplode(values(params)).alias("p", "x")) if params else None
-    found = {r.p: (r.lo, r.hi) for r in cells.groupBy("p").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect() if r.lo is not None} if params else {}
+def fit_edges(df: DataFrame, params: list[str], k: int, target: str | None = None) -> Edges:
+    """Equal-width bins over each parameter's values: one aggregate, two numbers a parameter. (0, 0) where all are missing. The
+    target's mean comes from the same pass, if one is named."""
+    y = present(col_ref(target)) if target else F.lit(None).cast("double")
+    rows = df.select(y.alias("y"), F.posexplode(values(params)).alias("p", "x")).groupBy("p").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.avg("y").alias("m")).collect() if params else []
+    found = {r.p: (r.lo, r.hi) for r in rows if r.lo is not None}
     ends = [found.get(p, (0.0, 0.0)) for p in range(len(params))]
-    return Edges(list(params), k, [e[0] for e in ends], [e[1] for e in ends])
+    return Edges(list(params), k, [e[0] for e in ends], [e[1] for e in ends], (rows[0].m or 0.0) if rows and target else None)
 
 
 def vector_form(df: DataFrame, edges: Edges, target: str) -> tuple[DataFrame, float]:
     """(y less its mean, b: the bins) of rows that have a target, and that mean (0 without rows)."""
     rows = df.select(present(col_ref(target)).alias("y"), edges.bins().alias("b")).dropna(subset=["y"])
-    mean = df.agg(F.avg(present(col_ref(target))).alias("m")).first().m or 0.0
+    mean = edges.mean if edges.mean is not None else df.agg(F.avg(present(col_ref(target))).alias("m")).first().m or 0.0
     return rows.withColumn("y", F.col("y") - F.lit(mean)), mean

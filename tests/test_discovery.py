@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fablens import fixtures
+from fablens.plans import vectors
 from fablens.operators import association, audit, bins, derive, interaction, model, ranking, resampling, screening, shapley, subgroups, windows
 
 Y = "SortingYield"
@@ -460,3 +461,12 @@ def test_rows_are_not_shuffled_by_parameter(spark, wafers, op):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in plan and (op == "process_windows" or "SortMergeJoin" not in plan)
     assert plan.count("SortMergeJoin") <= 2  # of windows' own rows
+
+
+def test_the_mean_comes_with_the_edges(spark, monkeypatch):
+    rows = spark.createDataFrame([(1.0, None, 2.0), (3.0, 5.0, 4.0), (None, None, 9.0), (2.0, 1.0, None)], "a double, b double, y double")
+    edges = vectors.fit_edges(rows, ["a", "b"], 4, "y")
+    assert edges.mean == 5.0 and (edges.lo, edges.hi) == ([1.0, 1.0], [3.0, 5.0])
+    monkeypatch.setattr(type(rows), "agg", None)  # no other pass
+    centred, mean = vectors.vector_form(rows, edges, "y")
+    assert mean == 5.0 and sorted(r.y for r in centred.collect()) == [-3.0, -1.0, 4.0]
