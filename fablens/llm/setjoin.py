@@ -345,7 +345,7 @@ def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(held, pa.bool_()))
 
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    if ids.count() <= BROADCAST_IDS:
+    if 2 * pairs.count() <= BROADCAST_IDS or ids.count() <= BROADCAST_IDS:
         rows = rows.join(F.broadcast(ids), "doc_id", "left_semi")
     both = pairs.join(rows.select(F.col("doc_id").alias("b"), F.col("text").alias("right")), "b")
     both = both.join(rows.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), "a")
@@ -353,7 +353,9 @@ def verified(pairs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFra
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels`` (node, component) after more links: only their labels' own graph is walked again."""
+    """``labels`` (node, component) after more links: only their labels' own graph is walked again. links: written already."""
+    if links.isEmpty():
+        return labels
     ends = with_label(with_label(links.select("a", "b"), labels, "a").select(F.col("label").alias("u"), "b"), labels, "b")
     merged = components(ends.select("u", F.col("label").alias("v")), "u", "v")
     moved = merged.select((F.col("node") + 0).alias("component"), F.col("component").alias("first"))

@@ -12,7 +12,8 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from fablens.llm import bpe, chat, dac, decontaminate, embeddings, encode, langid, licenses, pii, registry, setjoin, substrings
+from fablens.llm import bpe, chat, components, dac, decontaminate, embeddings, encode, langid, licenses, pii, registry, setjoin, substrings
+from fablens.llm.common import checkpointed
 from fablens.llm.shingles import word_hashes
 from fablens.llm.suffixes import common_prefixes, eight, suffix_array
 
@@ -708,3 +709,12 @@ def test_signatures_are_packed(top):
         upper, ids = setjoin.unpack(block)
         assert (upper == s >> np.uint64(24)).all() and (ids == d).all()
         assert top > 1 << 20 or len(block) <= 12 + 7 * n  # 16 bytes each before
+
+
+@pytest.mark.parametrize("pairs, rounds", [([(1, 2), (1, 3), (5, 9)], 0), ([], 0), ([(i, i + 1) for i in range(40)] + [(60, 70), (70, 65), (None, 3), (4, 4)], None)])
+def test_components_end_with_the_round_that_makes_stars(spark, monkeypatch, pairs, rounds):
+    written = []
+    monkeypatch.setattr(components, "checkpointed", lambda df: written.append(1) or checkpointed(df))
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    want = {x: 0 for x in range(1, 41)} | {65: 60, 70: 60} if rounds is None else {2: 1, 3: 1, 9: 5} if pairs else {}
+    assert got == want and (rounds is None or len(written) == 1 + rounds)
