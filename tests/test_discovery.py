@@ -313,6 +313,14 @@ def test_permutation_importance_is_the_same_in_any_order(spark, monkeypatch):
         assert one == two and dict(one)["x"] > 5 > 0.5 > dict(one)["z"]
 
 
+def test_permutation_importance_deals_all_features_at_once(spark):
+    df = spark.range(60).selectExpr("id AS k", "id % 7 AS x", "id % 5 AS z", "id % 3 AS v", "1.0D * (id % 7) AS y")
+    found = model.permutation_importance(lambda d: d.withColumn("prediction", F.col("x") + 0 * (F.col("z") + F.col("v"))), df, ["x", "z", "v"], "y", "k")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1  # one a feature before
+    rise = {r.feature: r.rise for r in found.collect()}
+    assert rise["x"] > 1 and rise["z"] == rise["v"] == 0
+
+
 # resampling
 
 
