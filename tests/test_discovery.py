@@ -291,6 +291,21 @@ def test_shapley_values_equal_enumeration(spark):
     assert shapley.tree_shapley(fitted, df.filter("false"), names).count() == 0
 
 
+def test_tabled_trees_equal_their_leaves():
+    """A tree's table against its leaves, at and around its thresholds; lookups leave a step a feature, not one a leaf and pair."""
+    inf = np.inf
+    tree = [(2.0, [(3, -inf, 0.5, 0.4), (1, -inf, 2.0, 0.5)]), (-1.0, [(3, -inf, 0.5, 0.4), (1, 2.0, inf, 0.5)]), (3.0, [(3, 0.5, 0.75, 0.2)]), (5.0, [(3, 0.75, inf, 0.4)])]
+    r = np.random.default_rng(2)
+    rows = np.concatenate([r.normal(0, 2, (50, 5)), np.tile([[2.0], [0.5], [0.75]], (1, 5)), [[0, 2.0, 0, 0.5, 0]]])
+    used, table = shapley.tabled(tree)
+    assert [(f, step) for f, _, step in used] == [(1, 3), (3, 1)] and table.shape == (6, 2)
+    got = np.zeros(rows.shape)
+    cell = sum(step * np.searchsorted(cuts, rows[:, f]) for f, cuts, step in used)
+    got[:, [1, 3]] = table[cell]
+    assert np.allclose(got, shapley.contributions(tree, rows))
+    assert shapley.tabled([(1.0, [])])[1].shape == (1, 0)
+
+
 def test_trees_predict_unseen_rows(spark, wafers):
     """Held-out lots of the planted table; the negative control has nothing to predict."""
     features = [*EIGHT[:6], "NOISE_1", "NOISE_2"]
