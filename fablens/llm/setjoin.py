@@ -175,7 +175,7 @@ def signed_sets(docs: DataFrame, k: int = K, percent: int = PERCENT, parts: int
                 s = shingle_set(text.as_py(), k)
                 sizes.append(len(s))
                 digests.append(_digest(s) if len(s) else None)
-                bits.append(sketch(s).tobytes() if len(s) else None)
+                bits.append(sketch(s, percent).tobytes() if len(s) else None)
                 if doc is None or not len(s) or digests[-1] in seen:
                     continue
                 seen.add(digests[-1])
@@ -288,9 +288,13 @@ def similar(differences, sizes, percent: int = PERCENT):
     return up * differences <= down * sizes
 
 
-def sketch(elements: np.ndarray) -> np.ndarray:
-    """Parities of the elements, a power of two of bytes wide, so that a wider sketch folds to a narrower one."""
-    width = 1 << max(5, (len(elements) // 4).bit_length())
+def sketch(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Parities of the elements, a power of two of bytes wide, so that a wider sketch folds to a narrower one.
+
+    It has four to eight bits (or 256 in all) for each element that similar sets of this size may differ in: sets with little in
+    common differ in half the bits, twice what is allowed."""
+    up, down = bounds(percent)
+    width = 1 << max(5, (len(elements) * down // up).bit_length())
     odd = np.bincount((mix(elements) % np.uint64(8 * width)).astype(np.int64), minlength=8 * width) & 1
     return np.packbits(odd.astype(bool))
 
@@ -393,8 +397,8 @@ def entries(led: DataFrame, percent: int) -> DataFrame:
 
 
 def hopeful_partners(rows: DataFrame, drawn: DataFrame, labels: DataFrame, most: int, percent: int) -> DataFrame:
-    """a, b, more: for each far set its ``most`` nearest by sketch among the sets of other labels that share a prefix element
-    and that sketches don't rule out; more says that there are others.
+    """a, b, more_a, more_b: for each far set its ``most`` nearest by sketch among the sets of other labels that share a prefix
+    element and that sketches don't rule out; more says for a and b that there are others.
 
     rows: r, e, id, n, far; those that share r and e meet. Only meetings of several labels go on. A meeting of more than
     ``BLOCK`` sets is dealt over blocks, each set at home in one; far sets visit all of them.
@@ -426,11 +430,12 @@ def hopeful_partners(rows: DataFrame, drawn: DataFrame, labels: DataFrame, most:
             fine = similar(least, n[i] + n[others], percent)
             others, least = others[fine], least[fine]
             near = others[np.lexsort((ids[others], least))[:most]]
-            found += [(min(ids[i], x), max(ids[i], x), len(others) > most) for x in ids[near]]
+            more = len(others) > most
+            found += [(min(ids[i], x), max(ids[i], x), more and ids[i] < x, more and ids[i] > x) for x in ids[near]]
         if not found:
             return None
-        a, b, more = zip(*found, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], names=["a", "b", "more"])
+        kinds = {"a": pa.int64(), "b": pa.int64(), "more_a": pa.bool_(), "more_b": pa.bool_()}
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*found, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -452,7 +457,17 @@ def hopeful_partners(rows: DataFrame, drawn: DataFrame, labels: DataFrame, most:
     dealt = dealt.withColumn("block", F.explode(F.when(F.col("far"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("home"))))
     dealt = dealt.join(joinable(drawn.select("id", "bits"), "id"), "id").select("r", "e", "block", "id", "n", "far", "label", "home", "bits")
     dealt = dealt.repartition("r", "e", "block").sortWithinPartitions("r", "e", "block")
-    return dealt.mapInArrow(run, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    return dealt.mapInArrow(run, "a long, b long, more_a boolean, more_b boolean").groupBy("a", "b").agg(F.max("more_a").alias("more_a"), F.max("more_b").alias("more_b"))
+
+
+def still_open(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``rows`` of the meetings that the next round needs: those of a far set that has more partners, by ``pairs``. Only such sets
+    stay far there; every other one has met all its hopeful partners, and labels never part again."""
+    ends = F.array(F.when(F.col("more_a"), F.col("a")), F.when(F.col("more_b"), F.col("b")))
+    ids = pairs.select(F.explode(ends).alias("id")).filter("id IS NOT NULL").distinct().withColumn("open", F.lit(True))
+    marked = rows.join(joinable(ids, "id"), "id", "left").select("r", "e", "id", "n", (F.col("far") & F.col("open").isNotNull()).alias("far"))
+    used = marked.filter("far").select("r", "e").distinct()
+    return marked.join(joinable(joinable(used, "r"), "e"), ["r", "e"], "left_semi")
 
 
 def differences(led: DataFrame, sets: DataFrame) -> DataFrame:
@@ -466,8 +481,8 @@ def settled(labels: DataFrame, led: DataFrame, texts: DataFrame, drawn: DataFram
 
     Only sets of different labels are met, so a group is done once its sets have one. First a far set of each group becomes
     a second leader, which joins up a group whose first leader is the odd one. What is left meets in its group, or by differences
-    from the leader if the group is larger than ``WHOLE``: each far set with its nearest partner, with eight times as many in the
-    next round, until none has more.
+    from the leader if the group is larger than ``WHOLE``: each far set with its nearest partner; in the next round those that
+    have more, with eight times as many, until none has more.
     """
     spark = led.sparkSession
     members = led.select("r", "id", "far")
@@ -496,13 +511,14 @@ def settled(labels: DataFrame, led: DataFrame, texts: DataFrame, drawn: DataFram
     while True:
         pairs = checkpointed(hopeful_partners(rows, drawn, labels, most, percent))
         release(spark)
-        more = pairs.agg(F.max("more")).first()[0]
+        more = pairs.agg(F.max(F.col("more_a") | F.col("more_b"))).first()[0]
         if more is None:
             return labels
         labels = relabelled(labels, checkpointed(verified(pairs.select("a", "b"), texts, k, percent)))
         if not more:
             return labels
-        most *= 8
+        rows, most = checkpointed(still_open(rows, pairs)), most * 8
+        release(spark)
 
 
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
@@ -549,6 +565,8 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         own = F.shiftleft(F.lit(1).cast("long"), 62) + F.pmod(F.xxhash64(F.coalesce(F.col(id_col), F.lit(0)), F.col(id_col).isNull(), h), F.lit((1 << 62) - 1))
         rows = docs.join(odd, F.col(id_col).eqNullSafe(F.col(later_name)), "left").withColumn(name, F.when(F.col(name), own).otherwise(F.col(id_col))).drop(later_name)
     later = similar_sets(rows, name, text_col, k, percent).filter("component_id < doc_id").select(F.col("doc_id").alias(later_name)).distinct()
+    later = joinable(checkpointed(later), later_name)
+    release(docs.sparkSession)  # what the join wrote goes before whole rows are shuffled
     kept = rows.join(later, F.col(name) == F.col(later_name), "left_anti")
     return (kept if plain else kept.dropDuplicates([name])).select(*[F.col(f"`{c}`") for c in docs.columns])
 

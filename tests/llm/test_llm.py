@@ -718,3 +718,24 @@ def test_components_end_with_the_round_that_makes_stars(spark, monkeypatch, pair
     got = {r.node: r.component for r in components.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     want = {x: 0 for x in range(1, 41)} | {65: 60, 70: 60} if rounds is None else {2: 1, 3: 1, 9: 5} if pairs else {}
     assert got == want and (rounds is None or len(written) == 1 + rounds)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_sketches_are_no_wider_than_they_need_be(percent):
+    """Sketches travel with every pair; before, they had two to four bits for each element, whatever the similarity."""
+    r = np.random.default_rng(5)
+    up, down = setjoin.bounds(percent)
+    for n in (40, 300, 1000, 5000):
+        x, other = (np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64)) for _ in range(2))
+        near = np.concatenate([x[n * down // up :], other[: n * down // up]])
+        a, b, c = (setjoin.sketch(s, percent) for s in (x, other, near))
+        assert 8 * len(a) <= max(256, 16 * n * down // up)
+        assert setjoin.similar(int(np.bitwise_count(a ^ c).sum()), 2 * n, percent) and not setjoin.similar(int(np.bitwise_count(a ^ b).sum()), 2 * n, percent)
+
+
+def test_only_sets_with_more_partners_meet_again(spark):
+    """Meeting 1 has a far set with more partners (4) and one without (5); meeting 2 has none with more, so it isn't held again."""
+    rows = [(1, 0, 3, 9, False), (1, 0, 4, 9, True), (1, 0, 5, 9, True), (2, 0, 6, 9, True), (2, 0, 7, 9, False)]
+    pairs = [(3, 4, False, True), (3, 5, False, False), (6, 7, False, False)]
+    again = setjoin.still_open(spark.createDataFrame(rows, "r long, e long, id long, n long, far boolean"), spark.createDataFrame(pairs, "a long, b long, more_a boolean, more_b boolean"))
+    assert sorted(map(tuple, again.collect())) == [(1, 0, 3, 9, False), (1, 0, 4, 9, True), (1, 0, 5, 9, False)]
