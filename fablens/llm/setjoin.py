@@ -8,6 +8,11 @@ choice and the elements in it) makes every similar pair share one. With k2 = 1 a
 A subpart of fewer than ``LEAST`` elements tells sets badly apart: many share it. But the part's other subpart then has at
 most one difference too, so it is cut into ``PIECES``, and there is a signature with all of them but one for each of them.
 
+That k is of the band's largest sets. Sets x and y of a band differ in at most d = (|x| + |y|) * (100 - p) / (100 + p) elements,
+so n1 - d / 2 parts or more hold at most one difference. Each set leaves out (n1 - 1) / 2 parts less its own share of d / 2, so
+both together leave out fewer parts than that, and one that both sign is left. It leaves out those whose signatures hold the
+fewest elements: unrelated sets share them, in buckets that grow with the table.
+
 A band whose similar sets are equal sets (k = 0) needs no signature.
 
 Signatures meet by hash, as packed binary blocks. A bucket of at most ``SMALL`` sets gives all its pairs. In a larger one
@@ -92,6 +97,13 @@ def _frame(number: int, n1: int) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.arange(n1 * N2 * PIECES + 1, dtype=np.uint64), [mix(x + np.uint64(number * 0x165667B19E3779F9 & (1 << 64) - 1)) * np.uint64(0xC2B2AE3D27D4EB4F) for x in h]
 
 
+def spare_parts(n: int, n1: int, percent: int = PERCENT) -> int:
+    """Parts that a set of size n leaves out in a band of ``n1`` parts: those of it and of any similar set are fewer than the
+    parts that hold at most one of their differences."""
+    up, down = bounds(percent)
+    return max(0, ((n1 - 1) * up - n * down) // (2 * up))
+
+
 def signatures(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The PartEnum signatures of a set of hashes."""
     up, down = bounds(percent)
@@ -114,9 +126,16 @@ def signatures(elements: np.ndarray, percent: int = PERCENT) -> np.ndarray:
         sums = total[ends]
         pieces = (sums[1:] - sums[:-1] + n.astype(np.uint64)).reshape(n1, N2, PIECES)
         whole = pieces.sum(2, dtype=np.uint64)
-        content, few = mix(whole), n.reshape(n1, N2, PIECES).sum(2) < LEAST
+        counts = n.reshape(n1, N2, PIECES)
+        size = counts.sum(2)
+        few = size < LEAST
+        # the parts whose signatures hold the fewest elements are left out: those are shared by sets that have little in common
+        least = np.where(few, size + (size - counts.max(2))[:, ::-1], size).min(1)
+        signs = np.sort(np.argsort(least, kind="stable")[spare_parts(len(elements), n1, percent) :])
+        whole, pieces, few = whole[signs], pieces[signs], few[signs]
+        content = mix(whole)
         for c in range(N2):
-            h = mix(parts[c] + content[:, c])
+            h = mix(parts[c][signs] + content[:, c])
             short = few[:, c]
             if not short.any():
                 out.append(h)
