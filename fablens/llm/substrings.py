@@ -16,8 +16,9 @@ suffixes   Their bytes are joined to one text and its suffix array is made by tw
 hot groups An anchor with more than ``VARIANTS`` variants (a passage in many contexts, or in one long log) is dealt over blocks
            by document and place; a block's first windows meet again by 128 bits of hash, in an aggregate with a map-side part.
 
-Text is kept once, bucketed by document, in the shared folder; anchors and segments travel, the text doesn't again. When the
-result is written, that copy of the texts is deleted.
+No copy of the texts is kept: they are shuffled by document twice, once to cut out the segments asked for and once for the
+result, and what one of the steps shuffled is released before the next. Where no id repeats, an id tells its text and the
+text's hash isn't carried.
 
 Defined cases: a null text is empty; rows with equal id and text are one document with a row each in the result; rows
 with equal id and different texts are ordered by a hash of 64 bits of their text, which also tells them apart; null ids come
@@ -28,16 +29,14 @@ not read, and may have any names.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint_folder, checkpointed, delete_folder, release, ship, table
-from .components import joinable
+from .common import checkpointed, release, ship, table
 from .shingles import mix
 from .suffixes import common_prefixes, eight, suffix_array
 
@@ -45,7 +44,8 @@ LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
 #: Bytes of text that are hashed at once, and of segments that one suffix array covers.
 PIECE, TEXT = 1 << 19, 1 << 21
-VARIANTS = 64
+#: First occurrences of an anchor that are compared in one suffix array: at most 168 bytes each.
+VARIANTS = 2048
 FLUSH = 1 << 20
 #: What a document is known by: 1 if its id isn't null, the id or a hash, a hash of the text.
 _DOC = ["z", "k", "h"]
@@ -185,8 +185,8 @@ def _anchor_blocks(rows: DataFrame, parts: int) -> DataFrame:
     return rows.mapInArrow(run, "part int, block binary")
 
 
-_FOUND = pa.schema([("z", pa.int32()), ("k", pa.int64()), ("h", pa.int64()), ("lo", pa.int64()), ("cnt", pa.int32()), ("off", pa.int32()), ("anchor", pa.int64()), ("share", pa.int32())])
-_FOUND_DDL = "z int, k long, h long, lo long, cnt int, off int, anchor long, share int"
+_FOUND = pa.schema([("z", pa.int32()), ("k", pa.int64()), ("h", pa.int64()), ("lo", pa.int64()), ("cnt", pa.int32()), ("anchor", pa.int64()), ("share", pa.int32())])
+_FOUND_DDL = "z int, k long, h long, lo long, cnt int, anchor long, share int"
 
 
 def _groups(blocks: DataFrame) -> DataFrame:
@@ -209,7 +209,7 @@ def _groups(blocks: DataFrame) -> DataFrame:
         t, share = np.concatenate([t[keep], late]), np.concatenate([share[keep], np.full(len(late), -1)])
         for i in range(0, len(t), 100_000):
             x = t[i : i + 100_000]
-            columns = [x["z"].astype(np.int32), x["k"], x["h"], x["lo"].astype(np.int64), x["cnt"].astype(np.int32), x["off"].astype(np.int32), np.ascontiguousarray(x["anchor"]).view(np.int64), share[i : i + 100_000].astype(np.int32)]
+            columns = [x["z"].astype(np.int32), x["k"], x["h"], x["lo"].astype(np.int64), x["cnt"].astype(np.int32), np.ascontiguousarray(x["anchor"]).view(np.int64), share[i : i + 100_000].astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], schema=_FOUND)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +238,7 @@ def _segments(asked: DataFrame, texts: DataFrame) -> DataFrame:
                 rows = [{**w, "z": z, "k": k, "h": h, "bytes": raw[w["lo"] : w["lo"] + w["cnt"] + LENGTH - 1]} for w in wants]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    wanted = asked.groupBy(*_DOC).agg(F.collect_list(F.struct("lo", "cnt", "off", "anchor", "share")).alias("wants"))
+    wanted = asked.groupBy(*_DOC).agg(F.collect_list(F.struct("lo", "cnt", "anchor", "share")).alias("wants"))
     return texts.join(wanted, _DOC).select(*_DOC, "text", "wants").mapInArrow(run, _FOUND_DDL + ", bytes binary")
 
 
@@ -248,6 +248,7 @@ def _compared(segments: DataFrame) -> DataFrame:
     names = ["z", "k", "h", "lo", "cnt", "w1", "w2"]
 
     def compared(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        held = list({x[:4]: x for x in held}.values())  # rows of the same id and text are one document
         z, k, h, lo, cnt, share = (np.array([x[i] for x in held], np.int64) for i in range(6))
         lengths = np.array([len(x[6]) for x in held])
         starts = np.cumsum(lengths) - lengths
@@ -344,26 +345,19 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     h1, h2 = (F.xxhash64(*[F.lit(i)] * i, F.coalesce("text", F.lit(""))) for i in range(2))
-    rows = rows.select(F.col("doc_id").isNotNull().cast("int").alias("z"), F.coalesce("doc_id", h2).alias("k"), h1.alias("h"), "text", "doc_id")
-    name = f"fablens_texts_{uuid.uuid4().hex}"
-    folder = f"{checkpoint_folder(spark)}/{name}"
-    rows.repartition(n, *_DOC).write.bucketBy(n, *_DOC).option("path", folder).saveAsTable(name)
-    try:
-        release(spark)
-        texts = spark.table(name)
-        found = checkpointed(_groups(_anchor_blocks(rows.select(*_DOC, "text"), 4 * n)))
-        release(spark)
-        compared = checkpointed(_compared(_segments(found.filter("share >= 0"), texts)))
-        release(spark)
-        cuts = found.filter("share < 0").select(*_DOC, "lo", "cnt").union(compared.filter("w1 IS NULL").select(*_DOC, "lo", "cnt"))
-        hot = compared.filter("w1 IS NOT NULL")
-        first = hot.groupBy("w1", "w2").agg(F.min(F.struct(*_DOC, "lo")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-        first = first.select(F.col("w1").alias("f1"), F.col("w2").alias("f2"), "first")
-        late = hot.join(joinable(joinable(first, "f1"), "f2"), (F.col("w1") == F.col("f1")) & (F.col("w2") == F.col("f2"))).filter(F.struct(*_DOC, "lo") != F.col("first"))
-        return checkpointed(_removed(texts, cuts.union(late.select(*_DOC, "lo", "cnt"))))
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-        delete_folder(spark, folder)
+    z = F.col("doc_id").isNotNull()
+    if rows.filter(z).groupBy("doc_id").count().filter("count > 1").isEmpty():
+        h1 = F.when(z, F.lit(0).cast("long")).otherwise(h1)
+    rows = rows.select(z.cast("int").alias("z"), F.coalesce("doc_id", h2).alias("k"), h1.alias("h"), "text", "doc_id")
+    found = checkpointed(_groups(_anchor_blocks(rows.select(*_DOC, "text"), 4 * n)))
+    release(spark)
+    compared = checkpointed(_compared(_segments(found.filter("share >= 0"), rows)))
+    release(spark)
+    cuts = found.filter("share < 0").select(*_DOC, "lo", "cnt").union(compared.filter("w1 IS NULL").select(*_DOC, "lo", "cnt"))
+    # a window is met once in each share of its anchor
+    order = Window.partitionBy("w1", "w2").orderBy(*_DOC, "lo")
+    late = compared.filter("w1 IS NOT NULL").withColumn("place", F.rank().over(order)).filter("place > 1")
+    return checkpointed(_removed(rows, cuts.union(late.select(*_DOC, "lo", "cnt"))))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -654,6 +654,25 @@ def test_repeated_strings_of_null_and_equal_ids(spark):
     assert [x.name for x in spark.catalog.listTables()] == before
 
 
+def test_repeated_strings_keep_no_texts_and_few_windows(spark, monkeypatch):
+    """No table of texts is written, and windows of a passage in a hundred contexts aren't sent one by one."""
+    from pyspark.sql import DataFrameWriter
+
+    def refused(*args, **kwargs):
+        raise AssertionError("a copy of the texts")
+
+    sent, compared = [], substrings._compared
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", refused)
+    monkeypatch.setattr(substrings, "_compared", lambda x: sent.append(compared(x)) or sent[-1])
+    r = random.Random(14)
+    passage = words(r, 30)
+    rows = [(i, " ".join([words(r, 20), passage, words(r, 20)]), "") for i in range(100)]
+    for more in ([], rows[:3]):  # repeated rows are one document with a row each
+        found = substrings.repeated_strings(spark.createDataFrame(rows + more, TEXT)).collect()
+        assert len(found) == len(rows + more) and sent.pop().filter("w1 IS NOT NULL").count() == 0
+        assert {g.doc_id: (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in found} == plain_repeats(rows)
+
+
 def test_pipeline_stages_on_odd_rows(spark):
     """Nulls in any column, empty and long texts, ties, repeated rows, equal ids, clashing names and an empty table."""
     import corpus_pipeline
