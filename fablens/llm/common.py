@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -86,10 +87,12 @@ def delete_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, wait: float = 0.0) -> None:
     """Let Spark delete the shuffle files of results that were written: it does when the driver collects its garbage, which
-    in a job of few driver objects may be never."""
+    in a job of few driver objects may be never. wait: seconds for Python's bridge to let go of the JVM's objects, which it
+    does in a thread of its own that looks once a second; without them some shuffles stay until the next release."""
     gc.collect()
+    time.sleep(wait)
     spark.sparkContext._jvm.System.gc()
 
 

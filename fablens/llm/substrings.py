@@ -47,6 +47,8 @@ PIECE, TEXT = 1 << 19, 1 << 21
 #: First occurrences of an anchor that are compared in one suffix array: at most 168 bytes each.
 VARIANTS = 2048
 FLUSH = 1 << 20
+#: Seconds that a release of shuffle files waits.
+WAIT = 1.5
 #: What a document is known by: 1 if its id isn't null, the id or a hash, a hash of the text.
 _DOC = ["z", "k", "h"]
 _PLACE = np.uint64((1 << 22) - 1)
@@ -350,14 +352,17 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         h1 = F.when(z, F.lit(0).cast("long")).otherwise(h1)
     rows = rows.select(z.cast("int").alias("z"), F.coalesce("doc_id", h2).alias("k"), h1.alias("h"), "text", "doc_id")
     found = checkpointed(_groups(_anchor_blocks(rows.select(*_DOC, "text"), 4 * n)))
-    release(spark)
+    release(spark, WAIT)
     compared = checkpointed(_compared(_segments(found.filter("share >= 0"), rows)))
-    release(spark)
+    release(spark, WAIT)
     cuts = found.filter("share < 0").select(*_DOC, "lo", "cnt").union(compared.filter("w1 IS NULL").select(*_DOC, "lo", "cnt"))
     # a window is met once in each share of its anchor
     order = Window.partitionBy("w1", "w2").orderBy(*_DOC, "lo")
     late = compared.filter("w1 IS NOT NULL").withColumn("place", F.rank().over(order)).filter("place > 1")
-    return checkpointed(_removed(rows, cuts.union(late.select(*_DOC, "lo", "cnt"))))
+    result = checkpointed(_removed(rows, cuts.union(late.select(*_DOC, "lo", "cnt"))))
+    del found, compared, cuts, late
+    release(spark, WAIT)
+    return result
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
