@@ -289,6 +289,10 @@ def test_shapley_values_equal_enumeration(spark):
     summary = {r.feature: r for r in shapley.attribution_summary(fitted, df, names).collect()}
     assert set(summary) == set(names) and summary["a"].mean_size == max(s.mean_size for s in summary.values()) and summary["h"].mean_size < 0.1
     assert shapley.tree_shapley(fitted, df.filter("false"), names).count() == 0
+    # tasks add up their rows' values: no row a value is made, and none of an empty table
+    summed = shapley.attribution_summary(fitted, df, names)
+    assert "Generate" not in summed._jdf.queryExecution().executedPlan().toString()
+    assert shapley.attribution_summary(fitted, df.filter("false"), names).count() == 0
 
 
 def test_tabled_trees_equal_their_leaves():
