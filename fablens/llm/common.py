@@ -91,9 +91,12 @@ def release(spark: SparkSession, wait: float = 0.0) -> None:
     """Let Spark delete the shuffle files of results that were written: it does when the driver collects its garbage, which
     in a job of few driver objects may be never. wait: seconds for Python's bridge to let go of the JVM's objects, which it
     does in a thread of its own that looks once a second; without them some shuffles stay until the next release."""
-    gc.collect()
-    time.sleep(wait)
-    spark.sparkContext._jvm.System.gc()
+    if wait:
+        spark.range(1).count()  # the scheduler and listeners hold on to the last job until there is another
+    for _ in range(2 if wait else 1):
+        gc.collect()
+        time.sleep(wait)
+        spark.sparkContext._jvm.System.gc()
 
 
 _shipped: set[str] = set()
